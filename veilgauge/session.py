@@ -60,4 +60,4 @@ def pin(df: DataFrame) -> DataFrame:
 
     Only for frames whose row count does not depend on the data.
     """
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
