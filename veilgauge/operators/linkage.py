@@ -5,10 +5,10 @@ compared exactly score 0 or 1, so a pair at or above the threshold must agree
 exactly on a set of columns that is heavy enough - one of a known list of
 *signatures*. That gives a plan without a cross join and without a cap:
 
-1. Both tables shrink to distinct attribute tuples; a tuple of the auxiliary
-   table keeps only its ``top`` smallest keys, as equal tuples tie on score.
-2. For every signature the tuples shrink further to (signature values, graded
-   values): columns outside the signature are dropped. Blocks join on the
+1. The target table shrinks to distinct attribute tuples.
+2. For every signature both tables shrink to (signature values, graded values):
+   columns outside the signature are dropped, and the auxiliary side keeps only
+   the ``top`` smallest keys of each, as they tie on score. Blocks join on the
    signature values, so a block pairs distinct *graded* values, never rows.
 3. Each graded value keeps its ``top`` best partners per block. A pair is later
    used only under the signature that equals its exact agreement, where its
@@ -23,7 +23,7 @@ the weighted sum; ties go to the smaller auxiliary key.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import combinations
 
@@ -156,14 +156,8 @@ def compare_plan(df_a: DataFrame, df_b: DataFrame, *, exclude: list[str], weight
     shared = [c for c in (columns or shared_columns(df_a, df_b)) if c not in exclude]
     kinds = kinds or linkage_kinds(df_a, shared)
     per_kind = {**settings.LINKAGE_WEIGHTS, **(weights or {})}
-    numeric = [i for i, c in enumerate(shared) if kinds[c] == "numeric"]
-    spans = [1.0] * len(shared)
-    if numeric:
-        row = df_a.agg(*[(F.max(as_number(df_a, shared[i])) - F.min(as_number(df_a, shared[i]))).alias(f"s{i}")
-                         for i in numeric]).first()
-        for i in numeric:
-            spans[i] = float(row[f"s{i}"] or 1.0) or 1.0
-    return Comparison(shared, [kinds[c] for c in shared], [float(per_kind[kinds[c]]) for c in shared], spans,
+    return Comparison(shared, [kinds[c] for c in shared], [float(per_kind[kinds[c]]) for c in shared],
+                      [1.0] * len(shared),
                       settings.LINKAGE_THRESHOLD if threshold is None else float(threshold), top, text_method)
 
 
@@ -198,7 +192,17 @@ def _best(df: DataFrame, keys: list[str], order: list[Column], top: int) -> Data
     return df.withColumn("__rank", rank).where(F.col("__rank") <= top)
 
 
-def _candidates(a_tuples: DataFrame, b_rows: DataFrame, plan: Comparison) -> tuple[DataFrame, list[str]]:
+def _packed(df: DataFrame, keys: list[str], order: list[Column], top: int, item: Column, name: str) -> DataFrame:
+    """One row per key holding its first ``top`` items in order.
+
+    The rows arrive sorted from the ranking, so a short frame collects them
+    without another sort or shuffle.
+    """
+    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, top - 1)
+    return _best(df, keys, order, top).withColumn(name, F.collect_list(item).over(frame)).where(F.col("__rank") == 1)
+
+
+def _candidates(a_tuples: DataFrame, b_rows: DataFrame, plan: Comparison, graded_values: int) -> tuple[DataFrame, list[str]]:
     """Best partners per (signature, masked values, graded values) of the target side."""
     values = [f"v{i}" for i in range(len(plan.columns))]
     graded = [f"v{i}" for i in plan.graded]
@@ -206,16 +210,14 @@ def _candidates(a_tuples: DataFrame, b_rows: DataFrame, plan: Comparison) -> tup
 
     a_groups = (_by_signature(a_tuples, plan, graded).groupBy(*block, *graded)
                 .agg(F.count(F.lit(1)).alias("tuples")))
-    b_best = _best(b_rows, ["t1", "t2"], [F.col("kb")], plan.top).drop("__rank", "t1", "t2")
-    b_side = (_best(_by_signature(b_best, plan, [*values, "kb"]), [*block, *graded], [F.col("kb")], plan.top)
-              .groupBy(*block, *graded)
-              .agg(F.sort_array(F.collect_list(F.struct("kb", *[f"v{i}" for i in plan.exact]))).alias("keys"))
-              .select(*block, *[F.col(v).alias(f"b_{v}") for v in graded], "keys"))
+    b_side = _packed(_by_signature(b_rows, plan, [*values, "kb"]), [*block, *graded], [F.col("kb")], plan.top,
+                     F.struct("kb", *[f"v{i}" for i in plan.exact]), "keys").select(
+        *block, *[F.col(v).alias(f"b_{v}") for v in graded], "keys")
 
     # A block is small in bytes but pairs its graded values, so both sides get a
     # fixed partition count: sizing by input bytes would pack all blocks together.
     # A block with many graded values is split further by salting.
-    salts = _salts(a_groups, block, plan)
+    salts = _salts(a_groups, block, plan) if graded_values > BLOCK_VALUES else {s: 1 for s in plan.signatures()}
     salt_count = F.create_map(*[F.lit(x) for s, n in salts.items() for x in (s, n)])[F.col("sid")]
     a_salted = a_groups.withColumn("salt", F.pmod(F.xxhash64(*graded), salt_count) if graded else F.lit(0).cast("bigint"))
     b_salted = b_side.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salt_count - 1)))
@@ -229,13 +231,13 @@ def _candidates(a_tuples: DataFrame, b_rows: DataFrame, plan: Comparison) -> tup
     reach = (agreed[F.col("sid")] + F.col("graded_score")) >= F.lit(plan.threshold * plan.total_weight - SLACK)
     scored = scored.withColumn("graded_score", F.round(partial, 9)).where(reach)
     # The best keys are among the best (value, smallest key) partners.
-    near = _best(scored, [*block, *graded], [F.desc("graded_score"), F.col("keys")[0]["kb"]], plan.top)
     partner = F.transform("keys", lambda k: F.struct(
         -F.col("graded_score"), k["kb"].alias("kb"),
         *[k[f"v{i}"].alias(f"b_v{i}") for i in plan.exact], *[F.col(f"s{i}") for i in plan.graded]))
-    per_group = near.groupBy(*block, *graded).agg(
-        F.first("tuples").alias("tuples"),
-        F.slice(F.sort_array(F.flatten(F.collect_list(partner))), 1, plan.top).alias("partners"))
+    near = _packed(scored, [*block, *graded], [F.desc("graded_score"), F.col("keys")[0]["kb"]], plan.top,
+                   partner, "partners")
+    per_group = near.select(*block, *graded, "tuples", F.slice(
+        F.sort_array(F.flatten("partners")), 1, plan.top).alias("partners"))
     return per_group, [*block, *graded]
 
 
@@ -259,6 +261,18 @@ def _salts(a_groups: DataFrame, block: list[str], plan: Comparison) -> dict[int,
     return {s: min(MAX_SALTS, 1 + largest.get(s, 0) // BLOCK_VALUES) for s in plan.signatures()}
 
 
+def _with_spans(a_tuples: DataFrame, plan: Comparison) -> tuple[Comparison, int]:
+    """Numeric spans of the whole target side, and about how many distinct graded values it has."""
+    if not plan.graded:
+        return plan, 1
+    numeric = [i for i in plan.graded if plan.kinds[i] == "numeric"]
+    row = a_tuples.agg(
+        F.approx_count_distinct(F.struct(*[f"v{i}" for i in plan.graded]), 0.02).alias("graded"),
+        *[(F.max(f"v{i}") - F.min(f"v{i}")).alias(f"s{i}") for i in numeric]).first()
+    spans = [float(row[f"s{i}"] or 1.0) if i in numeric else 1.0 for i in range(len(plan.columns))]
+    return replace(plan, spans=spans), row["graded"]
+
+
 class Linkage:
     """Result of an attack: lazy match frames plus the facts known when it was planned."""
 
@@ -341,11 +355,11 @@ def linkage(df_a: DataFrame, df_b: DataFrame, key_a: str, key_b: str, *, weights
     typed_a, typed_b = [plan.typed(df_a, i) for i in width], [plan.typed(df_b, i) for i in width]
     a_rows = df_a.select(ref(key_a).alias("ka"), *[c.alias(v) for c, v in zip(typed_a, values)],
                          *_fingerprint("t", typed_a))
-    b_rows = df_b.select(ref(key_b).alias("kb"), *[c.alias(v) for c, v in zip(typed_b, values)],
-                         *_fingerprint("t", typed_b))
+    b_rows = df_b.select(ref(key_b).alias("kb"), *[c.alias(v) for c, v in zip(typed_b, values)])
     # Each step is written once: the next one reads it several times.
     a_tuples, _ = materialise(a_rows.groupBy("t1", "t2", *values).agg(F.count(F.lit(1)).alias("copies")))
-    per_group, keys = _candidates(a_tuples, b_rows, plan)
+    plan, graded_values = _with_spans(a_tuples, plan)
+    per_group, keys = _candidates(a_tuples, b_rows, plan, graded_values)
     per_group, groups = materialise(per_group)
     spread = _by_signature(a_tuples, plan, ["t1", "t2", *values, "copies"])
     offered = attach(spread, per_group, keys, "tuples", ["partners"], "inner", groups)
@@ -358,10 +372,9 @@ def linkage(df_a: DataFrame, df_b: DataFrame, key_a: str, key_b: str, *, weights
               .withColumn("combined", F.round(combined, 9))
               .where(F.col("combined") >= F.lit(plan.threshold))
               .select("t1", "t2", "copies", F.col("p.kb").alias("kb"), "combined", F.array(*scores).alias("scores")))
-    best = _best(scored, ["t1", "t2"], [F.desc("combined"), F.asc("kb")], plan.top)
-    per_tuple = best.groupBy("t1", "t2").agg(
-        F.first("copies").alias("copies"),
-        F.collect_list(F.struct(F.col("__rank").alias("rank"), "kb", "combined", "scores")).alias("found"))
+    per_tuple = _packed(scored, ["t1", "t2"], [F.desc("combined"), F.asc("kb")], plan.top,
+                        F.struct(F.col("__rank").alias("rank"), "kb", "combined", "scores"), "found").select(
+        "t1", "t2", "copies", "found")
     per_tuple, tuples = materialise(per_tuple)
     rows = attach(a_rows.select("ka", "t1", "t2"), per_tuple, ["t1", "t2"], "copies", ["found"], "inner", tuples)
     flat = rows.select("ka", F.explode("found").alias("m"))

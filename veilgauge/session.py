@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CONFIG = {
     "spark.sql.adaptive.enabled": "true",
@@ -50,9 +51,9 @@ def materialise(df: DataFrame) -> tuple[DataFrame, int]:
     whole lineage, and the planner knows the real size.
     """
     path = f"{scratch_dir(df.sparkSession)}/veilgauge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    return table, table.count()
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
 def pin(df: DataFrame) -> DataFrame:

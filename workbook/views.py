@@ -72,8 +72,15 @@ NEEDS = {
 }
 
 
+_OPEN: dict[tuple, DataFrame] = {}
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its footer is read once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _OPEN:
+        _OPEN[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _OPEN[key]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
