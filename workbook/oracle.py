@@ -510,7 +510,7 @@ FROM c WHERE class_size < 5 ORDER BY class_size, {SUBJECT_QI} LIMIT 100"""),
         "correlation_pairs": "\nUNION ALL ".join(
             f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS correlation FROM lineitem" for a, b in pairs),
         "numeric_similarity": """SELECT l_orderkey, l_linenumber,
-  round(greatest(0e0, 1e0 - abs(l_extendedprice / l_quantity - p_retailprice) / 2000e0), 9) AS score
+  greatest(0e0, 1e0 - abs(l_extendedprice / l_quantity - p_retailprice) / 2000e0) AS score
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
         "date_similarity": """SELECT l_orderkey, l_linenumber,
   round(greatest(0e0, 1e0 - abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) / 730e0), 6) AS score

@@ -159,8 +159,8 @@ def correlation_pairs(spark, d):
 def numeric_similarity(spark, d):
     parts = raw(spark, d, "lineitem").join(raw(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    return parts.select("l_orderkey", "l_linenumber", F.round(
-        similarity.numeric_similarity(unit, F.col("p_retailprice"), 2000.0), 9).alias("score"))
+    return parts.select("l_orderkey", "l_linenumber", similarity.numeric_similarity(
+        unit, F.col("p_retailprice"), 2000.0).alias("score"))
 
 
 def date_similarity(spark, d):
