@@ -5,14 +5,12 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from veilgauge.session import SCRATCH_KEY, local_session  # noqa: E402
+from veilgauge.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = local_session(cores="4", memory="4g", name="tests")
-    if session.conf.get(SCRATCH_KEY, None) is None:
-        session.conf.set(SCRATCH_KEY, str(tmp_path_factory.mktemp("scratch")))
+def spark():
+    session = local_session(memory="4g", name="tests")
     yield session
     session.stop()
 

@@ -46,6 +46,9 @@ SLACK = 1e-9
 # Graded values of the target side that one task pairs within a block.
 BLOCK_VALUES = 1024
 MAX_SALTS = 1024
+# Similarities are rounded to this many steps.
+STEPS = 1000
+NO_CELL = -(1 << 60)
 
 
 def linkage_kinds(df: DataFrame, columns: list[str]) -> dict[str, str]:
@@ -214,16 +217,11 @@ def _candidates(a_tuples: DataFrame, b_rows: DataFrame, plan: Comparison, graded
                      F.struct("kb", *[f"v{i}" for i in plan.exact]), "keys").select(
         *block, *[F.col(v).alias(f"b_{v}") for v in graded], "keys")
 
-    # A block is small in bytes but pairs its graded values, so both sides get a
-    # fixed partition count: sizing by input bytes would pack all blocks together.
-    # A block with many graded values is split further by salting.
-    salts = _salts(a_groups, block, plan) if graded_values > BLOCK_VALUES else {s: 1 for s in plan.signatures()}
-    salt_count = F.create_map(*[F.lit(x) for s, n in salts.items() for x in (s, n)])[F.col("sid")]
-    a_salted = a_groups.withColumn("salt", F.pmod(F.xxhash64(*graded), salt_count) if graded else F.lit(0).cast("bigint"))
-    b_salted = b_side.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salt_count - 1)))
-    spread = int(a_tuples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    on = [*block, "salt"]
-    pairs = a_salted.repartition(spread, *on).join(b_salted.repartition(spread, *on), on)
+    ordered = len(graded) == 1 and plan.kinds[plan.graded[0]] in ("numeric", "date")
+    if ordered and graded_values > BLOCK_VALUES:
+        pairs = _near_pairs(a_groups, b_side, block, plan)
+    else:
+        pairs = _block_pairs(a_groups, b_side, block, graded, plan, graded_values)
     sims = [plan.graded_similarity(i, F.col(f"v{i}"), F.col(f"b_v{i}")).alias(f"s{i}") for i in plan.graded]
     scored = pairs.select(*block, *graded, "tuples", "keys", *sims)
     partial = sum((F.lit(plan.weights[i]) * F.col(f"s{i}") for i in plan.graded), F.lit(0.0))
@@ -261,6 +259,71 @@ def _salts(a_groups: DataFrame, block: list[str], plan: Comparison) -> dict[int,
     return {s: min(MAX_SALTS, 1 + largest.get(s, 0) // BLOCK_VALUES) for s in plan.signatures()}
 
 
+def _block_pairs(a_groups: DataFrame, b_side: DataFrame, block: list[str], graded: list[str], plan: Comparison,
+                 graded_values: int) -> DataFrame:
+    """All graded value pairs of each block.
+
+    A block is small in bytes but pairs its graded values, so both sides get a
+    fixed partition count: sizing by input bytes would pack all blocks together.
+    A block with many graded values is split further by salting.
+    """
+    salts = _salts(a_groups, block, plan) if graded_values > BLOCK_VALUES else {s: 1 for s in plan.signatures()}
+    salt_count = F.create_map(*[F.lit(x) for s, n in salts.items() for x in (s, n)])[F.col("sid")]
+    salt = F.pmod(F.xxhash64(*graded), salt_count) if graded else F.lit(0).cast("bigint")
+    a_salted = a_groups.withColumn("salt", salt)
+    b_salted = b_side.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (salt_count - 1).cast("bigint"))))
+    spread = int(a_groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    on = [*block, "salt"]
+    return a_salted.repartition(spread, *on).join(b_salted.repartition(spread, *on), on)
+
+
+def _cell(plan: Comparison, value: Column) -> Column:
+    """Position of an ordered value in steps of one thousandth of similarity; null stays null."""
+    i = plan.graded[0]
+    if plan.kinds[i] == "date":
+        scaled = F.datediff(value, F.lit("1970-01-01").cast("date")) / F.lit(float(settings.DATE_HORIZON_DAYS))
+    else:
+        scaled = value / F.lit(plan.spans[i])
+    return F.floor(scaled * F.lit(float(STEPS))).cast("bigint")
+
+
+def _near_pairs(a_groups: DataFrame, b_side: DataFrame, block: list[str], plan: Comparison) -> DataFrame:
+    """Value pairs of blocks with very many ordered values: only cells that can hold a best partner.
+
+    Values ``o`` cells apart differ by more than ``o - 1`` and less than
+    ``o + 1`` steps, and scores are rounded to whole steps. Once the cells up to
+    ``o`` hold ``top`` partners, anything beyond ``o + 2`` scores strictly
+    lower, so leaving it out is exact (``o + 3`` leaves room for floating-point
+    error at a cell's edge). Similarity 0 has no such order: nulls,
+    and everything a full span away, are paired if a cell has to look that far.
+    """
+    value = f"v{plan.graded[0]}"
+    far = STEPS + 1
+    a_cells = a_groups.withColumn("cell_a", F.coalesce(_cell(plan, F.col(value)), F.lit(NO_CELL)))
+    ends = a_cells.where(F.col("cell_a") != NO_CELL).agg(F.min("cell_a"), F.max("cell_a")).first()
+    low, high = (ends[0] or 0) - far - 1, (ends[1] or 0) + far + 1
+    own = _cell(plan, F.col(f"b_{value}"))
+    b_cells = b_side.withColumn("cell_b", F.coalesce(
+        F.greatest(F.lit(low), F.least(F.lit(high), own)), F.lit(NO_CELL)))
+
+    held = b_cells.groupBy(*block, "cell_b").agg(F.sum(F.size("keys")).alias("held"))
+    apart = F.when((F.col("cell_a") == NO_CELL) | (F.col("cell_b") == NO_CELL), F.lit(far)).otherwise(
+        F.least(F.abs(F.col("cell_a") - F.col("cell_b")), F.lit(far)))
+    # Cells, not values: a block has a few thousand at most on either side.
+    cells = (a_cells.select(*block, "cell_a").distinct().join(held, block).withColumn("apart", apart))
+    nearest = Window.partitionBy(*block, "cell_a")
+    within = F.sum("held").over(nearest.orderBy("apart").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    reach = F.min(F.when(F.col("within") >= plan.top, F.col("apart"))).over(nearest)
+    useful = (cells.withColumn("within", within).withColumn("reach", reach)
+              .where(F.col("reach").isNull() | (F.col("reach") >= STEPS - 2)
+                     | (F.col("apart") <= F.col("reach") + 3))
+              .select(*block, "cell_a", "cell_b"))
+    spread = int(a_groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    on = [*block, "cell_b"]
+    looking = a_cells.join(useful, [*block, "cell_a"]).repartition(spread, *on)
+    return looking.join(b_cells.repartition(spread, *on), on)
+
+
 def _with_spans(a_tuples: DataFrame, plan: Comparison) -> tuple[Comparison, int]:
     """Numeric spans of the whole target side, and about how many distinct graded values it has."""
     if not plan.graded:

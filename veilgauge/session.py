@@ -37,10 +37,11 @@ def local_session(cores: str = "8", memory: str = "8g", name: str = "veilgauge")
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one is made only where none is set."""
-    shared = spark.conf.get(SCRATCH_KEY, None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    shared = spark.conf.get(SCRATCH_KEY, None) or context.getCheckpointDir()
     if not shared:
-        shared = tempfile.mkdtemp(prefix="veilgauge-")
-        spark.conf.set(SCRATCH_KEY, shared)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="veilgauge-"))
+        shared = context.getCheckpointDir()
     return shared.rstrip("/")
 
 
