@@ -56,39 +56,42 @@ def linkage_kinds(df: DataFrame, columns: list[str]) -> dict[str, str]:
 
     Only text columns need a look at the data: share of dates, distinct values.
     """
-    kinds: dict[str, str] = {}
-    open_columns = []
-    for c in columns:
-        dtype = df.schema[c].dataType
-        if is_code_like(c):
-            kinds[c] = "categorical"
-        elif is_numeric(dtype):
-            kinds[c] = "numeric"
-        elif is_temporal(dtype):
-            kinds[c] = "date"
-        elif is_text(dtype):
-            open_columns.append(c)
-        else:
-            kinds[c] = "categorical"
-    if open_columns:
-        narrow = df.select(*[ref(c).alias(str(i)) for i, c in enumerate(open_columns)])
+    fields = df.schema
+    texts = [c for c in columns if is_text(fields[c].dataType) and not is_code_like(c)]
+    facts = {}
+    if texts:
+        narrow = df.select(*[ref(c).alias(str(i)) for i, c in enumerate(texts)])
         values = (narrow.unpivot([], [ref(c) for c in narrow.columns], "i", "v")
                   .groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")))
         parsed = dates.parse_mixed(F.col("v")).isNotNull()
-        facts = {r["i"]: r for r in values.groupBy("i").agg(
-            F.sum("n").alias("records"),
-            F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("present"),
-            F.sum(F.when(parsed, F.col("n")).otherwise(0)).alias("parsed"),
-            F.count("v").alias("distinct")).collect()}
-        for i, c in enumerate(open_columns):
-            r = facts.get(str(i))
-            if r is None:
-                kinds[c] = "categorical"
-            elif r["present"] and r["parsed"] > 0.7 * r["present"]:
-                kinds[c] = "date"
-            else:
-                kinds[c] = "categorical" if r["distinct"] <= max(20, 0.2 * r["records"]) else "text"
-    return {c: kinds[c] for c in columns}
+        facts = {texts[int(r["i"])]: r for r in values.groupBy("i").agg(
+            F.sum("n").alias("row_count"),
+            F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing_count"),
+            F.sum(F.when(parsed, F.col("n")).otherwise(0)).alias("parsed_rows"),
+            F.count("v").alias("unique_count")).collect()}
+    return {c: _kind(c, is_numeric(fields[c].dataType), is_temporal(fields[c].dataType), facts.get(c))
+            for c in columns}
+
+
+def kinds_from(stats: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The same decision from column statistics that are already there (one row per column)."""
+    rows = {r["column"]: r for r in stats.collect()}
+    return {c: _kind(c, rows[c]["numeric"], rows[c]["temporal"], rows[c] if rows[c]["textual"] else None)
+            for c in columns if c in rows}
+
+
+def _kind(name: str, numeric: bool, temporal: bool, text_facts) -> str:
+    if is_code_like(name):
+        return "categorical"
+    if numeric or temporal:
+        return "numeric" if numeric else "date"
+    if text_facts is None:
+        return "categorical"
+    present = text_facts["row_count"] - text_facts["missing_count"]
+    if present and text_facts["parsed_rows"] > 0.7 * present:
+        return "date"
+    few = text_facts["unique_count"] <= max(20, 0.2 * text_facts["row_count"])
+    return "categorical" if few else "text"
 
 
 @dataclass(frozen=True)
@@ -157,7 +160,8 @@ def compare_plan(df_a: DataFrame, df_b: DataFrame, *, exclude: list[str], weight
                  top: int = settings.LINKAGE_TOP, text_method: str = "ratcliff",
                  columns: list[str] | None = None, kinds: dict[str, str] | None = None) -> Comparison:
     shared = [c for c in (columns or shared_columns(df_a, df_b)) if c not in exclude]
-    kinds = kinds or linkage_kinds(df_a, shared)
+    kinds = kinds or {}
+    kinds = {**linkage_kinds(df_a, [c for c in shared if c not in kinds]), **kinds}
     per_kind = {**settings.LINKAGE_WEIGHTS, **(weights or {})}
     return Comparison(shared, [kinds[c] for c in shared], [float(per_kind[kinds[c]]) for c in shared],
                       [1.0] * len(shared),

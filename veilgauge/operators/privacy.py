@@ -31,13 +31,22 @@ def _pct(part, whole):
     return F.coalesce(F.round(F.try_divide(part * F.lit(100.0), whole), 2), F.lit(0.0))
 
 
-def uniqueness_of(classes: DataFrame) -> DataFrame:
-    totals = classes.agg(
+def class_totals(classes: DataFrame, k_values: list[int] | None = None) -> DataFrame:
+    """Everything uniqueness and k-anonymity need, in one row from one pass over the classes."""
+    size = F.col("class_size")
+    zero = F.lit(0).cast("bigint")
+    return classes.agg(
         F.count(F.lit(1)).alias("equivalence_classes"),
-        F.coalesce(F.sum(F.when(F.col("class_size") == 1, 1).otherwise(0)), F.lit(0)).alias("unique_records"),
-        F.coalesce(F.sum("class_size"), F.lit(0)).alias("total_records"),
-    )
-    return totals.withColumn("unique_pct", _pct(F.col("unique_records"), F.col("total_records")))
+        F.coalesce(F.sum(F.when(size == 1, 1).otherwise(0)), zero).alias("unique_records"),
+        F.coalesce(F.sum(size), zero).alias("total_records"),
+        F.min(size).alias("min_class_size"),
+        *[F.coalesce(F.sum(F.when(size < k, size)), zero).alias(f"k{k}") for k in k_values or settings.K_VALUES])
+
+
+def uniqueness_of(totals: DataFrame) -> DataFrame:
+    return totals.select(
+        "equivalence_classes", "unique_records", "total_records",
+        _pct(F.col("unique_records"), F.col("total_records")).alias("unique_pct"))
 
 
 def uniqueness(df: DataFrame, qi: list[str]) -> DataFrame:
@@ -47,7 +56,7 @@ def uniqueness(df: DataFrame, qi: list[str]) -> DataFrame:
             F.lit(0).cast("bigint").alias("equivalence_classes"),
             F.lit(0).cast("bigint").alias("unique_records"), "total_records",
             F.lit(0.0).alias("unique_pct"))
-    return uniqueness_of(equivalence_classes(df, qi))
+    return uniqueness_of(class_totals(equivalence_classes(df, qi)))
 
 
 def class_size_distribution(df: DataFrame, qi: list[str]) -> DataFrame:
@@ -62,16 +71,10 @@ def class_size_distribution(df: DataFrame, qi: list[str]) -> DataFrame:
     return wide.selectExpr(f"stack({len(SIZE_BUCKETS)}, {pairs}) as (size_bucket, records)")
 
 
-def k_anonymity_of(classes: DataFrame, k_values: list[int] | None = None) -> DataFrame:
+def k_anonymity_of(totals: DataFrame, k_values: list[int] | None = None) -> DataFrame:
     ks = k_values or settings.K_VALUES
-    size = F.col("class_size")
-    wide = classes.agg(
-        F.min(size).alias("min_class_size"),
-        F.coalesce(F.sum(size), F.lit(0)).alias("total_records"),
-        *[F.coalesce(F.sum(F.when(size < k, size)), F.lit(0)).alias(f"k{k}") for k in ks],
-    )
     pairs = ", ".join(f"{k}, k{k}" for k in ks)
-    tall = wide.selectExpr("total_records", "min_class_size", f"stack({len(ks)}, {pairs}) as (k, at_risk_records)")
+    tall = totals.selectExpr("total_records", "min_class_size", f"stack({len(ks)}, {pairs}) as (k, at_risk_records)")
     return tall.where(F.col("total_records") > 0).select(
         "k", "total_records", "min_class_size", "at_risk_records",
         _pct(F.col("at_risk_records"), F.col("total_records")).alias("at_risk_pct"),
@@ -82,7 +85,7 @@ def k_anonymity_of(classes: DataFrame, k_values: list[int] | None = None) -> Dat
 def k_anonymity(df: DataFrame, qi: list[str], k_values: list[int] | None = None) -> DataFrame:
     """One row per k: records in classes smaller than k; no rows without data or quasi-identifiers."""
     classes = equivalence_classes(df, qi)
-    return k_anonymity_of(classes if qi else classes.where(F.lit(False)), k_values)
+    return k_anonymity_of(class_totals(classes if qi else classes.where(F.lit(False)), k_values), k_values)
 
 
 def l_diversity(df: DataFrame, qi: list[str], sensitive: list[str]) -> DataFrame:

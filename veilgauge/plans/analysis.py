@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgauge import settings
-from veilgauge.functions.columns import nan_to_null
+from veilgauge.functions.columns import nan_to_null, shared_columns
 from veilgauge.operators import frequencies, privacy, profile, scores
-from veilgauge.operators.linkage import Linkage, linkage
+from veilgauge.operators.linkage import Linkage, kinds_from, linkage
 from veilgauge.operators.mitigate import apply_mitigations
 from veilgauge.session import materialise, pin
 
@@ -46,16 +46,17 @@ def full_analysis(df: DataFrame, aux: DataFrame | None = None, key: str | None =
     qi = roles["quasi"]
 
     if qi:
-        classes, _ = materialise(privacy.equivalence_classes(df, qi))
-        unique = pin(privacy.uniqueness_of(classes))
-        checks = pin(privacy.k_anonymity_of(classes, sorted({*settings.K_VALUES, settings.REPRESENTATIVE_K})))
+        ks = sorted({*settings.K_VALUES, settings.REPRESENTATIVE_K})
+        totals = pin(privacy.class_totals(privacy.equivalence_classes(df, qi), ks))
+        unique, checks = privacy.uniqueness_of(totals), privacy.k_anonymity_of(totals, ks)
     else:
         unique, checks = pin(privacy.uniqueness(df, qi)), pin(privacy.k_anonymity(df, qi))
     spread = pin(privacy.l_diversity(df, qi, roles["sensitive"] if diversity else []))
 
     attack = summary = None
     if aux is not None:
-        attack = linkage(df, aux, key, aux_key, **linkage_options)
+        known = kinds_from(stats, shared_columns(df, aux))
+        attack = linkage(df, aux, key, aux_key, **{"kinds": known, **linkage_options})
         summary = pin(attack.summary())
     risk = scores.risk_score(_risk_inputs(df, roles, unique, checks, summary), weights)
     return Analysis(stats, described, classified, roles, unique, checks, spread, attack, summary, pin(risk))
