@@ -7,22 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgauge.llm import chat, rules, sharding
+import public_tokenizers
+
+from veilgauge.llm import boosting, chat, jaccard, packing, pieces, rules, sharding
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_boosted_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return boosting.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, folder, "documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_linear_grouping(spark: SparkSession, folder: str) -> DataFrame:
+    pieces_ = packing.tokenized(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    short = pieces_.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(short)
+
+
+def op7_t_occurrence(spark: SparkSession, folder: str) -> DataFrame:
+    groups = jaccard.similar_groups(table(spark, folder, "documents"), words=4, similarity=(85, 100))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
-                                  "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     made = chat.format_chats(turns)
     back = made.select("conv_id", "valid", "first_error", F.length("formatted").cast("long").alias("formatted_chars"),
@@ -64,6 +81,13 @@ FROM checked GROUP BY conv_id
 """
 
 
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(table(spark, folder, "documents"), path), path)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_adaptive_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judged(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -126,7 +150,9 @@ FROM measured d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_jump_shards, op8_chat_format, op10_adaptive_rules)}
+    return {f.__name__: f for f in (
+        op3_boosted_quality, op4_jump_shards, op6_linear_grouping, op7_t_occurrence, op8_chat_format, op9_sentencepiece,
+        op10_adaptive_rules)}
 
 
 def statements() -> dict[str, str]:
