@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +80,26 @@ def text_slices(texts: list[str | None], characters: int = 1 << 21):
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda x, y: x | y, conditions)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spread every bit of 64-bit words over all bits."""
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class WordHashes:
+    """64-bit hashes of words; so many words are remembered between texts."""
+
+    def __init__(self, remembered: int = 400_000) -> None:
+        self.remembered = remembered
+        self.known: dict[bytes, int] = {}
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        known = self.known
+        for w in set(words).difference(known):
+            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgauge.llm.common import columns_or_raise, components, text_slices
+from veilgauge.llm.common import WordHashes, columns_or_raise, components, mixed, text_slices
 from veilgauge.session import materialise
 
 #: The library's own defaults; a query may ask for others.
@@ -40,26 +40,16 @@ MOST_COMMON = 1_000_000
 INDEXED, QUERIES = 64, 192
 #: Share of the required overlap that long lists may hold, from the published rule T / (mu log M + 1).
 MU = 0.05
-REMEMBERED = 400_000
 
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Spread every bit of 64-bit words over all bits."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 class Shingler:
     """Sorted 64-bit hashes of the distinct n-grams of texts, words lower-cased in A-Z."""
 
     def __init__(self, words: int) -> None:
         self.words = words
-        self.hashes: dict[bytes, int] = {}
+        self.hashes = WordHashes()
 
     def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for text in texts:
@@ -67,16 +57,11 @@ class Shingler:
             if not tokens:
                 yield np.zeros(0, dtype=np.uint64)
                 continue
-            if len(self.hashes) > REMEMBERED:
-                self.hashes.clear()
-            known = self.hashes
-            for w in set(tokens).difference(known):
-                known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-            h = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+            h = self.hashes.of(tokens)
             n = min(self.words, len(h))
             sums = np.full(len(h) - n + 1, n, dtype=np.uint64)
             for k in range(n):
-                sums = _mixed(sums * _STEPS[k % 3] + h[k:len(h) - n + 1 + k])
+                sums = mixed(sums * _STEPS[k % 3] + h[k:len(h) - n + 1 + k])
             yield np.unique(sums)
 
 

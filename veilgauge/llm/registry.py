@@ -9,13 +9,52 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from veilgauge.llm import boosting, chat, jaccard, packing, pieces, rules, sharding
+from veilgauge.llm import backoff, boosting, chat, jaccard, licences, packing, pieces, pivots, rules, sharding
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_stupid_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    scored = backoff.score_documents(table(spark, folder, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"),
+                         F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+OP1_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+words AS (
+  SELECT id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS pos FROM texts),
+tokens AS (
+  SELECT id, pos, w, lag(w) OVER t AS p1, lag(w, 2) OVER t AS p2 FROM words WINDOW t AS (PARTITION BY id ORDER BY pos)),
+counted AS (
+  SELECT id, pos, p1, p2,
+         count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY id, w) AS c1,
+         count(*) OVER (PARTITION BY p1, w) - count(*) OVER (PARTITION BY id, p1, w) AS c2,
+         count(*) OVER (PARTITION BY p2, p1, w) - count(*) OVER (PARTITION BY id, p2, p1, w) AS c3,
+         count(*) OVER () - count(*) OVER (PARTITION BY id) AS n
+  FROM tokens),
+contexts AS (
+  SELECT *, lag(c1) OVER t AS d2, lag(c2) OVER t AS d3 FROM counted WINDOW t AS (PARTITION BY id ORDER BY pos)),
+unigrams AS (
+  SELECT *, greatest(c1, 1) / greatest(n, 1) AS s1 FROM contexts),
+bigrams AS (
+  SELECT *, CASE WHEN p1 IS NULL THEN s1 WHEN c2 > 0 THEN c2 / d2 ELSE 0.4::DOUBLE * s1 END AS s2 FROM unigrams),
+scores AS (
+  SELECT id, sum(ln(CASE WHEN p2 IS NULL THEN s2 WHEN c3 > 0 THEN c3 / d3 ELSE 0.4::DOUBLE * s2 END)) AS log_score
+  FROM bigrams GROUP BY id)
+SELECT doc_id, len(words) AS n_words, round(coalesce(log_score, 0.0), 4) AS log_score,
+       round(log_score / nullif(len(words), 0), 6) AS mean_log_score
+FROM texts LEFT JOIN scores USING (id)
+"""
+
+
+def op2_pivot_permutation(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op3_boosted_quality(spark: SparkSession, folder: str) -> DataFrame:
     return boosting.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -25,6 +64,12 @@ def op4_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op5_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, folder, "documents").select("doc_id", path.alias("path"), "text")
+    return licences.scan(files).drop("path")
+
+
 def op6_linear_grouping(spark: SparkSession, folder: str) -> DataFrame:
     pieces_ = packing.tokenized(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     short = pieces_.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -151,9 +196,9 @@ FROM measured d
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op3_boosted_quality, op4_jump_shards, op6_linear_grouping, op7_t_occurrence, op8_chat_format, op9_sentencepiece,
+        op1_stupid_backoff, op2_pivot_permutation, op3_boosted_quality, op4_jump_shards, op5_licence_scan, op6_linear_grouping, op7_t_occurrence, op8_chat_format, op9_sentencepiece,
         op10_adaptive_rules)}
 
 
 def statements() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL, "op10_adaptive_rules": OP10_SQL}
+    return {"op1_stupid_backoff": OP1_SQL, "op8_chat_format": OP8_SQL, "op10_adaptive_rules": OP10_SQL}
