@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,14 +133,16 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
                             T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
     answer = T.StructType([f for f in message if f.name != "hashes"])
 
-    def ask(group: pd.DataFrame) -> pd.DataFrame:
-        block, grams = int(group["block"].iat[0]), Grams(group["text"].tolist(), order)
+    def ask(group: pa.Table) -> pa.Table:
+        block, grams = group["block"][0].as_py(), Grams(group["text"].to_pylist(), order)
         rows = [(block, TOTALS, packed(np.zeros(1, np.uint64)), _counts(np.array([grams.lengths.sum()])))]
         part = grams.partitions(parts)
         starts = np.flatnonzero(np.diff(part, prepend=-1))
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
+        ends = np.append(starts[1:], len(part))[:len(starts)]
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             rows.append((block, int(part[a]), packed(grams.hashes[a:b]), _counts(grams.counts[a:b])))
-        return pd.DataFrame(rows, columns=message.names)
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=message.names)
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         hashes = [unpacked(x) for x in group["hashes"]]
@@ -152,17 +155,16 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
     kind = T.StructType([docs.select("doc_id").schema[0], T.StructField("n_words", T.LongType()),
                          T.StructField("log_score", T.DoubleType())])
 
-    def score(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        grams = Grams(texts["text"].tolist(), order)
-        answers = answers.sort_values("part")
-        parts_ = [_values(x) for x in answers["counts"]]
-        words = int(parts_[0][0]) if parts_ else 0  # TOTALS comes first
-        totals = np.concatenate(parts_[1:]) if len(parts_) > 1 else np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"doc_id": texts["doc_id"], "n_words": grams.lengths,
-                             "log_score": grams.log_scores(totals, words, alpha, leave_out)})
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = Grams(texts["text"].to_pylist(), order)
+        found = [_values(x.as_py()) for x in answers.sort_by("part")["counts"]]
+        words = int(found[0][0])  # TOTALS comes first
+        totals = np.concatenate(found[1:]) if len(found) > 1 else np.zeros(0, dtype=np.int64)
+        return pa.table([texts["doc_id"], pa.array(grams.lengths, pa.int64()),
+                         pa.array(grams.log_scores(totals, words, alpha, leave_out), pa.float64())], names=kind.names)
 
     blocks = keyed.groupBy("block")
-    asked = blocks.applyInPandas(ask, message)
+    asked = blocks.applyInArrow(ask, message)
     answers = asked.groupBy("part").applyInPandas(add, answer)
-    scored = blocks.cogroup(answers.groupBy("block")).applyInPandas(score, kind)
+    scored = blocks.cogroup(answers.groupBy("block")).applyInArrow(score, kind)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

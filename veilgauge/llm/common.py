@@ -103,3 +103,33 @@ class WordHashes:
         for w in set(words).difference(known):
             known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+class Remembered:
+    """A bounded store of values by word: two halves, of which the older is given up when the newer is full.
+
+    Words in use move to the newer half, so frequent ones stay.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.half = most // 2
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def of(self, words: list, learn) -> list:
+        """The value of each word; `learn` gets the set of unknown words and returns a dict with them."""
+        found = list(map(self.new.get, words))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        if gaps:
+            missing = {words[i] for i in gaps}
+            if len(self.new) > self.half:
+                self.old, self.new = self.new, {}
+            old = self.old.get
+            kept = {w: v for w in missing if (v := old(w)) is not None}
+            self.new.update(kept)
+            if len(kept) < len(missing):
+                self.new.update(learn(missing.difference(kept)))
+            value = self.new.__getitem__
+            for i in gaps:
+                found[i] = value(words[i])
+        return found

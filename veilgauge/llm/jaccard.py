@@ -1,16 +1,16 @@
 """Jaccard join of word n-gram sets by T-occurrence search.
 
-Equal sets are one class. Two sets can only be similar if they share an element of
+Equal sets are one class. Two sets of the required overlap share a few elements of
 their prefixes under one global order; elements that many texts of a task share come
 last in it, so that common passages seldom lie in a prefix. Prefix postings decide
 which sets meet; the meeting itself is a search over the inverted lists of a block of
 whole sets: the short lists of a query are merged by counting, the long ones are only
 probed by binary search for the candidates that the short ones leave (DivideSkip).
 
-Only connectivity is asked for. Every set is first searched against the first set of
-each of its posting lists; after that, pairs of a list that are connected already need
-no test, and all other pairs of the list are searched in a second round. So a large
-group of near copies costs one search per copy and list, and no link is lost.
+Only connectivity is asked for. Sets are first searched against the first set of their
+posting lists; after that, pairs that are connected already need no test, and all
+other pairs with enough lists in common are searched in a second round. So a large
+group of near copies costs a few searches per copy, and no group is split.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,10 +38,12 @@ COMMON_IN_TASK = 3
 MOST_COMMON = 1_000_000
 #: Sets in the index of a block, and queries that one task searches in it.
 INDEXED, QUERIES = 64, 192
+#: Documents to fetch are broadcast up to this size, taking so many bytes for each; beyond, texts are shuffled.
+BROADCAST_BYTES, OWNER_BYTES = 64 << 20, 128
 #: Share of the required overlap that long lists may hold, from the published rule T / (mu log M + 1).
 MU = 0.05
 
-_STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingler:
@@ -51,18 +53,27 @@ class Shingler:
         self.words = words
         self.hashes = WordHashes()
 
-    def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for text in texts:
-            tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-            if not tokens:
-                yield np.zeros(0, dtype=np.uint64)
-                continue
-            h = self.hashes.of(tokens)
-            n = min(self.words, len(h))
-            sums = np.full(len(h) - n + 1, n, dtype=np.uint64)
-            for k in range(n):
-                sums = mixed(sums * _STEPS[k % 3] + h[k:len(h) - n + 1 + k])
-            yield np.unique(sums)
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        tokens = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
+        lengths = np.array([len(x) for x in tokens])
+        h = self.hashes.of([w for x in tokens for w in x])
+        sums = h.copy()
+        for k in range(1, self.words):
+            sums[:-k or None] = sums[:-k or None] * _STEP + h[k:]
+        sums = mixed(sums)
+        out, first = [], 0
+        for n in lengths.tolist():
+            if n >= self.words:
+                out.append(np.unique(sums[first:first + n - self.words + 1]))
+            elif n:  # the whole sequence as one
+                value = np.array([n], dtype=np.uint64)
+                for k in range(first, first + n):
+                    value = mixed(value * _STEP + h[k])
+                out.append(value)
+            else:
+                out.append(np.zeros(0, dtype=np.uint64))
+            first += n
+        return out
 
 
 def _digest(values: np.ndarray) -> bytes:
@@ -78,6 +89,15 @@ def _required(n: int, similarity: tuple[int, int]) -> int:
     return -(-similarity[0] * n // similarity[1])
 
 
+def _shared(n: int, similarity: tuple[int, int]) -> int:
+    """Prefix elements that a set of n elements shares with every similar one, within its lengthened prefix.
+
+    A prefix of n - required + m elements holds the m smallest common ones; more of
+    them make candidates rarer and prefixes a little longer.
+    """
+    return min(16, 1 + _required(n, similarity) // 25)
+
+
 def _fields(*names: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in names])
 
@@ -116,8 +136,8 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, words: int, similarity: tuple[int, int], common: np.ndarray) -> DataFrame:
-    """(shingle, node, n) for the prefix of every distinct set of a task."""
-    kind = _fields(("shingle", T.LongType()), ("node", T.LongType()), ("n", T.IntegerType()))
+    """(shingle, node, least) for the prefix of every distinct set of a task; least: elements that it has to share."""
+    kind = _fields(("shingle", T.LongType()), ("node", T.LongType()), ("least", T.IntegerType()))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(words), set()
@@ -133,10 +153,10 @@ def _postings(docs: DataFrame, words: int, similarity: tuple[int, int], common:
                     at = np.searchsorted(common, values)
                     late = common[np.minimum(at, len(common) - 1)] == values if len(common) else np.zeros(len(values), dtype=bool)
                     ordered = np.concatenate([values[~late], values[late]])
-                    prefix = ordered[:len(values) - _required(len(values), similarity) + 1]
-                    prefixes.append(prefix)
+                    least = _shared(len(values), similarity)
+                    prefixes.append(ordered[:len(values) - _required(len(values), similarity) + least])
                     nodes.append(node)
-                    sizes.append(len(values))
+                    sizes.append(least)
                 lengths = [len(p) for p in prefixes]
                 if lengths:
                     yield pa.RecordBatch.from_arrays(
@@ -207,12 +227,46 @@ class Index:
         return found[similarity[1] * shared >= similarity[0] * union]
 
 
-def _searched(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], blocks: int) -> DataFrame:
+def _open_pairs(listed: DataFrame, near: DataFrame | None) -> DataFrame:
+    """Pairs of nodes (a, b) that share enough lists and aren't connected yet.
+
+    Lists whose sets are all connected are passed over. In the others, the sets outside
+    the list's largest component meet all sets of the list.
+    """
+    alone = F.hex("node").cast("binary")
+    if near is None:
+        placed = listed.select("shingle", "node", "least", alone.alias("component"))
+    else:
+        of = near.select(_node(F.col("node")).alias("node"), "component")
+        placed = listed.join(of, "node", "left").select("shingle", "node", "least", F.coalesce("component", alone).alias("component"))
+    placed, _ = materialise(placed)
+    crowds = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("held"))
+    mixed_ = crowds.groupBy("shingle").agg(F.max_by("component", F.struct("held", "component")).alias("main"),
+                                           F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
+    placed, _ = materialise(placed.join(mixed_, "shingle").distinct())
+    side = lambda x: placed.select("shingle", F.col("node").alias(x), F.col("least").alias(f"least_{x}"),
+                                   F.col("component").alias(f"of_{x}"), (F.col("component") == F.col("main")).alias(f"main_{x}"))
+    met = side("a").where("NOT main_a").join(side("b"), "shingle").where("of_a <> of_b AND (main_b OR a < b)")
+    return (met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            .agg(F.count(F.lit(1)).alias("lists"), F.min(F.least("least_a", "least_b")).alias("least"))
+            .where("lists >= least").select("a", "b"))
+
+
+def _searched(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, int]:
     """Links (a, b) between digests, for node pairs (a, b): b is searched in the block of sets that holds a."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    owners, many = materialise(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("owner"))
+                               .withColumn("node", _node(F.col("digest"))).join(wanted, "node", "left_semi").select("owner", "digest"))
+    blocks = max(1, many // INDEXED)
+    if many * OWNER_BYTES <= BROADCAST_BYTES:
+        owners = F.broadcast(owners)  # counted; else both sides are shuffled
+    texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("owner")))
+    sets, held = materialise(_sets_of(texts, words))
+    if held > many:  # repeated rows
+        sets = sets.dropDuplicates(["digest"])
     block = F.pmod(F.hash("a"), F.lit(blocks))
     asked = pairs.select(block.alias("block"), "b").distinct()
-    load = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts"))
-    load, _ = materialise(load)
+    load, _ = materialise(asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts")))
     queries = asked.join(load, "block").select(
         "block", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("node"), F.lit(True).alias("query"))
     indexed = pairs.select(block.alias("block"), F.col("a").alias("node")).distinct().join(load, "block").select(
@@ -228,7 +282,7 @@ def _searched(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], bl
         found = [(digests[held[j]], digests[i]) for i in np.flatnonzero(query) for j in index.search(values[i], similarity)]
         return pd.DataFrame([(a, b) for a, b in found if a != b], columns=["a", "b"], dtype=object)
 
-    return meeting.groupBy("block", "salt").applyInPandas(search, _fields(("a", T.BinaryType()), ("b", T.BinaryType())))
+    return materialise(meeting.groupBy("block", "salt").applyInPandas(search, _fields(("a", T.BinaryType()), ("b", T.BinaryType()))))
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -246,41 +300,25 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, i
     common = (described.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("texts").alias("texts"))
               .orderBy(F.desc("texts"), "shingle").limit(MOST_COMMON).select("shingle").toArrow())
     common = np.sort(np.asarray(common["shingle"].combine_chunks()).view(np.uint64))
-
-    postings = _postings(docs, words, similarity, common)
-    postings, _ = materialise(postings)
-    leads = (postings.groupBy("shingle").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-             .where("lead < last").drop("last"))
-    listed, _ = materialise(postings.join(leads, "shingle").select("shingle", "node", "n", "lead"))
-    stars, many = materialise(listed.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-
-    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    owners = (rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-              .withColumn("node", _node(F.col("digest"))).join(wanted, "node", "left_semi").select("doc_id", "digest"))
-    texts = docs.select(F.col("doc_id").alias("at"), "text")
-    sets, held = materialise(_sets_of(texts.join(owners, texts["at"].eqNullSafe(owners["doc_id"])), words)
-                             .dropDuplicates(["digest"]))
-    blocks = max(1, held // INDEXED)
-
-    linked, _ = materialise(_searched(stars, sets, similarity, blocks))
-    near = components(linked)
+    each = Window.partitionBy("shingle")
+    postings = _postings(docs, words, similarity, common).withColumns(
+        {"lead": F.min("node").over(each), "last": F.max("node").over(each)})
+    listed, _ = materialise(postings.where("lead < last").select("shingle", "node", "least", "lead"))
+    stars, many = materialise(
+        listed.where("node <> lead").groupBy(F.col("lead").alias("a"), F.col("node").alias("b"))
+        .agg(F.count(F.lit(1)).alias("lists"), F.min("least").alias("least")).where("lists >= least(4, least)").select("a", "b"))
+    linked = near = None
     if many:
-        of = near.select(_node(F.col("node")).alias("node"), "component")
-        placed = (listed.where("node <> lead").join(of, "node", "left")
-                  .select("shingle", "node", "n", F.coalesce(F.col("component"), F.hex("node").cast("binary")).alias("component")))
-        crowds = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("held"))
-        mixed = crowds.groupBy("shingle").agg(F.max_by("component", F.struct("held", "component")).alias("main"),
-                                              F.count(F.lit(1)).alias("n_components")).where("n_components > 1").drop("n_components")
-        placed, _ = materialise(placed.join(mixed, "shingle"))
-        left = placed.where("component <> main").select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-        right = placed.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-        close = ((F.lit(similarity[1]) * F.least("n_a", "n_b").cast("long") >= F.lit(similarity[0]) * F.greatest("n_a", "n_b").cast("long")))
-        pairs = left.join(right, "shingle").where((F.col("of_a") != F.col("of_b")) & close)
-        pairs, more = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if more:
-            further, found = materialise(_searched(pairs, sets, similarity, blocks))
-            if found:
-                near = components(linked.unionByName(further))
+        linked, _ = _searched(stars, rows, docs, words, similarity)
+        near = components(linked)
+    pairs, more = materialise(_open_pairs(listed, near))
+    if more:
+        further, found = _searched(pairs, rows, docs, words, similarity)
+        linked = further if linked is None else linked.unionByName(further)
+        if found or near is None:
+            near = components(linked)
+    if near is None:
+        near = rows.limit(0).select(F.col("digest").alias("node"), F.col("digest").alias("component"))
 
     labelled = rows.join(near.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
         "component", F.coalesce("component", "digest"))
@@ -307,6 +345,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] =
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "doc_id").agg(
         F.min("text_key").alias("text_key"))
     kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed["_text_key"] == kept["kept_key"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",
+                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    found = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
+    return found.dropDuplicates(["doc_id", "text_key"]).select("row.*")

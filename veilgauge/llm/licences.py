@@ -127,9 +127,11 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, li
     ancestor directory, the file's own directory first) or "none". A licence file is
     one with a customary name and any match, or one whose whole text matches. Of
     several in a directory the best cosine counts, then the smallest path. A null path
-    inherits nothing; null and empty texts match nothing; repeated rows stay.
+    inherits nothing; null and empty texts match nothing; repeated rows stay. Columns
+    named like an added one are replaced.
     """
     columns_or_raise(files, "path", "text")
+    files = files.drop("licence", "cosine", "origin", "from_path", "_licence", "_cosine", "_whole", "_directory", "best", "ancestor")
     templates = templates or TEMPLATES
     vocabulary = frozenset(w for notices in templates.values() for n in notices for w in terms(n))
     weights = Weights(*frequencies(files, vocabulary), threshold, templates)

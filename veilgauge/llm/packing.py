@@ -11,6 +11,7 @@ place from its length and its rank among the pieces of that length.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgauge.llm.common import columns_or_raise, text_slices
+from veilgauge.llm.common import Remembered, columns_or_raise, text_slices
+from veilgauge.llm.merges import PairMerges, split_ids
 from veilgauge.session import materialise
 
 CAPACITY = 4096
@@ -32,7 +34,7 @@ END = 1
 SMALL = 8
 #: Group counts tried; the plan with the fewest sequences is taken.
 GROUPS = (16, 64, 256)
-#: Chunks of text remembered by a Python worker; beyond that, only those of the last texts are.
+#: Chunks of text remembered by a Python worker.
 REMEMBERED = 500_000
 
 
@@ -48,36 +50,71 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
+        self.seen = Remembered(REMEMBERED)
+        self._read_merges(path)
         if self._ids(["a b", "a", "b"])[0] != b"".join(self._ids(["a", "b"])):
             raise ValueError("only tokenizers that drop white space are supported")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _read_merges(self, path: str) -> None:
+        """The tokenizer's own merge table, for plain words: many new ones a round instead of a call each."""
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        self.merges = PairMerges({(vocabulary[a], vocabulary[b]): (r, vocabulary[a + b]) for r, (a, b) in enumerate(pairs)}, len(vocabulary))
+        # Bytes stand for themselves where printable and else, in order, for the characters from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        spare = iter(range(256, 512))
+        names = [chr(b) if b in set(printable) else chr(next(spare)) for b in range(256)]
+        self.inside = np.array([vocabulary[n] for n in names])
+        self.last = np.array([vocabulary[n + suffix] for n in names])
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of Latin-1 letters."""
+        if not words:
+            return []
+        coded = [w.encode() for w in words]
+        lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        flat = np.frombuffer(b"".join(coded), dtype=np.uint8)
+        sym = self.inside[flat]
+        ends = np.cumsum(lengths) - 1
+        sym[ends] = self.last[flat[ends]]
+        return split_ids(*self.merges.merge(sym, np.repeat(np.arange(len(coded)), lengths)), len(coded))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         # Python also splits at four control characters that are no white space to the tokenizer.
         plain = [t if t and not any(c in t for c in "\x1c\x1d\x1e\x1f") else "" for t in texts]
         chunks = [t.split() for t in plain]
-        here = set().union(*chunks)
-        fresh = here.difference(self.seen)
-        if fresh:
-            if len(self.seen) > REMEMBERED:
-                self.seen = {c: self.seen[c] for c in here.intersection(self.seen)}
-            bodies = {}  # a word and the stops behind it are separate tokens
-            for c in fresh:
-                body = c.rstrip(".,")
-                bodies[c] = (body, c[len(body):]) if body and len(body) < len(c) and body[-1].lower()[-1].isalpha() else (c, "")
-            parts = list({p for x in bodies.values() for p in x if p and p not in self.seen})
-            self.seen.update(zip(parts, self._ids(parts), strict=True))
-            self.seen.update((c, self.seen[a] + (self.seen[b] if b else b"")) for c, (a, b) in bodies.items())
-        of = self.seen.__getitem__
-        out = [b"".join(map(of, x)) for x in chunks]
+        ids = self.seen.of([c for x in chunks for c in x], self._learn)
+        out, first = [], 0
+        for x in chunks:
+            out.append(b"".join(ids[first:first + len(x)]))
+            first += len(x)
         for i, text in enumerate(texts):
             if text and not plain[i]:
                 out[i] = self._ids([text])[0]
         return out
 
+    def _learn(self, fresh: set[str]) -> dict[str, bytes]:
+        """A word of Latin-1 letters and the stops behind it are separate tokens, and its case doesn't matter."""
+        parts, words, others = {}, set(), set()
+        for chunk in fresh:
+            word = chunk.rstrip(".,")
+            if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+                parts[chunk] = word, stops = word.lower(), chunk[len(word):]
+                words.add(word)
+                others.add(stops)
+            else:
+                others.add(chunk)
+        others.discard("")
+        words, others = list(words), list(others)
+        of = dict(zip(words, self._words(words), strict=True))
+        rest = dict(zip(others, self._ids(others), strict=True))
+        return {c: of[parts[c][0]] + rest.get(parts[c][1], b"") if c in parts else rest[c] for c in fresh}
+
 
 @lru_cache(maxsize=2)
 def chunks(path: str) -> Chunks:
@@ -265,9 +302,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] =
 
     `pieces` has a `length` from 1 to `capacity`. Every row gets a place. Ranks are
     counted inside the tasks that write the rows, and completed by a join with the
-    counts of (task, length); only the histogram of lengths reaches the driver.
+    counts of (task, length); only the histogram of lengths reaches the driver. Columns
+    that are named like an added one are replaced.
     """
     columns_or_raise(pieces, "length")
+    pieces = pieces.drop("sequence_id", "offset", "_task", "_in_task", "_base", "_rank")
     counted = T.StructType([*pieces.schema.fields, T.StructField("_task", T.IntegerType()), T.StructField("_in_task", T.LongType())])
     place = pieces.columns.index("length")
 

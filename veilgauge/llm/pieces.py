@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilgauge.llm.common import columns_or_raise, text_slices
+from veilgauge.llm.common import Remembered, columns_or_raise, text_slices
+from veilgauge.llm.merges import PairMerges, split_ids
 
 BLANK = "▁"
-NO_PAIR = np.iinfo(np.int64).max
-#: Units remembered by a Python worker; beyond that, only those of the last texts are.
+#: Units remembered by a Python worker.
 REMEMBERED = 500_000
 CODEPOINTS = 0x110000
 
@@ -60,90 +60,22 @@ class Vocabulary:
             for k in range(1, len(piece)):
                 left, right = of(piece[:k]), of(piece[k:])
                 if left is not None and right is not None:
-                    pairs[left * (size + CODEPOINTS) + right] = (order[model.get_score(i)], i)
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], dtype=np.int64)
-        self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], dtype=np.int64)
+                    pairs[left, right] = (order[model.get_score(i)], i)
+        self.pairs = PairMerges(pairs, size + CODEPOINTS)
         alone = "".join(c for c in "\n\t\r" if c not in joined)  # characters that never merge end a unit as well
         stops = re.escape(alone)
         self.units = re.compile((f"[{stops}]|" if alone else "") + f"{BLANK}*[^{BLANK}{stops}]+|{BLANK}+")
         self.text_of = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i)
                         else b" \xe2\x81\x87 " if model.is_unknown(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
-        self.seen: dict[str, bytes] = {}
-
-    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left * (self.size + CODEPOINTS) + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        found = self.keys[at] == key
-        return np.where(found, self.ranks[at], NO_PAIR), self.merged[at]
+        self.seen = Remembered(REMEMBERED)
 
     def merge(self, units: list[str]) -> list[bytes]:
         """Ids of each unit, as little-endian unsigned 32-bit integers."""
         lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        sym = self.symbol[flat]
-        unit = np.repeat(np.arange(len(units)), lengths)
-        rank, made = np.full(len(sym), NO_PAIR), np.zeros(len(sym), dtype=np.int64)
-        inside = np.flatnonzero(unit[:-1] == unit[1:])
-        rank[inside], made[inside] = self._look_up(sym[inside], sym[inside + 1])
-        done_unit, done_sym = [], []
-        while len(sym):
-            starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-            sizes = np.diff(np.r_[starts, len(unit)])
-            least = np.repeat(np.minimum.reduceat(rank, starts), sizes)
-            over = least == NO_PAIR
-            if over.any():
-                done_unit.append(unit[over])
-                done_sym.append(sym[over])
-                sym, unit, rank, made, least = (x[~over] for x in (sym, unit, rank, made, least))
-                if not len(sym):
-                    break
-            merges = self._chosen(sym, unit, rank, made, least)
-            sym[merges] = made[merges]
-            keep = np.ones(len(sym), dtype=bool)
-            keep[merges + 1] = False
-            place = np.cumsum(keep) - 1
-            changed = place[merges]
-            sym, unit, rank, made = (x[keep] for x in (sym, unit, rank, made))
-            stale = np.zeros(len(sym) + 1, dtype=bool)  # the place before the first is the last, which is spare
-            stale[changed] = stale[changed - 1] = True
-            anew = np.flatnonzero(stale[:-1])
-            rank[anew] = NO_PAIR
-            anew = anew[anew + 1 < len(sym)]
-            anew = anew[unit[anew] == unit[anew + 1]]
-            rank[anew], made[anew] = self._look_up(sym[anew], sym[anew + 1])
-        unit, sym = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (done_unit, done_sym))
-        order = np.argsort(unit, kind="stable")
-        unit, sym = self._fall_back(unit[order], sym[order])
-        ends = np.searchsorted(unit, np.arange(len(units)), side="right") * 4
-        raw = sym.astype("<u4").tobytes()
-        return [raw[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
-
-    def _chosen(self, sym, unit, rank, made, least) -> np.ndarray:
-        """Positions to merge: per unit the occurrences of its minimum rank that do not overlap, from the left.
-
-        A unit whose merges would bring up a pair of smaller or equal rank merges only
-        its leftmost occurrence, so that the order stays that of one merge at a time.
-        """
-        at = np.flatnonzero(rank == least)
-        run = np.flatnonzero(np.r_[True, np.diff(at) != 1])
-        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
-        first = np.r_[True, unit[at[1:]] != unit[at[:-1]]]
-        if first.all():
-            return at
-        new = made[at]
-        left = at - 1
-        behind = np.r_[False, at[1:] - at[:-1] == 2]  # the pair before was merged as well
-        left_sym = np.where(behind, np.r_[0, new[:-1]], sym[left])
-        left_in = (left >= 0) & (unit[left] == unit[at])
-        right = np.minimum(at + 2, len(sym) - 1)
-        right_in = (at + 2 < len(sym)) & (unit[right] == unit[at])
-        early = (left_in & (self._look_up(left_sym, new)[0] <= least[at])) | (
-            right_in & (self._look_up(new, sym[right])[0] <= least[at]))
-        if not early.any():
-            return at
-        unsafe = np.isin(unit[at], unit[at[early]])
-        return at[first | ~unsafe]
+        sym, unit = self.pairs.merge(self.symbol[flat], np.repeat(np.arange(len(units)), lengths))
+        unit, sym = self._fall_back(unit, sym)
+        return split_ids(sym, unit, len(units))
 
     def _fall_back(self, unit: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece as the pieces of their bytes, or else the unknown piece."""
@@ -162,14 +94,16 @@ class Vocabulary:
         """Ids of each text with begin and end ids; a null text counts as empty."""
         before, after = (np.array([x], dtype="<u4").tobytes() if ends else b"" for x in (self.begin, self.end))
         units = [self.units.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        here = set().union(*units)
-        fresh = list(here.difference(self.seen))
-        if fresh:
-            if len(self.seen) > REMEMBERED:
-                self.seen = {u: self.seen[u] for u in here.intersection(self.seen)}
-            self.seen.update(zip(fresh, self.merge(fresh), strict=True))
-        of = self.seen.__getitem__
-        return [before + b"".join(map(of, x)) + after for x in units]
+        ids = self.seen.of([u for x in units for u in x], self._learn)
+        out, first = [], 0
+        for x in units:
+            out.append(before + b"".join(ids[first:first + len(x)]) + after)
+            first += len(x)
+        return out
+
+    def _learn(self, fresh: set[str]) -> dict[str, bytes]:
+        units = list(fresh)
+        return dict(zip(units, self.merge(units), strict=True))
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -206,6 +140,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", ends: bool = True) -
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The columns of `encoded` with `decoded`, the text of `ids`; null ids give a null text."""
     columns_or_raise(encoded, "ids")
+    encoded = encoded.drop("decoded")
     kind = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
     place = encoded.columns.index("ids")
 

@@ -67,7 +67,10 @@ def op4_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op5_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     files = table(spark, folder, "documents").select("doc_id", path.alias("path"), "text")
-    return licences.scan(files).drop("path")
+    found = licences.scan(files)
+    inherited = F.col("origin") == "inherited"
+    return found.select("doc_id", F.when(~inherited, F.col("licence")).alias("licence"), "cosine", "origin",
+                        F.when(inherited, F.col("licence")).alias("directory_licence"), "from_path")
 
 
 def op6_linear_grouping(spark: SparkSession, folder: str) -> DataFrame:

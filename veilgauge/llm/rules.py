@@ -141,6 +141,7 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows that the rules keep, with their own columns; equal rows share a verdict."""
     key = ["doc_id", "lang", "source", "text_key"]
     good = judged(docs, **options).where("kept").select(*[F.col(c).alias(f"good_{c}") for c in key]).distinct()
-    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    same = [docs[c].eqNullSafe(F.col(f"good_{c}")) for c in key[:3]]
-    return docs.join(good, (text_key == F.col("good_text_key")) & same[0] & same[1] & same[2], "left_semi")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "lang", "source",
+                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    same = [F.col(c).eqNullSafe(F.col(f"good_{c}")) for c in key[:3]]
+    return whole.join(good, (F.col("text_key") == F.col("good_text_key")) & same[0] & same[1] & same[2], "left_semi").select("row.*")
