@@ -97,7 +97,7 @@ def test_packed_hashes_round_trip():
     rng = np.random.default_rng(0)
     for n, top in ((1, 2**60), (2, 2**60), (5000, 2**60), (100, 200)):
         values = np.unique(rng.integers(0, top, n).astype(np.uint64))
-        assert (backoff.unpacked(backoff.packed(values)) == values).all()
+        assert (backoff.unpacked(backoff.packed(values), len(values)) == values).all()
 
 
 # pivot index -----------------------------------------------------------------

@@ -25,9 +25,10 @@ from veilgauge.llm.common import WordHashes, columns_or_raise, mixed
 ORDER = 3
 #: The factor for every step back, as published.
 ALPHA = 0.4
-BLOCK_BYTES = 4_000_000
-#: n-grams are compared by so many bits of a hash: two of a billion different ones collide with a chance of 0.4.
-HASH_BITS = 60
+BLOCK_BYTES = 8_000_000
+#: n-grams are compared by so many bits of a hash. Among a billion different ones, a given one shares its hash
+#: with a chance of 1.4e-8; fewer bits make messages smaller.
+HASH_BITS = 56
 _MASK = np.uint64((1 << HASH_BITS) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 TOTALS = -1
@@ -36,14 +37,16 @@ TOTALS = -1
 class Grams:
     """The n-grams of a block of texts.
 
-    `hashes` are the distinct ones, sorted; `at[n]` says for each word which of them
-    ends there with n words, -1 where the text has fewer before.
+    `hashes` are the distinct ones, sorted, and `counts` their occurrences. With
+    `places`, `at[n]` says for each word which of them ends there with n + 1 words, -1
+    where the text has fewer before, and `own[n]` how often the word's text holds it.
     """
 
-    def __init__(self, texts: list[str | None], order: int) -> None:
+    def __init__(self, texts: list[str | None], order: int, places: bool = False) -> None:
         words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
         self.lengths = np.array([len(w) for w in words], dtype=np.int64)
         flat = WordHashes(1 << 62).of([w for ws in words for w in ws])
+        del words
         self.text = np.repeat(np.arange(len(texts)), self.lengths)
         self.place = np.arange(len(flat)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         hashes, before = [], flat
@@ -55,29 +58,35 @@ class Grams:
                 now[1:] = mixed(before[:-1] * _STEP + flat[1:] + np.uint64(n))
             hashes.append(now & _MASK)
             before = now
-        valid = [self.place >= n for n in range(order)]
-        both = np.concatenate([h[v] for h, v in zip(hashes, valid, strict=True)])
-        self.hashes, inverse, self.counts = np.unique(both, return_inverse=True, return_counts=True)
-        self.at = np.full((order, len(flat)), -1, dtype=np.int64)
+        ends = [np.flatnonzero(self.place >= n) for n in range(order)]
+        every = np.concatenate([h[e] for h, e in zip(hashes, ends, strict=True)])
+        if not places:
+            self.hashes, self.counts = np.unique(every, return_counts=True)
+            return
+        # One stable sort gives the distinct n-grams, their places, and their runs within a text.
+        order_ = np.argsort(every, kind="stable")
+        every, text = every[order_], np.concatenate([self.text[e] for e in ends])[order_]
+        fresh = np.r_[True, every[1:] != every[:-1]][:len(every)]
+        self.hashes, self.counts = every[fresh], np.diff(np.r_[np.flatnonzero(fresh), len(every)])
+        run = np.flatnonzero(fresh | np.r_[True, text[1:] != text[:-1]][:len(every)])
+        sizes = np.diff(np.r_[run, len(every)])
+        at, own = np.empty(len(every), dtype=np.int64), np.empty(len(every), dtype=np.int64)
+        at[order_], own[order_] = np.cumsum(fresh) - 1, np.repeat(sizes, sizes)
+        self.at, self.own = np.full((order, len(flat)), -1, dtype=np.int64), np.zeros((order, len(flat)), dtype=np.int64)
         first = 0
-        for n in range(order):
-            m = int(valid[n].sum())
-            self.at[n, valid[n]] = inverse[first:first + m]
-            first += m
+        for n, e in enumerate(ends):
+            self.at[n, e], self.own[n, e] = at[first:first + len(e)], own[first:first + len(e)]
+            first += len(e)
 
     def partitions(self, parts: int) -> np.ndarray:
         return ((self.hashes >> np.uint64(HASH_BITS - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
     def log_scores(self, totals: np.ndarray, words: int, alpha: float, leave_out: bool) -> np.ndarray:
         """Sum of the natural logarithms of the scores per text."""
-        order, n = self.at.shape
-        own = np.zeros_like(self.at)
-        if leave_out and n:
-            for k in range(order):  # how often the word's text itself holds the n-gram
-                pair = self.text * (len(self.hashes) + 1) + self.at[k]
-                _, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
-                own[k] = counts[inverse]
-        seen = np.append(totals, 0)[self.at] - own
+        order = len(self.at)
+        seen = np.append(totals, 0)[self.at]
+        if leave_out:
+            seen -= self.own
         rest = words - (self.lengths[self.text] if leave_out else 0)
         score = np.maximum(seen[0], 1) / np.maximum(rest, 1)
         for k in range(1, order):
@@ -90,20 +99,16 @@ class Grams:
 
 
 def packed(hashes: np.ndarray) -> bytes:
-    """Ascending hashes as differences of as many bytes as the largest needs."""
+    """Ascending hashes as differences: four low bytes each, and the rest, which is small, compressed."""
     steps = np.diff(hashes, prepend=np.uint64(0))
-    width = max(1, -(-int(steps[1:].max(initial=0)).bit_length() // 8))
-    body = steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + hashes[:1].astype("<u8").tobytes() + body.tobytes()
+    return steps.astype("<u4").tobytes() + zlib.compress((steps >> np.uint64(32)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    width = data[0]
-    body = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(-1, width)
-    steps = np.zeros((len(body) + 1, 8), dtype=np.uint8)
-    steps[0] = np.frombuffer(data, dtype=np.uint8, count=8, offset=1)
-    steps[1:, :width] = body
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """The `n` hashes of a message."""
+    low = np.frombuffer(data, dtype="<u4", count=n).astype(np.uint64)
+    high = np.ascontiguousarray(np.frombuffer(zlib.decompress(data[4 * n:]), dtype=np.uint8).reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(low | high.astype(np.uint64) << np.uint64(32), dtype=np.uint64)
 
 
 def _counts(values: np.ndarray) -> bytes:
@@ -145,9 +150,10 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=message.names)
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        hashes = [unpacked(x) for x in group["hashes"]]
+        counts = [_values(x) for x in group["counts"]]
+        hashes = [unpacked(x, len(c)) for x, c in zip(group["hashes"], counts, strict=True)]
         distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.concatenate([_values(x) for x in group["counts"]])
+        counts = np.concatenate(counts)
         totals = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)[inverse]
         ends = np.cumsum([len(x) for x in hashes])[:-1]
         return pd.DataFrame({"block": group["block"], "part": group["part"], "counts": [_counts(x) for x in np.split(totals, ends)]})
@@ -156,7 +162,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
                          T.StructField("log_score", T.DoubleType())])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = Grams(texts["text"].to_pylist(), order)
+        grams = Grams(texts["text"].to_pylist(), order, places=True)
         found = [_values(x.as_py()) for x in answers.sort_by("part")["counts"]]
         words = int(found[0][0])  # TOTALS comes first
         totals = np.concatenate(found[1:]) if len(found) > 1 else np.zeros(0, dtype=np.int64)
