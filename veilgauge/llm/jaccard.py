@@ -193,6 +193,7 @@ class Index:
         self.owner = owner[order]  # ascending within each list
         self.values, self.starts = np.unique(values[order], return_index=True)
         self.ends = np.append(self.starts[1:], len(values))
+        self.keys = np.repeat(np.arange(len(self.values)), self.ends - self.starts) * len(sets) + self.owner
 
     def search(self, query: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
         """Indexed sets with 'similarity' or more to the query."""
@@ -214,15 +215,10 @@ class Index:
         counts = np.bincount(self.owner[np.repeat(self.starts[short], sizes) + inside], minlength=len(self.sizes))
         found = np.flatnonzero(counts >= required - aside)
         shared = counts[found]
-        for k in range(len(long) if len(found) else 0):
-            members = self.owner[self.starts[long[k]]:self.ends[long[k]]]
-            place = np.searchsorted(members, found)
-            shared = shared + (members[np.minimum(place, len(members) - 1)] == found)
-            # What the lists left can still add is bounded, so hopeless candidates go early.
-            hope = shared + (len(long) - k - 1) >= required
-            found, shared = found[hope], shared[hope]
-            if not len(found):
-                break
+        # Probe every long list for every candidate by binary search.
+        probes = long[:, None] * len(self.sizes) + found
+        place = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
+        shared = shared + (self.keys[place] == probes).sum(axis=0)
         union = len(query) + self.sizes[found] - shared
         return found[similarity[1] * shared >= similarity[0] * union]
 
