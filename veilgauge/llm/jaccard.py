@@ -41,7 +41,7 @@ INDEXED, QUERIES = 64, 192
 #: Documents to fetch are broadcast up to this size, taking so many bytes for each; beyond, texts are shuffled.
 BROADCAST_BYTES, OWNER_BYTES = 64 << 20, 128
 #: Share of the required overlap that long lists may hold, from the published rule T / (mu log M + 1).
-MU = 0.05
+MU = 1.0
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
