@@ -156,13 +156,20 @@ def test_numeric_codes_are_compared_exactly(spark, code, score):
     assert row["matching_attributes"]["Pincode"]["kind"] == "categorical"
 
 
-def test_every_row_takes_part_unless_capped(spark):
+def test_every_row_takes_part(spark):
     rows = [(20 + i % 50, "Male" if i % 2 else "Female") for i in range(500)]
     schema = "Age int, Gender string"
     full = link(spark, rows, rows, schema).summary().first()
     assert full["target_rows_tested"] == 500 and not full["was_truncated"] and full["matches_found"] == 1500
-    capped = link(spark, rows, rows, schema, max_rows=400).summary().first()
-    assert capped["was_truncated"] and capped["candidates_tested"] == 160_000
+
+
+def test_weights_go_by_either_name(spark):
+    rows, schema = [(20, "Male"), (30, "Female")], "Age int, Gender string"
+    a, b = (link(spark, rows, rows, schema, weights=w).matches.orderBy("key_a", "match_rank").collect()
+            for w in ({"numeric_closeness": 0.9, "categorical_exact": 0.1}, {"numeric": 0.9, "categorical": 0.1}))
+    assert a == b and len(a)
+    with pytest.raises(ValueError, match="unknown weights"):
+        link(spark, rows, rows, schema, weights={"colour": 1.0})
 
 
 def test_too_many_signatures_ask_for_fewer_columns(spark):

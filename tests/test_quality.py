@@ -3,7 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from veilgauge.functions import dates
 from veilgauge.operators import faults, fixes, ml, quality, scores
+from veilgauge.operators.frequencies import column_statistics
 
 
 def issues(df):
@@ -65,9 +67,7 @@ def test_readiness_findings(spark):
     assert {r["check"]: r["severity"] for r in ml.ml_findings(sparse, "a").collect()}["high_sparsity"] == "HIGH"
 
 
-@pytest.mark.parametrize("wide", [2, 16])
-def test_correlation_handles_nulls_and_constants(spark, monkeypatch, wide):
-    monkeypatch.setattr(ml, "WIDE", wide)
+def test_correlation_handles_nulls_and_constants(spark):
     rows = [(float(i), float(i * i), 7.0, float(-i) if i % 3 else None, 1e9 + i) for i in range(30)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
     got = {(r["column_a"], r["column_b"]): r["correlation"] for r in ml.correlation_pairs(df).collect()}
@@ -106,3 +106,29 @@ def test_injected_faults_are_found_again(spark):
     assert 200 < known.count() < 360 and aux.count() > known.count()
     off = known.join(df.select("id", F.col("age").alias("true_age")), "id")
     assert off.where(F.abs(F.col("age") - F.col("true_age")) > 1).isEmpty()
+
+
+def test_an_infinity_correlates_with_nothing(spark):
+    rows = [(float(i % 7), float(i * 31 % 11), math.inf if i == 3 else float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r["column_a"], r["column_b"]): r["correlation"] for r in ml.correlation_pairs(df).collect()}
+    assert got["a", "c"] is None and got["b", "c"] is None and abs(got["a", "b"]) < 0.5
+    assert not [r for r in ml.ml_findings(df, "c").collect() if "correlation" in r["check"] or "leakage" in r["check"]]
+
+
+def test_long_padding_hides_no_label(spark):
+    df = spark.createDataFrame([("abc",), (" " * 200 + "Abc",), ("xyz",), (" " * 60 + "2024-01-05" + "\t" * 90,)], "t string")
+    row = column_statistics(df).first()
+    assert (row["stripped_unique"], row["folded_unique"], row["parsed_rows"]) == (4, 3, 1)
+
+
+@pytest.mark.parametrize("value, want", [
+    ("01/02/24", "2024-01-02 00:00:00"), ("1/2/2024 10:30", "2024-01-02 10:30:00"), ("01/02/2024 10:30 AM", "2024-01-02 10:30:00"),
+    ("01/02/2024 12:05 am", "2024-01-02 00:05:00"), ("01/02/2024 1:05:09 PM", "2024-01-02 13:05:09"),
+    ("2024-01-01T10:00:00.123Z", "2024-01-01 10:00:00.123000"), ("2024-01-01T10:00:00+05:30", "2024-01-01 04:30:00"),
+    ("20240101", "2024-01-01 00:00:00"), ("5-Jan-2024", "2024-01-05 00:00:00"), ("Jan 05 2024 10:00", "2024-01-05 10:00:00"),
+    ("\t2024-01-05\t", "2024-01-05 00:00:00"), ("31/12/99", "1999-12-31 00:00:00"), ("2024-01-05 25:00", None),
+    ("2024-13-45", None), ("12:30", None), ("99999999", None), ("", None), (None, None), ("not-a-date", None)])
+def test_mixed_dates(spark, value, want):
+    got = spark.createDataFrame([(value,)], "t string").select(dates.parse_mixed(F.col("t")).alias("d")).first()["d"]
+    assert (got and str(got)) == want

@@ -1,54 +1,92 @@
 """Mixed-format date parsing as one native expression.
 
 A shape test picks the format first, so a value is handed to the parser only
-for formats it can match; free text never reaches the parser at all. Ambiguous
+for formats it can match; free text never reaches the parser at all. A time of
+day is taken apart by one pattern and added to the date. Ambiguous
 day/month values are read month first, then day first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DATE_LIKE = r"\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"
-MAX_DATE_TEXT = 40
+from veilgauge import settings
+from veilgauge.functions.text import strip
 
-# Shape of the text -> formats tried in order.
+# Shape of the date part -> formats tried in order.
 SHAPES = [
     (r"^\d{4}-\d{1,2}-\d{1,2}$", ["y-M-d"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$", ["y-M-d H:mm"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", ["y-M-d H:mm:ss"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}\.\d{1,9}$", ["y-M-d H:mm:ss.[SSSSSSSSS][SSSSSS][SSS][SS][S]"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}Z?$", ["y-M-d'T'H:mm:ss['Z']"]),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", ["y/M/d"]),
     (r"^\d{4}\.\d{1,2}\.\d{1,2}$", ["y.M.d"]),
+    (r"^\d{8}$", ["yyyyMMdd"]),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/y", "d/M/y"]),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-y", "d-M-y"]),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["M.d.y", "d.M.y"]),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM y"]),
-    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ["d MMMM y"]),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", ["M/d/yy", "d/M/yy"]),
+    (r"^\d{1,2}-\d{1,2}-\d{2}$", ["M-d-yy", "d-M-yy"]),
+    (r"^\d{1,2}\.\d{1,2}\.\d{2}$", ["M.d.yy", "d.M.yy"]),
+    (r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}$", ["d MMM y", "d-MMM-y"]),
+    (r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{2}$", ["d MMM yy", "d-MMM-yy"]),
+    (r"^\d{1,2}[ -][A-Za-z]{4,9}[ -]\d{4}$", ["d MMMM y", "d-MMMM-y"]),
     (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", ["MMM d[','] y"]),
     (r"^[A-Za-z]{4,9} \d{1,2},? \d{4}$", ["MMMM d[','] y"]),
     (r"^[A-Za-z]{3,9} \d{4}$", ["[MMMM][MMM] y"]),
 ]
+# Fixed value: two-digit years from here on lie in the last century.
+PIVOT_YEAR = 69
+#: Date part, then hours, minutes, seconds, fraction, half of the day and offset from UTC.
+PARTS = (r"^(.+?)(?:[T ]\s*(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?\s*([AaPp][Mm])?"
+         r"\s*(Z|UTC|[+-]\d{2}:?\d{2})?)?$")
 
 
-def parse_mixed(c: Column) -> Column:
-    """Timestamp for any supported shape, null for everything else."""
-    text = F.trim(c)
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` over a value computed once; keeps the many formats out of generated code."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _day(text: Column) -> Column:
     chain = None
     for shape, formats in SHAPES:
         parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+        if formats[0].endswith("yy"):
+            parsed = F.when(F.year(parsed) >= 2000 + PIVOT_YEAR, F.add_months(parsed, -1200).cast("timestamp")).otherwise(parsed)
         hit = text.rlike(shape)
         chain = F.when(hit, parsed) if chain is None else chain.when(hit, parsed)
-    return F.when(F.length(c).between(6, MAX_DATE_TEXT) & c.rlike(r"\d"), chain)
+    return chain
+
+
+def _with_time(text: Column) -> Column:
+    part = lambda k: F.regexp_extract(text, PARTS, k)
+    number = lambda c: F.when(c != "", c.cast("int")).otherwise(F.lit(0))
+    hour, minute, second, half, offset = number(part(2)), number(part(3)), number(part(4)), F.lower(part(6)), part(7)
+    half_fits = (half == "") | hour.between(1, 12)
+    hour = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour)
+    digits = F.regexp_replace(offset, "[:+-]", "")
+    east = F.when(offset.rlike(r"\d"), F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")).otherwise(F.lit(0))
+    east = F.when(offset.startswith("-"), -east).otherwise(east)
+    micros = F.rpad(F.substring(part(5), 2, 6), 6, "0")
+    micros = F.when(part(5) != "", micros.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    fits = half_fits & hour.between(0, 23) & (minute < 60) & (second < 60) & (part(2) != "")
+    seconds = (hour * 3600 + minute * 60 + second - east * 60).cast("bigint")
+    return F.when(fits, F.timestamp_micros(F.unix_micros(_bound(part(1), _day)) + seconds * 1_000_000 + micros))
+
+
+def parse_mixed(c: Column) -> Column:
+    """Timestamp for any supported date, with or without a time of day; null for everything else.
+
+    White space around it doesn't count. Offsets are taken off, so results are in UTC.
+    """
+    return _bound(strip(c), lambda text: F.when(
+        text.rlike(r"\d"), F.when(text.contains(":"), _with_time(text)).otherwise(_day(text))))
 
 
 def date_like(c: Column) -> Column:
     """True where the text contains something that reads like a date."""
-    return c.rlike(DATE_LIKE)
+    return c.rlike(settings.DATE_LIKE)
 
 
 def any_of(conditions: list[Column]) -> Column:

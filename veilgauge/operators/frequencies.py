@@ -21,6 +21,11 @@ def _digest(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
+def _short_or_digest(c: Column) -> Column:
+    """A normalised text itself, or its digest if it is long after normalising."""
+    return F.when(F.length(c) > LONG_TEXT, _digest(c)).otherwise(c)
+
+
 def value_frequencies(df: DataFrame) -> DataFrame:
     """``(ordinal, value, digest, stripped_digest, folded_digest, chars, padded, date_like, n)``.
 
@@ -39,8 +44,8 @@ def value_frequencies(df: DataFrame) -> DataFrame:
             F.col("ordinal").cast("int").alias("ordinal"),
             F.when(~long, v).alias("value"),
             F.when(long, _digest(v)).alias("digest"),
-            F.when(long, _digest(text.strip(v))).alias("stripped_digest"),
-            F.when(long, _digest(text.fold(v))).alias("folded_digest"),
+            F.when(long, _short_or_digest(text.strip(v))).alias("stripped_digest"),
+            F.when(long, _short_or_digest(text.fold(v))).alias("folded_digest"),
             F.when(long, F.length(v)).alias("chars"),
             F.when(long, v != text.strip(v)).alias("padded"),
             F.when(long, dates.date_like(v)).alias("date_like"),
@@ -73,18 +78,20 @@ def column_statistics(df: DataFrame) -> DataFrame:
     present = F.col("value").isNotNull() | F.col("digest").isNotNull()
     textual = _lookup(F.col("ordinal"), [is_text(f.dataType) for f in fields])
     short = F.col("value")
-    parsed = F.when(textual, dates.parse_mixed(short)).isNotNull()
+    # A padded date may be long as it stands; what is left without the padding is short.
+    undressed = F.coalesce(short, "stripped_digest")
+    parsed = F.when(textual, dates.parse_mixed(undressed)).isNotNull()
 
     facts = freq.select(
         "ordinal", "n",
         present.alias("present"),
         F.coalesce("stripped_digest", F.when(textual, text.strip(short)).otherwise(short)).alias("stripped"),
-        F.coalesce("folded_digest", F.when(textual, text.fold(short)).otherwise(short)).alias("folded"),
+        F.coalesce("folded_digest", F.when(textual, _short_or_digest(text.fold(short))).otherwise(short)).alias("folded"),
         F.coalesce("chars", F.length(short)).alias("chars"),
         F.coalesce("padded", textual & (short != text.strip(short)), F.lit(False)).alias("padded"),
         F.coalesce("date_like", textual & dates.date_like(short), F.lit(False)).alias("date_like"),
         parsed.alias("parsed"),
-        F.when(parsed, text.digit_mask(short)).alias("pattern"),
+        F.when(parsed, text.digit_mask(undressed)).alias("pattern"),
     )
     n = F.col("n")
 

@@ -45,7 +45,6 @@ MAX_SIGNATURES = 4096
 SLACK = 1e-9
 # Graded values of the target side that one task pairs within a block.
 BLOCK_VALUES = 1024
-MAX_SALTS = 1024
 # Similarities are rounded to this many steps.
 STEPS = 1000
 NO_CELL = -(1 << 60)
@@ -156,13 +155,21 @@ class Comparison:
         return F.round(raw, 3)
 
 
+def _weights_by_kind(weights: dict[str, float]) -> dict[str, float]:
+    """Weights by kind or by the published weight name; other names are refused."""
+    kind_of = {name: kind for kind, name in settings.WEIGHT_KEYS.items()} | {kind: kind for kind in settings.WEIGHT_KEYS}
+    if unknown := set(weights) - set(kind_of):
+        raise ValueError(f"unknown weights: {', '.join(sorted(unknown))}")
+    return {kind_of[name]: weight for name, weight in weights.items()}
+
+
 def compare_plan(df_a: DataFrame, df_b: DataFrame, *, exclude: list[str], weights=None, threshold=None,
                  top: int = settings.LINKAGE_TOP, text_method: str = "ratcliff",
                  columns: list[str] | None = None, kinds: dict[str, str] | None = None) -> Comparison:
     shared = [c for c in (columns or shared_columns(df_a, df_b)) if c not in exclude]
     kinds = kinds or {}
     kinds = {**linkage_kinds(df_a, [c for c in shared if c not in kinds]), **kinds}
-    per_kind = {**settings.LINKAGE_WEIGHTS, **(weights or {})}
+    per_kind = {**settings.LINKAGE_WEIGHTS, **_weights_by_kind(weights or {})}
     return Comparison(shared, [kinds[c] for c in shared], [float(per_kind[kinds[c]]) for c in shared],
                       [1.0] * len(shared),
                       settings.LINKAGE_THRESHOLD if threshold is None else float(threshold), top, text_method)
@@ -260,7 +267,7 @@ def _salts(a_groups: DataFrame, block: list[str], plan: Comparison) -> dict[int,
         return {s: 1 for s in plan.signatures()}
     sizes = a_groups.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).groupBy("sid").agg(F.max("n").alias("n"))
     largest = {r["sid"]: r["n"] for r in sizes.collect()}
-    return {s: min(MAX_SALTS, 1 + largest.get(s, 0) // BLOCK_VALUES) for s in plan.signatures()}
+    return {s: 1 + largest.get(s, 0) // BLOCK_VALUES for s in plan.signatures()}
 
 
 def _block_pairs(a_groups: DataFrame, b_side: DataFrame, block: list[str], graded: list[str], plan: Comparison,
@@ -365,23 +372,15 @@ class Linkage:
             "auxiliary_rows_total", "auxiliary_rows_tested", "was_truncated")
 
 
-def coverage(df_a: DataFrame, df_b: DataFrame, max_rows: int | None = None, compared: bool = True) -> DataFrame:
-    """How many rows exist and how many take part, per side."""
+def coverage(df_a: DataFrame, df_b: DataFrame, compared: bool = True) -> DataFrame:
+    """How many rows exist and how many take part, per side: all of them, or none without a shared column."""
     total_a = df_a.agg(F.count(F.lit(1)).alias("target_rows_total"))
     total_b = df_b.agg(F.count(F.lit(1)).alias("auxiliary_rows_total"))
-
-    def tested(c: str) -> Column:
-        if not compared:
-            return F.lit(0).cast("bigint")
-        return F.col(c) if max_rows is None else F.least(F.col(c), F.lit(max_rows).cast("bigint"))
-
-    both = total_a.join(F.broadcast(total_b))
-    truncated = F.lit(False) if max_rows is None else (
-        (F.col("target_rows_total") > max_rows) | (F.col("auxiliary_rows_total") > max_rows))
-    return both.select(
+    tested = lambda c: F.col(c) if compared else F.lit(0).cast("bigint")
+    return total_a.join(F.broadcast(total_b)).select(
         "target_rows_total", tested("target_rows_total").alias("target_rows_tested"),
         "auxiliary_rows_total", tested("auxiliary_rows_total").alias("auxiliary_rows_tested"),
-        truncated.alias("was_truncated"))
+        F.lit(False).alias("was_truncated"))
 
 
 def _no_matches(df_a: DataFrame, df_b: DataFrame, key_a: str, key_b: str) -> DataFrame:
@@ -399,23 +398,16 @@ def _no_matches(df_a: DataFrame, df_b: DataFrame, key_a: str, key_b: str) -> Dat
 
 
 def linkage(df_a: DataFrame, df_b: DataFrame, key_a: str, key_b: str, *, weights: dict | None = None,
-            threshold: float | None = None, top: int = settings.LINKAGE_TOP, max_rows: int | None = None,
+            threshold: float | None = None, top: int = settings.LINKAGE_TOP,
             text_method: str = "ratcliff", columns: list[str] | None = None,
             kinds: dict[str, str] | None = None) -> Linkage:
-    """Link ``df_a`` to ``df_b`` on every shared column but the keys.
-
-    ``max_rows`` reproduces a bounded comparison (first rows by key) and is
-    disclosed by the coverage; by default every row takes part.
-    """
+    """Link ``df_a`` to ``df_b`` on every shared column but the keys; every row takes part."""
     df_a, df_b = nan_to_null(df_a), nan_to_null(df_b)
     plan = compare_plan(df_a, df_b, exclude=[key_a, key_b], weights=weights, threshold=threshold, top=top,
                         text_method=text_method, columns=columns, kinds=kinds)
-    covered = coverage(df_a, df_b, max_rows, bool(plan.columns))
+    covered = coverage(df_a, df_b, bool(plan.columns))
     if not plan.columns:
         return Linkage(plan, _no_matches(df_a, df_b, key_a, key_b), covered)
-    if max_rows is not None:
-        df_a = df_a.orderBy(ref(key_a)).limit(max_rows)
-        df_b = df_b.orderBy(ref(key_b)).limit(max_rows)
 
     width = range(len(plan.columns))
     values = [f"v{i}" for i in width]

@@ -65,94 +65,53 @@ def table_checks(stats: DataFrame, duplicates: DataFrame) -> DataFrame:
     return repeated.unionByName(sparse)
 
 
-def _moments(values: list[Column], pairs: list[tuple[int, int]], complete: set[int]) -> dict[tuple, Column]:
-    """Sums needed per pair over rows where both sides exist.
-
-    Columns without nulls share their own sums between all pairs, which keeps
-    the aggregate small enough for generated code.
-    """
-    sums: dict[tuple, Column] = {}
-    for a, b in pairs:
-        x, y = values[a], values[b]
-        sums["xy", a, b] = F.sum(x * y)
-        for left, right in ((a, b), (b, a)):
-            own = values[left]
-            scope = None if right in complete else right
-            seen = own if scope is None else F.when(values[right].isNotNull(), own)
-            sums.setdefault(("n", left, scope), F.count(seen))
-            sums.setdefault(("x", left, scope), F.sum(seen))
-            sums.setdefault(("xx", left, scope), F.sum(seen * seen))
-    return sums
-
-
-def _pearson(total: dict[tuple, float], a: int, b: int, complete: set[int]) -> float | None:
-    side_a, side_b = (None if b in complete else b), (None if a in complete else a)
-    n = total["n", a, side_a]
-    if not n:
-        return None
-    mean_a, mean_b = total["x", a, side_a] / n, total["x", b, side_b] / n
-    spread_a = total["xx", a, side_a] / n - mean_a * mean_a
-    spread_b = total["xx", b, side_b] / n - mean_b * mean_b
-    if spread_a <= 0 or spread_b <= 0:
-        return None
-    return (total["xy", a, b] / n - mean_a * mean_b) / (spread_a * spread_b) ** 0.5
-
-
 def _gram_partials(columns: int, centres: list[float]) -> Callable:
     """Per partition: sums of products over complete pairs, as matrix products on Arrow batches."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((4, columns, columns))
         for batch in batches:
             x = batch.to_numpy(dtype="float64") - np.array(centres)
-            known = (~np.isnan(x)).astype("float64")
-            x = np.nan_to_num(x)
-            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+            known = ~np.isnan(x)
+            x = np.where(known, x, 0.0)
+            known = known.astype("float64")
+            with np.errstate(invalid="ignore", over="ignore"):  # infinities end as non-finite sums
+                total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
         a, b = np.indices((columns, columns))
         yield pd.DataFrame({"a": a.ravel(), "b": b.ravel(), **{
             name: total[i].ravel() for i, name in enumerate(("n", "x", "xx", "xy"))}})
     return run
 
 
-WIDE = 16
-
-
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
                       against: str | None = None) -> DataFrame:
     """``(ordinal, column_a, column_b, correlation)`` of all numeric pairs, or all against one column.
 
-    Pearson over rows where both exist; null for a constant column. Values are
-    centred on their mean first, so plain sums stay accurate.
+    Pearson over rows where both exist; null for a constant column and for one
+    that holds an infinity. Values are centred on their mean first, so plain sums
+    stay accurate.
     """
     columns = list(columns or numeric_columns(df))
     if against and against not in columns:
         columns.append(against)
     at = {c: i for i, c in enumerate(columns)}
     named = [(c, against) for c in columns if c != against] if against else list(combinations(columns, 2))
-    pairs = [(at[a], at[b]) for a, b in named]
-    schema = "ordinal int, column_a string, column_b string, correlation double"
-    if not pairs:
-        return df.sparkSession.createDataFrame([], schema)
+    if not named:
+        return df.sparkSession.createDataFrame([], "ordinal int, column_a string, column_b string, correlation double")
     numbers = df.select(*[as_number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    facts = numbers.agg(F.count(F.lit(1)).alias("rows"), *[
-        f(f"c{i}").alias(f"{n}{i}") for i in range(len(columns)) for f, n in ((F.avg, "m"), (F.count, "k"))]).first()
-    centres = [float(facts[f"m{i}"] or 0.0) for i in range(len(columns))]
-    if len(columns) > WIDE:
-        partials = numbers.mapInPandas(_gram_partials(len(columns), centres),
-                                       "a int, b int, n double, x double, xx double, xy double")
-        sums = {(r["a"], r["b"]): r for r in partials.groupBy("a", "b").agg(
-            *[F.sum(c).alias(c) for c in ("n", "x", "xx", "xy")]).collect()}
-        total = {}
-        for (a, b), r in sums.items():
-            total |= {("n", a, b): r["n"], ("x", a, b): r["x"], ("xx", a, b): r["xx"], ("xy", a, b): r["xy"]}
-        complete: set[int] = set()
-    else:
-        complete = {i for i in range(len(columns)) if facts[f"k{i}"] == facts["rows"]}
-        values = [F.col(f"c{i}") - F.lit(centres[i]) for i in range(len(columns))]
-        moments = _moments(values, pairs, complete)
-        row = numbers.agg(*[c.alias(f"s{i}") for i, c in enumerate(moments.values())]).first()
-        total = {k: (row[f"s{i}"] or 0.0) for i, k in enumerate(moments)}
-    rows = [(i, columns[a], columns[b], _pearson(total, a, b, complete)) for i, (a, b) in enumerate(pairs)]
-    return df.sparkSession.createDataFrame(rows, schema)
+    means = numbers.agg(*[F.avg(f"c{i}") for i in range(len(columns))]).first()
+    centres = [m if m is not None and np.isfinite(m) else 0.0 for m in means]
+    sums = (numbers.mapInPandas(_gram_partials(len(columns), centres), "a int, b int, n double, x double, xx double, xy double")
+            .groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx", "xy")]))
+    other = sums.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("x").alias("y"), F.col("xx").alias("yy"))
+    wanted = df.sparkSession.createDataFrame([(i, a, b, at[a], at[b]) for i, (a, b) in enumerate(named)],
+                                             "ordinal int, column_a string, column_b string, a int, b int")
+    mean = lambda c: F.try_divide(F.col(c), F.col("n"))
+    spread_a, spread_b = mean("xx") - mean("x") * mean("x"), mean("yy") - mean("y") * mean("y")
+    value = F.when((F.col("n") >= 2) & (spread_a > 0) & (spread_b > 0),
+                   (mean("xy") - mean("x") * mean("y")) / F.sqrt(spread_a * spread_b))
+    finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    return (wanted.join(sums, ["a", "b"], "left").join(other, ["a", "b"], "left")
+            .select("ordinal", "column_a", "column_b", finite.alias("correlation")))
 
 
 def correlation_checks(pairs: DataFrame, step: int = 5, check: str = "suspicious_correlation",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilgauge import settings
 from veilgauge.functions.columns import as_text, first_term, is_code_like, ref
-from veilgauge.operators.frequencies import LONG_TEXT, _lookup, column_statistics, duplicate_summary
+from veilgauge.operators.frequencies import _lookup, column_statistics, duplicate_summary
 
 
 def semantic_type(code_like: Column) -> Column:
@@ -126,5 +126,5 @@ def roles(classified_rows: list) -> dict[str, list[str]]:
             for role, categories in ROLES.items()}
 
 
-__all__ = ["LONG_TEXT", "classify_columns", "describe", "profile_columns", "profile_samples",
+__all__ = ["classify_columns", "describe", "profile_columns", "profile_samples",
            "profile_table", "roles", "semantic_type"]

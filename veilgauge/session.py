@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +24,7 @@ CONFIG = {
 # Small inputs only: keep the cores busy where stages fan out from little data.
 LOCAL_CONFIG = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
 SCRATCH_KEY = "spark.checkpoint.dir"
+_scopes: list[str] = []
 
 
 def local_session(cores: str = "8", memory: str = "8g", name: str = "veilgauge") -> SparkSession:
@@ -36,11 +41,15 @@ def local_session(cores: str = "8", memory: str = "8g", name: str = "veilgauge")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one is made only where none is set."""
+    """The shared folder the cluster names. Only a local session without one gets a folder of its own, gone at exit."""
     context = spark.sparkContext
     shared = spark.conf.get(SCRATCH_KEY, None) or context.getCheckpointDir()
     if not shared:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="veilgauge-"))
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"{SCRATCH_KEY} has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="veilgauge-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
         shared = context.getCheckpointDir()
     return shared.rstrip("/")
 
@@ -51,7 +60,7 @@ def materialise(df: DataFrame) -> tuple[DataFrame, int]:
     Later steps read the files, so a lost executor costs a re-read and not the
     whole lineage, and the planner knows the real size.
     """
-    path = f"{scratch_dir(df.sparkSession)}/veilgauge-{uuid.uuid4().hex}"
+    path = f"{_scopes[-1] if _scopes else scratch_dir(df.sparkSession)}/veilgauge-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
@@ -63,3 +72,19 @@ def pin(df: DataFrame) -> DataFrame:
     Only for frames whose row count does not depend on the data.
     """
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Within it, `materialise` writes below one folder, which is deleted at the end.
+
+    Results computed inside have to be written or collected before it ends.
+    """
+    folder = f"{scratch_dir(spark)}/veilgauge-scope-{uuid.uuid4().hex}"
+    _scopes.append(folder)
+    try:
+        yield
+    finally:
+        _scopes.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -37,6 +37,10 @@ DATE_HORIZON_DAYS = 730
 MATCH_LIST_LIMIT = 500
 HEATMAP_MATCHES = 10
 
+# --- Fixed values: dates ----------------------------------------------------
+# Text that reads like a date somewhere.
+DATE_LIKE = r"\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"
+
 # --- Fixed values: data quality and ML readiness ----------------------------
 SEVERITY_POINTS = {"LOW": 5, "MEDIUM": 15, "HIGH": 30, "CRITICAL": 50}
 QUALITY_WEIGHTS = {

@@ -10,11 +10,12 @@ import json
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from veilgauge.operators.latest import latest_per_key, newest
+from veilgauge.session import materialise
 
 TABLES = {
     "datasets": "id string, name string, path string, row_count bigint, column_count int, "
@@ -48,16 +49,24 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         try:
             return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/_{name}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], TABLES[name])
 
+    def compact(self, name: str) -> None:
+        """Rewrite a log table, which grows by a small file per line, as one file."""
+        rows, _ = materialise(self.table(name))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_{name}")
+
     # --- versions ---
     def save(self, df: DataFrame, name: str, parent_id: str | None = None, is_demo: bool = False) -> str:
         """Write a new version; an existing one is never overwritten."""
         dataset_id = new_id()
         path = f"{self.root}/{dataset_id}"
-        df.write.mode("errorifexists").parquet(path)
-        rows = self.spark.read.schema(df.schema).parquet(path).count()
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
+        rows = seen.get["rows"]
         self._append("datasets", (dataset_id, name, path, rows, len(df.columns), _now(), is_demo, parent_id))
         self.log(dataset_id, "save", f"rows={rows}")
         return dataset_id
@@ -99,5 +108,5 @@ class Catalog:
         self._append("jobs", (job_id, dataset_id, status, created_at or now, now, json.dumps(state)))
 
     def jobs(self, limit: int = JOB_LIMIT) -> DataFrame:
-        current = latest_per_key(self.table("jobs"), ["job_id"], ["updated_at"])
+        current = latest_per_key(self.table("jobs"), ["job_id"], ["updated_at", "status", "state_json"])
         return newest(current.drop("state_json"), ["created_at", "job_id"], limit)

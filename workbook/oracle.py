@@ -23,7 +23,7 @@ LINE_QI = "l_returnflag, l_linestatus, l_quantity, ship_month"
 
 
 def parsed(c: str) -> str:
-    formats = ["%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y", "%B %Y"]
+    formats = ["%Y-%m-%d", "%Y%m%d", "%m/%d/%y", "%d/%m/%y", "%m/%d/%Y %I:%M %p", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y", "%B %Y"]
     return "coalesce(" + ", ".join(f"try_strptime({c}, '{f}')" for f in formats) + ")"
 
 

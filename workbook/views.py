@@ -45,11 +45,14 @@ SELECT customer_id, full_name,
        CASE WHEN customer_id % 12 = 0 THEN NULL ELSE region END AS region,
        CASE WHEN customer_id % 6 = 0 THEN concat('  ', state, '  ') ELSE state END AS state,
        CASE customer_id % 7 WHEN 1 THEN lower(occupation) WHEN 2 THEN concat(' ', occupation)
-            ELSE occupation END AS occupation,
+            WHEN 3 THEN concat(repeat(' ', 150), lower(occupation)) ELSE occupation END AS occupation,
        CASE WHEN order_date IS NULL THEN NULL
             WHEN customer_id % 97 = 0 THEN 'not-a-date'
             WHEN customer_id % 5 = 1 THEN concat(d, '/', m, '/', y)
             WHEN customer_id % 5 = 2 THEN concat(m, '-', d, '-', y)
+            WHEN customer_id % 5 = 3 THEN concat(m, '/', d, '/', substr(y, 3, 2))
+            WHEN customer_id % 15 = 4 THEN concat(m, '/', d, '/', y, ' 10:30 AM')
+            WHEN customer_id % 15 = 9 THEN concat(y, m, d)
             ELSE concat(y, '-', m, '-', d) END AS order_date,
        CASE WHEN customer_id % 211 = 0 THEN income * 1000 ELSE income END AS income,
        CASE WHEN customer_id % 100 = 0 THEN 'Y' ELSE 'N' END AS flag,
@@ -58,9 +61,9 @@ FROM (SELECT s.*, CAST(year(order_date) AS STRING) AS y,
              lpad(CAST(month(order_date) AS STRING), 2, '0') AS m,
              lpad(CAST(day(order_date) AS STRING), 2, '0') AS d
       FROM subjects s) p""",
-    # All values parse, in several formats.
+    # Several formats, values that are no date, and nulls.
     "mixed_dates": """
-SELECT customer_id, order_date FROM dirty WHERE order_date <> 'not-a-date'""",
+SELECT customer_id, order_date FROM dirty""",
 }
 
 NEEDS = {
