@@ -92,7 +92,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words; so many words are remembered between texts."""
 
-    def __init__(self, remembered: int = 400_000) -> None:
+    def __init__(self, remembered: int = 200_000) -> None:
         self.remembered = remembered
         self.known: dict[bytes, int] = {}
 

@@ -31,8 +31,10 @@ from veilgauge.session import materialise
 #: The library's own defaults; a query may ask for others.
 WORDS = 5
 SIMILARITY = (80, 100)
-#: A shingle that so many texts of one task share is a candidate for the end of the order.
-COMMON_IN_TASK = 3
+#: A shingle that so many texts of one task share is counted; with so many counts in all it is put last in the order.
+COMMON_IN_TASK, COMMON = 2, 8
+#: Shingles that a task counts together.
+COUNTED = 4_000_000
 #: At most so many common shingles, the most frequent ones, are sent to the tasks (8 bytes each).
 #: The order of elements is free, so this bound changes no result.
 MOST_COMMON = 1_000_000
@@ -109,28 +111,34 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
                          T.StructField("digest", T.BinaryType()), T.StructField("shingle", T.LongType()),
                          T.StructField("texts", T.LongType())])
 
+    def shared(sets: list[np.ndarray], key_type: pa.DataType) -> pa.RecordBatch:
+        values, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64),) * 2
+        values, times = values[times >= COMMON_IN_TASK], times[times >= COMMON_IN_TASK]
+        none = [pa.nulls(len(values), t) for t in (key_type, pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*none, pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], kind.names)
+
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(words), set()
+        shingler, seen, held, count, key_type = Shingler(words), set(), [], 0, None
         for batch in rows:
-            texts = batch.column(2).to_pylist()
-            for a, b in text_slices(texts, 1 << 23):
-                n, digests, fresh = [], [], []
+            texts, key_type = batch.column(2).to_pylist(), batch.column(0).type
+            for a, b in text_slices(texts):
+                n, digests = [], []
                 for values in shingler.sets(texts[a:b]):
                     digest = _digest(values)
                     n.append(len(values))
                     digests.append(digest)
                     if _short(digest) not in seen:  # exact copies make nothing common
                         seen.add(_short(digest))
-                        fresh.append(values)
+                        held.append(values)
+                        count += len(values)
                 none = pa.nulls(b - a, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()),
                                                   pa.array(digests, pa.binary()), none, none], kind.names)
-                shared, times = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (np.zeros(0, np.uint64),) * 2
-                shared, times = shared[times >= COMMON_IN_TASK], times[times >= COMMON_IN_TASK]
-                empty = lambda t, m=len(shared): pa.nulls(m, t)
-                yield pa.RecordBatch.from_arrays(
-                    [empty(batch.column(0).type), empty(pa.int64()), empty(pa.int64()), empty(pa.binary()),
-                     pa.array(shared.view(np.int64)), pa.array(times, pa.int64())], kind.names)
+                if count >= COUNTED:
+                    yield shared(held, key_type)
+                    held, count = [], 0
+        if held:
+            yield shared(held, key_type)
 
     return source.mapInArrow(batches, kind)
 
@@ -294,7 +302,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, i
     described, _ = materialise(_described(docs, words))
     rows = described.where(F.col("n").isNotNull()).select("doc_id", "text_key", "n", "digest")
     common = (described.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("texts").alias("texts"))
-              .orderBy(F.desc("texts"), "shingle").limit(MOST_COMMON).select("shingle").toArrow())
+              .where(F.col("texts") >= COMMON).orderBy(F.desc("texts"), "shingle").limit(MOST_COMMON).select("shingle").toArrow())
     common = np.sort(np.asarray(common["shingle"].combine_chunks()).view(np.uint64))
     each = Window.partitionBy("shingle")
     postings = _postings(docs, words, similarity, common).withColumns(

@@ -35,7 +35,7 @@ SMALL = 8
 #: Group counts tried; the plan with the fewest sequences is taken.
 GROUPS = (16, 64, 256)
 #: Chunks of text remembered by a Python worker.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 class Chunks:

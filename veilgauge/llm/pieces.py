@@ -23,7 +23,7 @@ from veilgauge.llm.merges import PairMerges, split_ids
 
 BLANK = "▁"
 #: Units remembered by a Python worker.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 CODEPOINTS = 0x110000
 
 
