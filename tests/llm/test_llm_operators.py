@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -142,6 +143,21 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert pivots.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_links_in_a_dense_group_are_found(spark):
+    """20,000 distinct vectors round one centre (cosine about 0.975 to each other), and even noise."""
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=(20_000, 64))
+    near *= 0.16 / np.linalg.norm(near, axis=1)[:, None]
+    near[:, 0] += 1
+    near[10_000:] = near[:10_000] + rng.normal(size=(10_000, 64)) * 0.025
+    x = np.concatenate([near, rng.normal(size=(3000, 64))])
+    units = x / np.linalg.norm(x, axis=1)[:, None]
+    want = np.concatenate([(part @ units.T >= 0.95).sum(axis=1) for part in np.array_split(units, 40)]) - 1
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<double>")
+    got = pivots.near_vectors(frame.repartition(16)).select("vec_id", "n_links").toPandas().set_index("vec_id")["n_links"].reindex(np.arange(len(x)))
+    assert (got.to_numpy() <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
 # classifier ------------------------------------------------------------------
 
 def test_forest_learns_and_walks_like_a_loop():

@@ -1,10 +1,12 @@
 """Near copies among vectors by a pivot-permutation index.
 
 A vector is described by its nearest reference points (pivots) in order. Vectors that
-share enough of them meet in the inverted list of their rarest common pivot, where
-shared pivots are counted and the pairs with enough of them verified by cosine.
-Equal vectors are one class. Lists are cut into blocks, and every pair of blocks is a
-task of its own, so a list of any length is searched whole.
+share enough of them meet in the inverted lists of their common pivots, where pairs are
+verified by cosine; a link counts in the list of its rarest common pivot. Pivots lie
+well apart: a dense group has one pivot in its midst instead of many that are equally
+far from its members, so its members meet in that pivot's list. Equal vectors are one
+class. Lists are cut into blocks, and every pair of blocks is a task of its own, so a
+list of any length is searched whole.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from veilgauge.session import materialise
 
 COSINE = 0.95
 #: Nearest pivots that describe a vector, and how many of them a candidate shares.
-NEAREST, SHARED = 10, 3
-#: Vectors per pivot aimed at; the pivots are a sample of between these numbers of vectors.
+NEAREST, SHARED = 10, 1
+#: Vectors per pivot aimed at; the pivots are drawn from a sample of between these numbers of vectors.
 PER_PIVOT, FEWEST, MOST = 64, 64, 16_384
+#: A sampled vector with this cosine or more to an earlier pivot is none itself.
+APART = 0.75
 #: Vectors of a list that one side of a task holds.
 BLOCK = 512
 
@@ -92,28 +96,46 @@ def _described(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int)
     return classes.mapInArrow(batches, kind)
 
 
+def _apart(units: np.ndarray, cosine: float) -> np.ndarray:
+    """The units, without those that have `cosine` or more to an earlier one that stays."""
+    kept = np.zeros((0, units.shape[1]))
+    for part in np.array_split(units, -(-len(units) // 512)):
+        part = part[(part @ kept.T < cosine).all(axis=1)]
+        near = part @ part.T >= cosine
+        stays = np.ones(len(part), dtype=bool)
+        for i in range(len(part)):
+            if stays[i]:
+                stays[i + 1:] &= ~near[i, i + 1:]
+        kept = np.concatenate([kept, part[stays]])
+    return kept
+
+
 def _pairs_of(group: pd.DataFrame, order: np.ndarray, cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) in the group of the links that belong to this list and pair of blocks."""
     pivot, low, high = (int(group[c].iat[0]) for c in ("pivot", "low", "high"))
     side = group["block"].to_numpy()
     rows, columns = np.flatnonzero(side == low), np.flatnonzero(side == high)
-    nearest = group["nearest"].tolist()
-    lengths = [len(x) for x in nearest]
-    names, codes = np.unique(np.concatenate(nearest), return_inverse=True)
-    marks = np.zeros((len(group), len(names)), dtype=np.float32)
-    marks[np.repeat(np.arange(len(group)), lengths), codes] = 1
-    least = np.minimum(shared, np.minimum.outer(np.array(lengths)[rows], np.array(lengths)[columns]))
-    met = marks[rows] @ marks[columns].T >= least
-    if pivot >= 0:  # a pair belongs to the list of its rarest common pivot
-        earlier = order[np.maximum(names, 0)] < order[pivot]
+    units = np.stack([np.frombuffer(u) for u in group["unit"]])
+    closeness = units[rows] @ units[columns].T
+    met = closeness >= cosine - 1e-9
+    if pivot >= 0:
+        nearest = group["nearest"].tolist()
+        lengths = np.array([len(x) for x in nearest])
+        names, codes = np.unique(np.concatenate(nearest), return_inverse=True)
+        marks = np.zeros((len(group), len(names)), dtype=np.float32)
+        marks[np.repeat(np.arange(len(group)), lengths), codes] = 1
+        if shared > 1:
+            met &= marks[rows] @ marks[columns].T >= np.minimum(shared, np.minimum.outer(lengths[rows], lengths[columns]))
+        earlier = order[names] < order[pivot]  # a pair belongs to the list of its rarest common pivot
         met &= marks[rows][:, earlier] @ marks[columns][:, earlier].T == 0
     if low == high:
         met = np.triu(met, 1)
     i, j = np.nonzero(met)
+    good = np.ones(len(i), dtype=bool)
+    edge = np.flatnonzero(closeness[i, j] < cosine + 1e-9)  # again in one order of sums, the same for every list
     i, j = rows[i], columns[j]
-    units = np.stack([np.frombuffer(u) for u in group["unit"]])
-    good = np.concatenate([np.einsum("ij,ij->i", units[i[a:a + 65536]], units[j[a:a + 65536]]) for a in range(0, len(i), 65536)]
-                          or [np.zeros(0)]) >= cosine
+    for part in np.array_split(edge, -(-len(edge) // 65536) or 1):
+        good[part] = np.einsum("ij,ij->i", units[i[part]], units[j[part]]) >= cosine
     return i[good], j[good]
 
 
@@ -123,10 +145,11 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", value: str = "embeddin
 
     Cosines are taken in double precision. A vector that is null, empty, zero or holds
     null or non-finite components links with nothing. Vectors of different lengths do
-    not link. Equal vectors link, repeated rows too. Pivots are a sample of distinct
-    vectors, one for `per_pivot` of them within FEWEST and MOST, that is the only thing
-    sampled: every vector is indexed. A link is missed only if its ends share fewer
-    than `shared` of their `nearest` pivots; tests hold the recall against brute force.
+    not link. Equal vectors link, repeated rows too. Pivots are drawn from a sample of
+    distinct vectors, one for `per_pivot` of them within FEWEST and MOST, less those
+    near an earlier one (APART); that is the only thing sampled: every vector is
+    indexed. A link is missed only if its ends share fewer than `shared` of their
+    `nearest` pivots; tests hold the recall against brute force, in dense groups too.
     """
     columns_or_raise(vectors, key, value)
     rows, _ = materialise(_classes(vectors, key, value))
@@ -137,11 +160,11 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", value: str = "embeddin
     pivots: dict[int, list] = {}
     for unit in (np.frombuffer(u) for u in sample):
         pivots.setdefault(len(unit), []).append(unit)
-    matrices = {d: np.stack(m) for d, m in pivots.items()}
+    matrices = {d: _apart(np.stack(m), APART) for d, m in pivots.items()}
     described, _ = materialise(_described(classes, matrices, nearest))
 
     # How often each pivot occurs: at most as many rows as pivots.
-    frequency = np.zeros(max(1, len(sample)), dtype=np.int64)
+    frequency = np.zeros(max(1, sum(map(len, matrices.values()))), dtype=np.int64)
     for row in described.select(F.explode("nearest").alias("p")).where("p >= 0").groupBy("p").count().collect():
         frequency[row["p"]] = row["count"]
     order = np.empty(len(frequency), dtype=np.int64)
