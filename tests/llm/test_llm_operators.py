@@ -343,6 +343,17 @@ def test_similar_groups_of_odd_and_empty_tables(odd_documents, no_documents):
     assert jaccard.similar_groups(no_documents).count() == 0 and jaccard.keep_one(no_documents).count() == 0
 
 
+def test_unlike_texts_with_null_or_shared_ids_stay(spark):
+    text = lambda name, n=30: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(None, text(f"n{i}_")) for i in range(6)] + [(None, text("n0_") + " more"), (None, text("n1_")), (None, None), (None, " "), (None, "")]
+    rows += [(1, text("a")), (1, text("b")), (1, text("a") + " more"), (2, text("b") + " more"), (None, text("b") + " less"), (3, ""), (3, "  "), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in jaccard.keep_one(docs).collect()]
+    with_words = [(d, t.split()[0]) for d, t in got if (t or "").split()]
+    assert sorted(with_words, key=repr) == sorted([(None, f"n{i}_0") for i in range(6)] + [(1, "a0"), (1, "b0")], key=repr)
+    assert sorted((repr(d), t or "") for d, t in got if not (t or "").split()) == [("3", ""), ("3", "  "), ("None", ""), ("None", " ")]
+
+
 # SentencePiece -----------------------------------------------------------------
 
 def test_pieces_equal_the_library():

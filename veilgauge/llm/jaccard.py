@@ -104,9 +104,13 @@ def _fields(*names: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in names])
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _described(docs: DataFrame, words: int) -> DataFrame:
     """Row by row: doc_id, text_key, n, digest; and, per task, the shingles that several of its texts share."""
-    source = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    source = docs.select("doc_id", _text_key().alias("text_key"), "text")
     kind = T.StructType([source.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("n", T.LongType()),
                          T.StructField("digest", T.BinaryType()), T.StructField("shingle", T.LongType()),
                          T.StructField("texts", T.LongType())])
@@ -259,12 +263,15 @@ def _open_pairs(listed: DataFrame, near: DataFrame | None) -> DataFrame:
 def _searched(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, int]:
     """Links (a, b) between digests, for node pairs (a, b): b is searched in the block of sets that holds a."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    owners, many = materialise(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("owner"))
-                               .withColumn("node", _node(F.col("digest"))).join(wanted, "node", "left_semi").select("owner", "digest"))
+    owners, many = materialise(rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("owner"))
+                               .withColumn("node", _node(F.col("digest"))).join(wanted, "node", "left_semi")
+                               .select(F.col("owner.doc_id").alias("owner"), F.col("owner.text_key").alias("owner_key"), "digest"))
     blocks = max(1, many // INDEXED)
     if many * OWNER_BYTES <= BROADCAST_BYTES:
         owners = F.broadcast(owners)  # counted; else both sides are shuffled
-    texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("owner")))
+    # By text too: ids may be shared or null.
+    texts = docs.select("doc_id", _text_key().alias("text_key"), "text").join(
+        owners, F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("text_key") == F.col("owner_key")))
     sets, held = materialise(_sets_of(texts, words))
     if held > many:  # repeated rows
         sets = sets.dropDuplicates(["digest"])
@@ -289,15 +296,8 @@ def _searched(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, si
     return materialise(meeting.groupBy("block", "salt").applyInPandas(search, _fields(("a", T.BinaryType()), ("b", T.BinaryType()))))
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id) per row of `docs`.
-
-    `component_id` is the smallest doc_id reachable by links of `similarity`
-    (intersection over union, as a fraction). A text with fewer words than `words` is
-    one shingle; a null or blank text has none and links with nothing. Repeated rows
-    link with each other. A null doc_id is never the smallest unless all are null.
-    Shingles are compared by 64-bit, sets by 128-bit hashes.
-    """
+def _labelled(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(doc_id, text_key, n, digest, component) per row of `docs`; component: the digest that stands for its group."""
     columns_or_raise(docs, "doc_id", "text")
     described, _ = materialise(_described(docs, words))
     rows = described.where(F.col("n").isNotNull()).select("doc_id", "text_key", "n", "digest")
@@ -326,7 +326,19 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, i
 
     labelled = rows.join(near.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
         "component", F.coalesce("component", "digest"))
-    labelled, _ = materialise(labelled)
+    return materialise(labelled)[0]
+
+
+def similar_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id) per row of `docs`.
+
+    `component_id` is the smallest doc_id reachable by links of `similarity`
+    (intersection over union, as a fraction). A text with fewer words than `words` is
+    one shingle; a null or blank text has none and links with nothing. Repeated rows
+    link with each other. A null doc_id is never the smallest unless all are null.
+    Shingles are compared by 64-bit, sets by 128-bit hashes.
+    """
+    labelled = _labelled(docs, words, similarity)
     first = labelled.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("first"))
     joined = labelled.where("n > 0").join(first, "component").unionByName(
         labelled.where("n = 0").withColumn("first", F.col("doc_id")))
@@ -341,15 +353,19 @@ def _node(digest: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The rows of `docs` without near copies: of each group the one with the smallest doc_id stays.
+    """The rows of `docs` without near copies: of each group the one with the smallest doc_id, then text_key, stays.
 
-    Repeated rows are one document. Texts without words are no copies of each other.
+    Groups are of texts, whatever their ids: a doc_id that unlike texts share, or null,
+    loses none of them. A null doc_id stays only if its group has no other. Repeated
+    rows are one document. Texts without words are no copies of each other; one per
+    doc_id and text_key stays.
     """
-    groups = similar_groups(docs, words, similarity)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "doc_id").agg(
-        F.min("text_key").alias("text_key"))
+    labelled = _labelled(docs, words, similarity)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    kept = (labelled.where("n > 0").groupBy("component").agg(F.min(place).alias("first")).select("first.doc_id", "first.text_key")
+            .unionByName(labelled.where("n = 0").select("doc_id", "text_key").distinct()))
     kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",
-                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+                        _text_key().alias("text_key"))
     found = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
     return found.dropDuplicates(["doc_id", "text_key"]).select("row.*")
