@@ -236,6 +236,66 @@ def test_core_words_lose_no_match():
         assert weights.best(words) == everything.best(words)
 
 
+HEADERS = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+1. Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+may be used to endorse or promote products derived from this software
+without specific prior written permission.""",
+}
+
+
+def weights_of_code():
+    """As over 10,000 files, where few words of the templates are common."""
+    vocabulary = {w for notices in licences.TEMPLATES.values() for n in notices for w in licences.terms(n)}
+    common = {"the": 9000, "of": 8500, "and": 8500, "to": 8500, "in": 8000, "a": 8000, "is": 7000, "this": 6000, "or": 5000, "be": 5000}
+    return licences.Weights(10_000, {w: common.get(w, 300) for w in vocabulary}, licences.THRESHOLD)
+
+
+def as_file(header, prefix=""):
+    code = [f"value_{i} = other_{i} + {i}" for i in range(300)]
+    return "\n".join([*code[:20], "", *(prefix + line for line in header.split("\n")), "", *code[20:]])
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("licence", sorted(HEADERS))
+def test_wrapped_headers_in_long_files(licence, prefix):
+    header, whole = weights_of_code().scan(as_file(HEADERS[licence], prefix))
+    assert whole is None and header is not None and header[1] == licence
+
+
+def test_blocks_lose_no_match():
+    weights, rng = weights_of_code(), random.Random(3)
+    lines = [line for h in HEADERS.values() for line in h.split("\n") if line] + ["x = 1", "the code is here", "licensed under the"]
+    for _ in range(60):
+        units = [u for _ in range(rng.randint(2, 12)) if (u := licences.terms(rng.choice(lines)))]
+        every = [sum(units[a:b], []) for a in range(len(units)) for b in range(a + 2, len(units) + 1)]
+        best = lambda blocks: max((m[0] for b in blocks if (m := weights.best(b))), default=0)
+        assert best([*units, *weights.blocks(units)]) == pytest.approx(best([*units, *(b for b in every if len(b) <= weights.longest)]))
+
+
 # packing ---------------------------------------------------------------------
 
 def test_chunks_equal_the_tokenizer():

@@ -1,8 +1,8 @@
 """Licence scan: sparse TF-IDF cosine of headers and whole files to templates, inherited along directories.
 
 Document frequencies are counted for the words of the templates over all files. Each
-sentence of a text, and the text as a whole, is a sparse vector; the best cosine to a
-template decides. A file without a licence of its own takes that of the licence file
+sentence or line of a text, each block of consecutive ones up to the length of a header,
+and the text as a whole is a sparse vector; the best cosine to a template decides. A file without a licence of its own takes that of the licence file
 in its nearest ancestor directory, found by joins on directory paths.
 """
 
@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from veilgauge.session import materialise
 #: Names of files that hold the licence of their directory.
 LICENCE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.\-].*)?$"
 THRESHOLD = 0.6
+#: A block of sentences or lines has at most so many times the words of the longest template.
+LONGER = 1.5
 
 #: Customary notices per licence, as people write them.
 TEMPLATES = {
@@ -67,11 +70,13 @@ class Weights:
         self.other = math.log(files + 1) + 1  # a word of no template counts as rare
         self.threshold = threshold
         self.vectors, self.core = [], set()
+        self.longest = 0
         for licence, notices in sorted((templates or TEMPLATES).items()):
             for notice in notices:
                 vector = {w: n * self.idf[w] for w, n in Counter(terms(notice)).items()}
                 norm = math.sqrt(sum(x * x for x in vector.values()))
                 self.vectors.append((licence, {w: x / norm for w, x in vector.items()}))
+                self.longest = max(self.longest, int(LONGER * len(terms(notice))))
                 # Without the heaviest words the rest of the template is too light for the threshold.
                 rest = 1.0
                 for w, x in sorted(vector.items(), key=lambda p: (-p[1], p[0])):
@@ -79,6 +84,12 @@ class Weights:
                         break
                     self.core.add(w)
                     rest -= (x / norm) ** 2
+        self.place = {w: i for i, w in enumerate(sorted(frequency))}
+        self.matrix = np.zeros((len(self.vectors), len(self.place)))
+        for t, (_, vector) in enumerate(self.vectors):
+            for w, x in vector.items():
+                self.matrix[t, self.place[w]] = x
+        self.squares = np.ascontiguousarray(self.matrix ** 2)
 
     def best(self, words: list[str]) -> tuple[float, str] | None:
         """Largest cosine at the threshold or above, and its licence; ties go to the first name."""
@@ -94,13 +105,45 @@ class Weights:
                 found = (cosine, licence)
         return found
 
+    def blocks(self, units: list[list[str]]) -> Iterator[list[str]]:
+        """Words of the blocks of two or more consecutive units that can come near a template.
+
+        A cosine is at most the norm of the template's part whose words occur, so most
+        blocks need no vector. A block begins and ends with a unit that has a word of a
+        template that it can reach.
+        """
+        held = [[self.place[w] for w in set(u) if w in self.place] for u in units]
+        names = sorted({k for h in held for k in h})
+        squares = self.squares[:, names]
+        least = self.threshold * self.threshold - 1e-9
+        reach = squares.sum(axis=1) >= least
+        if not reach.any():
+            return
+        squares = squares[reach]
+        at = {k: i for i, k in enumerate(names)}
+        sums = np.zeros((len(units) + 1, len(names)), dtype=np.int32)
+        for i, h in enumerate(held):
+            sums[i + 1, [at[k] for k in h]] = 1
+        has = sums[1:].astype(bool)
+        np.cumsum(sums, axis=0, out=sums)
+        lengths = np.concatenate([[0], np.cumsum([len(u) for u in units])])
+        last = np.searchsorted(lengths, lengths[:-1] + self.longest, side="right") - 1  # a block ends before it
+        for first in np.flatnonzero(((sums[last] - sums[:-1] > 0) @ squares.T >= least).any(axis=1) & (last - np.arange(len(units)) > 1)).tolist():
+            ends = np.arange(first + 2, last[first] + 1)
+            near = (sums[ends] - sums[first] > 0) @ squares.T >= least
+            near &= (has[first] @ (squares > 0).T) & (has[ends - 1] @ (squares > 0).T)
+            for end in ends[near.any(axis=1)].tolist():
+                yield [w for u in units[first:end] for w in u]
+
     def scan(self, text: str | None) -> tuple[tuple[float, str] | None, tuple[float, str] | None]:
-        """Best match of any sentence, and of the whole text."""
+        """Best match of any sentence or block of sentences, and of the whole text."""
         words = terms(text or "")
         if self.core.isdisjoint(words):
             return None, None
-        sentences = [m for s in _SENTENCE.split(text) if (m := self.best(terms(s)))]
-        return max(sentences, key=lambda m: m[0], default=None), self.best(words)
+        units = [u for s in _SENTENCE.split(text) if (u := terms(s))]
+        found = [m for u in units if (m := self.best(u))]
+        found += [m for b in self.blocks(units) if (m := self.best(b))]
+        return max(found, key=lambda m: m[0], default=None), self.best(words)
 
 
 def frequencies(files: DataFrame, vocabulary: frozenset[str]) -> tuple[int, dict[str, int]]:
