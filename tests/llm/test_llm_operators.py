@@ -286,6 +286,36 @@ def test_wrapped_headers_in_long_files(licence, prefix):
     assert whole is None and header is not None and header[1] == licence
 
 
+GNU = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU {1}General Public License as published by
+the Free Software Foundation{0} either version {2} of the License, or
+(at your option) any later version."""
+NEIGHBOURS = [
+    ("GPL-2.0", GNU.format(";", "", "2")), ("LGPL-2.1", GNU.format(";", "Lesser ", "2.1")), ("LGPL-3.0", GNU.format(":", "Lesser ", "3")),
+    ("AGPL-3.0", GNU.format(":", "Affero ", "3")), ("BSD-2-Clause", HEADERS["BSD-3-Clause"].split("\n3.")[0]),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""),
+    *[(name.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {name}") for name in (
+        "MIT", "ISC", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+        "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0")],
+    *[(None, f"SPDX-License-Identifier: {name}") for name in ("BSD-4-Clause", "Apache-1.1", "MPL-1.1", "GPL-1.0-only")],
+    (None, GNU.format(";", "", "1")), (None, "Licensed under CC BY-SA 3.0."), (None, "Licensed under CC BY-NC-ND 4.0."),
+]
+
+
+@pytest.mark.parametrize("licence, header", NEIGHBOURS)
+def test_neighbouring_versions(licence, header):
+    found, _ = weights_of_code().scan(as_file(header, "# "))
+    assert (found and found[1]) == licence
+
+
+def test_every_template_holds_its_telling_terms():
+    weights = weights_of_code()
+    assert [(t, weights.best(licences.terms(n))[1]) for t, notices in licences.TEMPLATES.items() for n in notices] == [
+        (t, t) for t, notices in licences.TEMPLATES.items() for _ in notices]
+
+
 def test_blocks_lose_no_match():
     weights, rng = weights_of_code(), random.Random(3)
     lines = [line for h in HEADERS.values() for line in h.split("\n") if line] + ["x = 1", "the code is here", "licensed under the"]
@@ -293,7 +323,7 @@ def test_blocks_lose_no_match():
         units = [u for _ in range(rng.randint(2, 12)) if (u := licences.terms(rng.choice(lines)))]
         every = [sum(units[a:b], []) for a in range(len(units)) for b in range(a + 2, len(units) + 1)]
         best = lambda blocks: max((m[0] for b in blocks if (m := weights.best(b))), default=0)
-        assert best([*units, *weights.blocks(units)]) == pytest.approx(best([*units, *(b for b in every if len(b) <= weights.longest)]))
+        assert best([*units, *(sum(units[a:b], []) for a, b in weights.blocks(units))]) == pytest.approx(best([*units, *(b for b in every if len(b) <= weights.longest)]))
 
 
 # packing ---------------------------------------------------------------------

@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ THRESHOLD = 0.6
 #: A block of sentences or lines has at most so many times the words of the longest template.
 LONGER = 1.5
 
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution.")
 #: Customary notices per licence, as people write them.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT",
@@ -37,15 +42,34 @@ TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0",
                    "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. "
                    "You may obtain a copy of the License at apache org licenses LICENSE-2.0"],
+    "ISC": ["Released under the ISC License.", "Licensed under the ISC license.", "SPDX-License-Identifier: ISC",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later",
+                "SPDX-License-Identifier: GPL-3.0-only",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
                 "License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only",
+                "SPDX-License-Identifier: GPL-2.0-or-later",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+                "License as published by the Free Software Foundation; either version 2 of the License, or any later version."],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only",
+                 "SPDX-License-Identifier: LGPL-2.1-or-later",
+                 "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                 "Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version."],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only",
+                 "SPDX-License-Identifier: LGPL-3.0-or-later",
+                 "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                 "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only",
+                 "SPDX-License-Identifier: AGPL-3.0-or-later",
+                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+                 "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause",
-                     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-                     "the following conditions are met"],
+                     _BSD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", _BSD],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.",
                      "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -53,6 +77,30 @@ TEMPLATES = {
                      "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright to this work."],
 }
+#: Per licence, what the words of a match (joined by blanks) have to hold, and what they may not: the terms that
+#: tell it from its neighbours and other versions. Without them a near text gives no licence.
+_COPYLEFT = r"(?:version|v|gplv?|licen[cs]e) ?"
+TELLING = {
+    "MIT": (r"\bmit\b|free of charge", r"(?!)"),
+    "ISC": (r"\bisc\b|with or without fee is hereby granted provided", r"(?!)"),
+    "Apache-2.0": (r"\b(?:version|v|apache|licen[cs]es?) ?(?:licen[cs]e )?2\b(?! [1-9])", r"(?!)"),
+    "GPL-3.0": (rf"{_COPYLEFT}3\b(?! [1-9])", r"\b(?:lesser|library general|affero|lgpl\w*|agpl\w*)\b"),
+    "GPL-2.0": (rf"{_COPYLEFT}2\b(?! [1-9])", r"\b(?:lesser|library general|affero|lgpl\w*|agpl\w*)\b"),
+    "LGPL-2.1": (rf"\A(?=.*\b(?:lesser|lgpl\w*)\b).*{_COPYLEFT}2 1\b", r"(?!)"),
+    "LGPL-3.0": (rf"\A(?=.*\b(?:lesser|lgpl\w*)\b).*{_COPYLEFT}3\b(?! [1-9])", r"(?!)"),
+    "AGPL-3.0": (rf"\A(?=.*\b(?:affero|agpl\w*)\b).*{_COPYLEFT}3\b(?! [1-9])", r"(?!)"),
+    "MPL-2.0": (r"\b(?:version|v|mpl|licen[cs]e) ?2\b(?! [1-9])", r"(?!)"),
+    "BSD-3-Clause": (r"\b3 clause|neither the names? ", r"\ball advertising materials\b"),
+    "BSD-2-Clause": (r"\b2 clause|redistributions in binary form must reproduce", r"\b[34] clause|neither the names? |\ball advertising materials\b"),
+    "CC-BY-4.0": (r"\b4 0\b", r"\b(?:sa|sharealike|share alike|nc|noncommercial|nd|noderiv\w*)\b"),
+    "CC-BY-SA-4.0": (r"\A(?=.*\b(?:sa|sharealike|share alike)\b).*\b4 0\b", r"\b(?:nc|noncommercial|nd|noderiv\w*)\b"),
+    "CC-BY-NC-4.0": (r"\A(?=.*\b(?:nc|noncommercial)\b).*\b4 0\b", r"\b(?:sa|sharealike|share alike|nd|noderiv\w*)\b"),
+    "CC0-1.0": (r"\bcc0\b|waived all copyright", r"(?!)"),
+}
+_TELLING = {licence: (re.compile(need), re.compile(never)) for licence, (need, never) in TELLING.items()}
+_ANY = (re.compile(""), re.compile(r"(?!)"))
+#: Clauses beside a match that make it a part of another licence, looked for as far as a block may reach.
+_BESIDE = {"BSD-2-Clause", "BSD-3-Clause"}
 _TERM = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"\n+|(?<=[.!?;])\s+")
 
@@ -91,22 +139,29 @@ class Weights:
                 self.matrix[t, self.place[w]] = x
         self.squares = np.ascontiguousarray(self.matrix ** 2)
 
-    def best(self, words: list[str]) -> tuple[float, str] | None:
-        """Largest cosine at the threshold or above, and its licence; ties go to the first name."""
+    def best(self, words: list[str], beside: list[str] | None = None) -> tuple[float, str] | None:
+        """Largest cosine at the threshold or above, and its licence; ties go to the first name.
+
+        Licences whose telling terms the words lack are passed over. `beside`: the words
+        with what stands before and after them.
+        """
         counts = Counter(words)
         if self.core.isdisjoint(counts):
             return None
         vector = {w: n * self.idf.get(w, self.other) for w, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in vector.values()))
-        found = None
+        found = said = None
         for licence, template in self.vectors:
             cosine = sum(x * vector[w] for w, x in template.items() if w in vector) / norm
             if cosine >= self.threshold and (found is None or cosine > found[0] + 1e-12):
-                found = (cosine, licence)
+                said = said or " ".join(words)
+                need, never = _TELLING.get(licence, _ANY)
+                if need.search(said) and not never.search(" ".join(beside) if beside and licence in _BESIDE else said):
+                    found = (cosine, licence)
         return found
 
-    def blocks(self, units: list[list[str]]) -> Iterator[list[str]]:
-        """Words of the blocks of two or more consecutive units that can come near a template.
+    def blocks(self, units: list[list[str]]) -> Iterator[tuple[int, int]]:
+        """First and last (exclusive) unit of the blocks of two or more consecutive units that can come near a template.
 
         A cosine is at most the norm of the template's part whose words occur, so most
         blocks need no vector. A block begins and ends with a unit that has a word of a
@@ -133,7 +188,7 @@ class Weights:
             near = (sums[ends] - sums[first] > 0) @ squares.T >= least
             near &= (has[first] @ (squares > 0).T) & (has[ends - 1] @ (squares > 0).T)
             for end in ends[near.any(axis=1)].tolist():
-                yield [w for u in units[first:end] for w in u]
+                yield first, end
 
     def scan(self, text: str | None) -> tuple[tuple[float, str] | None, tuple[float, str] | None]:
         """Best match of any sentence or block of sentences, and of the whole text."""
@@ -141,8 +196,12 @@ class Weights:
         if self.core.isdisjoint(words):
             return None, None
         units = [u for s in _SENTENCE.split(text) if (u := terms(s))]
-        found = [m for u in units if (m := self.best(u))]
-        found += [m for b in self.blocks(units) if (m := self.best(b))]
+        lengths = [0, *accumulate(map(len, units))]
+        found = []
+        for first, end in chain(((i, i + 1) for i in range(len(units))), self.blocks(units)):
+            a, b = lengths[first], lengths[end]
+            if not self.core.isdisjoint(words[a:b]) and (m := self.best(words[a:b], words[max(0, a - self.longest):b + self.longest])):
+                found.append(m)
         return max(found, key=lambda m: m[0], default=None), self.best(words)
 
 
