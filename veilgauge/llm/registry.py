@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from veilgauge.llm import backoff, boosting, chat, jaccard, licences, packing, pieces, pivots, rules, sharding
+from veilgauge.llm import (backoff, boosting, chat, infill, jaccard, licences, packing, personal, pieces, pivots, rules, sharding,
+                           whitening)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -197,11 +198,55 @@ FROM measured d
 """
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, folder, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(infill.restored(F.col("form"), F.col("output")).cast("binary"), 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+draws AS (
+  SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM texts),
+cuts AS (
+  SELECT doc_id, text, units, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+pieces AS (
+  SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m,
+         array_to_string(units[b + 1:n], '') AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM pieces
+"""
+
+
+def op12_jacobi_davidson(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(table(spark, folder, "embeddings"))
+    flat = white.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("place", "whitened"))
+    return flat.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "whitened",
+                       F.col("explained")[F.col("place")].alias("explained"), "identity_error")
+
+
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    spans = F.col("spans")
+    return personal.personal_spans(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", *[personal.n_of(spans, kind).alias(f"n_{kind}") for kind in personal.BASE],
+        F.sha2(personal.listed(spans, base_only=True).cast("binary"), 256).alias("base_sha256"), personal.listed(spans).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_stupid_backoff, op2_pivot_permutation, op3_boosted_quality, op4_jump_shards, op5_licence_scan, op6_linear_grouping, op7_t_occurrence, op8_chat_format, op9_sentencepiece,
-        op10_adaptive_rules)}
+        op10_adaptive_rules, op11_fill_in_middle, op12_jacobi_davidson, op13_personal_data)}
 
 
 def statements() -> dict[str, str]:
-    return {"op1_stupid_backoff": OP1_SQL, "op8_chat_format": OP8_SQL, "op10_adaptive_rules": OP10_SQL}
+    return {"op1_stupid_backoff": OP1_SQL, "op8_chat_format": OP8_SQL, "op10_adaptive_rules": OP10_SQL,
+            "op11_fill_in_middle": OP11_SQL}
