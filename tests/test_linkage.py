@@ -1,10 +1,11 @@
 import datetime as dt
 import difflib
 import random
+from collections import Counter
 
 import pytest
 
-from veilgauge.operators import evaluate, linkage
+from veilgauge.operators import evaluate, linkage, nearest, rounds, textkeys
 from veilgauge.operators.linkage import Linkage, explain_matches, match_attribute_matrix
 
 WEIGHTS = {"categorical": 0.3, "numeric": 0.3, "text": 0.2, "date": 0.2}
@@ -75,19 +76,18 @@ def test_blocked_plan_equals_all_pairs_with_nulls_and_copies(spark, seed):
     close(got, brute_force(a, b, ["categorical", "categorical", "numeric", "categorical"]))
 
 
-def test_salted_blocks_change_nothing(spark, monkeypatch):
+def test_salted_leaves_change_nothing(spark, monkeypatch):
     a, b = random_rows(5, 60), random_rows(6, 60)
-    schema = "g string, c string, age int, h string"
     schema = "g string, c string, age int, h int"
     a, b = [(*r[:3], i % 5) for i, r in enumerate(a)], [(*r[:3], i % 4) for i, r in enumerate(b)]
     plain = as_tuples(link(spark, a, b, schema))
-    monkeypatch.setattr(linkage, "BLOCK_VALUES", 2)
+    monkeypatch.setattr(rounds, "PAIRS_PER_SALT", 100)
     assert as_tuples(link(spark, a, b, schema)) == plain
 
 
 @pytest.mark.parametrize("kind", ["numeric", "date"])
 def test_nearest_cells_hold_every_best_partner(spark, monkeypatch, kind):
-    monkeypatch.setattr(linkage, "BLOCK_VALUES", 2)
+    monkeypatch.setattr(linkage, "CROWDED", 0)
     rng = random.Random(11)
     # Dense, sparse and far-away stretches, nulls, and values outside the target's range.
     spots = [0, 1, 2, 3, 500, 501, 502, 10_000, 40_000]
@@ -172,11 +172,116 @@ def test_weights_go_by_either_name(spark):
         link(spark, rows, rows, schema, weights={"colour": 1.0})
 
 
-def test_too_many_signatures_ask_for_fewer_columns(spark):
-    width = 16
+@pytest.mark.parametrize("seed,halvings", [(0, 30), (1, 30), (2, 3)])
+def test_crowded_numbers_equal_all_pairs(spark, monkeypatch, seed, halvings):
+    """Crowds, values exactly on the rounding cuts, and outliers, with cells halved from two values on."""
+    monkeypatch.setattr(linkage, "CROWDED", 0)
+    monkeypatch.setattr(nearest, "CROWD", 2)
+    monkeypatch.setattr(nearest, "HALVINGS", halvings)
+    monkeypatch.setattr(nearest, "SMALLEST", halvings + 1)
+    rng = random.Random(seed)
+    spots = [0.0, 10.0, 20.0, 500.0, 19_990.0, 20_000.0]
+    value = lambda: rng.choice(spots) + rng.choice([0, rng.random() * 40, rng.randint(0, 40) * 0.5, rng.randint(0, 4) * 10])
+    a = [(rng.choice("MF"), value()) for _ in range(80)] + [("M", 0.0), ("M", 20_000.0)]
+    b = [(rng.choice("MF"), value()) for _ in range(150)] + [("F", 1e7), ("M", None), ("M", -1e7)] + [("M", 1e7 + k) for k in range(20)]
+    close(as_tuples(link(spark, a, b, "g string, v double")), brute_force(a, b, ["categorical", "numeric"]))
+
+
+def test_crowded_incomes_make_few_pairs(spark):
+    rng = random.Random(4)
+    a = [(float(rng.randint(0, 99_999)),) for _ in range(3000)] + [(1e9,)]
+    b = [(float(rng.randint(0, 99_999)),) for _ in range(3000)]
+    result = link(spark, a, b, "income double")
+    assert result.matches.count() >= 9000 and result.scored_pairs < 100_000
+    # All of them are within half a step of each other, so the smallest keys win.
+    assert {(r.key_b, r.match_rank) for r in result.matches.where("key_a < 3000").collect()} == {(0, 1), (1, 2), (2, 3)}
+
+
+@pytest.mark.parametrize("group", range(4))
+def test_text_join_equals_all_pairs(spark, monkeypatch, group):
+    """Twenty seeds, five at a time."""
+    a, b = [], []
+    for seed in range(5 * group, 5 * group + 5):
+        rng = random.Random(seed)
+        name = lambda: rng.choice(["anna", "ana", "hannah", "peter", "petra", "zoë", "o", "", "jon smith", "john smyth"]) + rng.choice(  # noqa: B023, E731
+            ["", " m", " maria", "son", "s", "son son"]) + (str(rng.randint(0, 99)) if rng.random() < 0.3 else "")  # noqa: B023
+        odd = lambda v: None if rng.random() < 0.06 else v  # noqa: B023, E731
+        mine = [(odd(name()), rng.choice("xyz")) for _ in range(40)]
+        a += mine
+        b += [(odd(rng.choice([name().upper() + " ", (mine[i % 40][0] or "q") + "x"])), rng.choice("xyz")) for i in range(45)]
+    monkeypatch.setattr(rounds, "ROUND_COST", 0)
+    monkeypatch.setattr(rounds, "TEXT_SHARE", 1e-6)  # as if texts were the most selective key
+    threshold = [0.55, 0.8, 0.9, 0.6][group]
+    result = link(spark, a, b, "name string, g string", kinds={"name": "text", "g": "categorical"}, threshold=threshold)
+    close(as_tuples(result), brute_force(a, b, ["text", "categorical"], threshold=threshold))
+
+
+def test_customer_names_need_few_exact_ratios(spark, capsys):
+    name = lambda i: f"Customer#{i:09d}"
+    a = [(name(i), "xyzuv"[i % 5], str(i % 7)) for i in range(1000)]
+    b = [(name(i)[:-1] + str(i % 3) if i % 2 else name(i), *a[i][1:]) for i in range(1000)]
+    kinds = {"full_name": "text", "g": "categorical", "h": "categorical"}
+    result = link(spark, a, b, "full_name string, g string, h string", kinds=kinds)
+    assert result.matches.count() == 3000
+    with capsys.disabled():
+        print(f" {result.scored_pairs} of {len(a) * len(b)} pairs scored ", end="")
+    assert result.scored_pairs < 0.01 * len(a) * len(b)
+
+
+def test_text_join_by_edit_distance_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(rounds, "TEXT_SHARE", 1e-6)
+    monkeypatch.setattr(rounds, "ROUND_COST", 0)
+    monkeypatch.setattr(rounds, "WORTH", 1.0)
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, before = [i], row
+            for j, d in enumerate(y, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (c != d)))
+        return row[-1]
+
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
+    a, b = [(word(),) for _ in range(60)], [(word(),) for _ in range(60)]
+    want = []
+    for i, (x,) in enumerate(a):
+        scored = []
+        for j, (y,) in enumerate(b):
+            s = 1 - distance(x, y) / max(len(x), len(y)) if x or y else 1.0
+            scored.append((-round(int(s * 1000 + 0.5 + 1e-9) / 1000, 9), j))
+        want += [(i, j, -s) for s, j in sorted(scored)[:3] if -s >= 0.55]
+    got = as_tuples(link(spark, a, b, "name string", kinds={"name": "text"}, text_method="levenshtein"))
+    close(got, sorted(want))
+
+
+@pytest.mark.parametrize("a,b,method,least", [("anna maria", "ana maria", "ratcliff", 0.9), ("abcd", "abce", "levenshtein", 0.75)])
+def test_similar_texts_share_as_many_pairs_as_stated(spark, a, b, method, least):
+    marked = lambda t: [f"\2{t}\3"[k:k + 2] for k in range(len(t) + 1)]
+    shared = sum((Counter(marked(a)) & Counter(marked(b))).values())
+    stated = spark.range(1).selectExpr(f"{textkeys.shared_at_least(method, str(len(a)), f'{least}D')} AS n").first().n
+    assert 1 <= stated <= shared
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_several_graded_columns_equal_all_pairs(spark, monkeypatch, seed):
+    monkeypatch.setattr(rounds, "ROUND_COST", 0)
+    rng = random.Random(seed)
+    day = lambda: None if rng.random() < 0.05 else dt.date(2020, 1, 1) + dt.timedelta(days=rng.randint(0, 2500))
+    a = [(rng.choice("MFX"), rng.uniform(1, 50), day(), rng.randint(0, 9)) for _ in range(70)]
+    b = [(rng.choice("MFX"), rng.uniform(-20, 90), day(), rng.randint(0, 9)) for _ in range(80)]
+    result = link(spark, a, b, "g string, v double, d date, n int")
+    close(as_tuples(result), brute_force(a, b, ["categorical", "numeric", "date", "numeric"]))
+    assert result.scored_pairs < 70 * 80 * 0.8
+
+
+@pytest.mark.parametrize("width,threshold", [(20, 0.55), (20, 0.85), (65, 0.75)])
+def test_any_number_of_shared_categories(spark, width, threshold):
+    rng = random.Random(width)
+    a = [tuple(rng.choice("abcd") for _ in range(width)) for _ in range(40)]
+    b = [tuple(v if rng.random() < 0.75 else rng.choice("abcd") for v in rng.choice(a)) for _ in range(60)]
     schema = ", ".join(f"c{i} string" for i in range(width))
-    with pytest.raises(ValueError, match="signatures"):
-        link(spark, [tuple("x" * width)], [tuple("x" * width)], schema)
+    close(as_tuples(link(spark, a, b, schema, threshold=threshold)), brute_force(a, b, ["categorical"] * width, threshold=threshold))
 
 
 def test_explanations_and_matrix(spark):

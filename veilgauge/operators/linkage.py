@@ -1,21 +1,18 @@
 """Record linkage of a table against an auxiliary table, over all rows.
 
-A pair's score is the weighted mean of its attribute similarities. Attributes
-compared exactly score 0 or 1, so a pair at or above the threshold must agree
-exactly on a set of columns that is heavy enough - one of a known list of
-*signatures*. That gives a plan without a cross join and without a cap:
-
-1. The target table shrinks to distinct attribute tuples.
-2. For every signature both tables shrink to (signature values, graded values):
-   columns outside the signature are dropped, and the auxiliary side keeps only
-   the ``top`` smallest keys of each, as they tie on score. Blocks join on the
-   signature values, so a block pairs distinct *graded* values, never rows.
-3. Each graded value keeps its ``top`` best partners per block. A pair is later
-   used only under the signature that equals its exact agreement, where its
-   block score is its true score. Any partner missing from the block's best
-   has ``top`` others that score at least as well, so nothing is lost.
-4. The few candidates per tuple are scored in full, cut to ``top``, and handed
-   to all rows sharing the tuple (see :mod:`veilgauge.operators.skew`).
+A pair's score is the weighted mean of its attribute similarities. Both tables first
+shrink to distinct attribute tuples, the auxiliary side with its ``top`` smallest keys
+each, as they tie on score. The best partners of a tuple are then found without a cross
+join and without a cap:
+
+* usually in rounds of growing loss (:mod:`veilgauge.operators.rounds`), which join on
+  the columns that have to agree, on cells of numbers and dates and on character pairs of
+  texts, and look further only for tuples whose best partners are not certain yet;
+* or, where one number or date has to decide among very many tuples alike in all else,
+  by counting in cells and halving crowded ones (:mod:`veilgauge.operators.nearest`).
+
+Both give the result of comparing all pairs; expected cost chooses between them. What a
+tuple found is handed to all its rows (see :mod:`veilgauge.operators.skew`).
 
 Scores are compared at nine decimals, which absorbs floating-point noise in
 the weighted sum; ties go to the smaller auxiliary key.
@@ -23,11 +20,10 @@ the weighted sum; ties go to the smaller auxiliary key.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-from functools import reduce
-from itertools import combinations
+import logging
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,17 +33,16 @@ from veilgauge.functions.columns import (as_text, is_code_like, is_numeric, is_t
                                          ref, shared_columns)
 from veilgauge.functions.ladders import linkage_level
 from veilgauge.functions.text import fold
+from veilgauge.operators import nearest, rounds
 from veilgauge.operators.quantiles import as_number
 from veilgauge.operators.skew import attach
+from veilgauge.operators.topk import packed
 from veilgauge.session import materialise
 
-MAX_SIGNATURES = 4096
-SLACK = 1e-9
-# Graded values of the target side that one task pairs within a block.
-BLOCK_VALUES = 1024
-# Similarities are rounded to this many steps.
-STEPS = 1000
-NO_CELL = -(1 << 60)
+log = logging.getLogger("veilgauge.linkage")
+
+#: Pairs to look at per row from which on a single ordered column is searched by halving cells.
+CROWDED = 100
 
 
 def linkage_kinds(df: DataFrame, columns: list[str]) -> dict[str, str]:
@@ -117,21 +112,6 @@ class Comparison:
     def graded(self) -> list[int]:
         return [i for i, k in enumerate(self.kinds) if k != "categorical"]
 
-    def signature_weight(self, signature: int) -> float:
-        return sum(self.weights[i] for j, i in enumerate(self.exact) if signature >> j & 1)
-
-    def signatures(self) -> list[int]:
-        """Bit masks over the exact columns heavy enough to reach the threshold."""
-        needed = self.threshold * self.total_weight - sum(self.weights[i] for i in self.graded)
-        bits = range(len(self.exact))
-        masks = [sum(1 << j for j in chosen) for size in range(len(self.exact) + 1)
-                 for chosen in combinations(bits, size)]
-        kept = [m for m in masks if self.signature_weight(m) >= needed - SLACK]
-        if len(kept) > MAX_SIGNATURES:
-            raise ValueError(f"{len(kept)} column signatures can reach the threshold; "
-                             "compare fewer columns (columns=...) or raise the threshold")
-        return kept
-
     def typed(self, df: DataFrame, i: int) -> Column:
         """Column ``i`` of either table in the form its kind compares."""
         name, kind = self.columns[i], self.kinds[i]
@@ -185,185 +165,34 @@ def _fingerprint(name: str, parts: list[Column]) -> list[Column]:
     return [F.xxhash64(F.lit("a"), *marked).alias(f"{name}1"), F.xxhash64(F.lit("b"), *marked).alias(f"{name}2")]
 
 
-def _by_signature(tuples: DataFrame, plan: Comparison, carry: list[str]) -> DataFrame:
-    """Each tuple once per signature: ``sid``, its block key ``x1, x2``, and ``carry``.
-
-    A tuple with a null inside the signature cannot agree there and is left out.
-    """
-    exact = plan.exact
-    sid = F.col("sid")
-    spread = tuples.withColumn("sid", F.explode(F.array(*[F.lit(s) for s in plan.signatures()])))
-    inside = [sid.bitwiseAND(F.lit(1 << j)) != 0 for j in range(len(exact))]
-    usable = reduce(lambda a, b: a & b,
-                    [~m | F.col(f"v{i}").isNotNull() for m, i in zip(inside, exact)], F.lit(True))
-    masked = [F.when(m, F.col(f"v{i}")) for m, i in zip(inside, exact)]
-    return spread.where(usable).select("sid", *_fingerprint("x", [sid, *masked]), *carry)
-
-
-def _best(df: DataFrame, keys: list[str], order: list[Column], top: int) -> DataFrame:
-    """First ``top`` rows per key; Spark cuts every task's rows before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).where(F.col("__rank") <= top)
-
-
-def _packed(df: DataFrame, keys: list[str], order: list[Column], top: int, item: Column, name: str) -> DataFrame:
-    """One row per key holding its first ``top`` items in order.
-
-    The rows arrive sorted from the ranking, so a short frame collects them
-    without another sort or shuffle.
-    """
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, top - 1)
-    return _best(df, keys, order, top).withColumn(name, F.collect_list(item).over(frame)).where(F.col("__rank") == 1)
-
-
-def _candidates(a_tuples: DataFrame, b_rows: DataFrame, plan: Comparison, graded_values: int) -> tuple[DataFrame, list[str]]:
-    """Best partners per (signature, masked values, graded values) of the target side."""
-    values = [f"v{i}" for i in range(len(plan.columns))]
-    graded = [f"v{i}" for i in plan.graded]
-    block = ["sid", "x1", "x2"]
-
-    a_groups = (_by_signature(a_tuples, plan, graded).groupBy(*block, *graded)
-                .agg(F.count(F.lit(1)).alias("tuples")))
-    b_side = _packed(_by_signature(b_rows, plan, [*values, "kb"]), [*block, *graded], [F.col("kb")], plan.top,
-                     F.struct("kb", *[f"v{i}" for i in plan.exact]), "keys").select(
-        *block, *[F.col(v).alias(f"b_{v}") for v in graded], "keys")
-
-    ordered = len(graded) == 1 and plan.kinds[plan.graded[0]] in ("numeric", "date")
-    if ordered and graded_values > BLOCK_VALUES:
-        pairs = _near_pairs(a_groups, b_side, block, plan)
-    else:
-        pairs = _block_pairs(a_groups, b_side, block, graded, plan, graded_values)
-    sims = [plan.graded_similarity(i, F.col(f"v{i}"), F.col(f"b_v{i}")).alias(f"s{i}") for i in plan.graded]
-    scored = pairs.select(*block, *graded, "tuples", "keys", *sims)
-    partial = sum((F.lit(plan.weights[i]) * F.col(f"s{i}") for i in plan.graded), F.lit(0.0))
-    agreed = F.create_map(*[F.lit(x) for s in plan.signatures() for x in (s, plan.signature_weight(s))])
-    reach = (agreed[F.col("sid")] + F.col("graded_score")) >= F.lit(plan.threshold * plan.total_weight - SLACK)
-    scored = scored.withColumn("graded_score", F.round(partial, 9)).where(reach)
-    # The best keys are among the best (value, smallest key) partners.
-    partner = F.transform("keys", lambda k: F.struct(
-        -F.col("graded_score"), k["kb"].alias("kb"),
-        *[k[f"v{i}"].alias(f"b_v{i}") for i in plan.exact], *[F.col(f"s{i}") for i in plan.graded]))
-    near = _packed(scored, [*block, *graded], [F.desc("graded_score"), F.col("keys")[0]["kb"]], plan.top,
-                   partner, "partners")
-    per_group = near.select(*block, *graded, "tuples", F.slice(
-        F.sort_array(F.flatten("partners")), 1, plan.top).alias("partners"))
-    return per_group, [*block, *graded]
-
-
-def _attribute_scores(plan: Comparison) -> list[Column]:
-    """Similarity per column between a target tuple ``v*`` and its partner ``p``."""
-    scores = []
-    for i, kind in enumerate(plan.kinds):
-        if kind == "categorical":
-            scores.append(similarity.exact_similarity(F.col(f"v{i}"), F.col("p")[f"b_v{i}"]))
-        else:
-            scores.append(F.col("p")[f"s{i}"])
-    return scores
-
-
-def _salts(a_groups: DataFrame, block: list[str], plan: Comparison) -> dict[int, int]:
-    """How many ways each signature's blocks are split, from its largest block."""
-    if not plan.graded:
-        return {s: 1 for s in plan.signatures()}
-    sizes = a_groups.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).groupBy("sid").agg(F.max("n").alias("n"))
-    largest = {r["sid"]: r["n"] for r in sizes.collect()}
-    return {s: 1 + largest.get(s, 0) // BLOCK_VALUES for s in plan.signatures()}
-
-
-def _block_pairs(a_groups: DataFrame, b_side: DataFrame, block: list[str], graded: list[str], plan: Comparison,
-                 graded_values: int) -> DataFrame:
-    """All graded value pairs of each block.
-
-    A block is small in bytes but pairs its graded values, so both sides get a
-    fixed partition count: sizing by input bytes would pack all blocks together.
-    A block with many graded values is split further by salting.
-    """
-    salts = _salts(a_groups, block, plan) if graded_values > BLOCK_VALUES else {s: 1 for s in plan.signatures()}
-    salt_count = F.create_map(*[F.lit(x) for s, n in salts.items() for x in (s, n)])[F.col("sid")]
-    salt = F.pmod(F.xxhash64(*graded), salt_count) if graded else F.lit(0).cast("bigint")
-    a_salted = a_groups.withColumn("salt", salt)
-    b_salted = b_side.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (salt_count - 1).cast("bigint"))))
-    spread = int(a_groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    on = [*block, "salt"]
-    return a_salted.repartition(spread, *on).join(b_salted.repartition(spread, *on), on)
-
-
-def _cell(plan: Comparison, value: Column) -> Column:
-    """Position of an ordered value in steps of one thousandth of similarity; null stays null."""
-    i = plan.graded[0]
-    if plan.kinds[i] == "date":
-        scaled = F.datediff(value, F.lit("1970-01-01").cast("date")) / F.lit(float(settings.DATE_HORIZON_DAYS))
-    else:
-        scaled = value / F.lit(plan.spans[i])
-    return F.floor(scaled * F.lit(float(STEPS))).cast("bigint")
-
-
-def _near_pairs(a_groups: DataFrame, b_side: DataFrame, block: list[str], plan: Comparison) -> DataFrame:
-    """Value pairs of blocks with very many ordered values: only cells that can hold a best partner.
-
-    Values ``o`` cells apart differ by more than ``o - 1`` and less than
-    ``o + 1`` steps, and scores are rounded to whole steps. Once the cells up to
-    ``o`` hold ``top`` partners, anything beyond ``o + 2`` scores strictly
-    lower, so leaving it out is exact (``o + 3`` leaves room for floating-point
-    error at a cell's edge). Similarity 0 has no such order: nulls,
-    and everything a full span away, are paired if a cell has to look that far.
-    """
-    value = f"v{plan.graded[0]}"
-    far = STEPS + 1
-    a_cells = a_groups.withColumn("cell_a", F.coalesce(_cell(plan, F.col(value)), F.lit(NO_CELL)))
-    ends = a_cells.where(F.col("cell_a") != NO_CELL).agg(F.min("cell_a"), F.max("cell_a")).first()
-    low, high = (ends[0] or 0) - far - 1, (ends[1] or 0) + far + 1
-    own = _cell(plan, F.col(f"b_{value}"))
-    b_cells = b_side.withColumn("cell_b", F.coalesce(
-        F.greatest(F.lit(low), F.least(F.lit(high), own)), F.lit(NO_CELL)))
-
-    held = b_cells.groupBy(*block, "cell_b").agg(F.sum(F.size("keys")).alias("held"))
-    apart = F.when((F.col("cell_a") == NO_CELL) | (F.col("cell_b") == NO_CELL), F.lit(far)).otherwise(
-        F.least(F.abs(F.col("cell_a") - F.col("cell_b")), F.lit(far)))
-    # Cells, not values: a block has a few thousand at most on either side.
-    cells = (a_cells.select(*block, "cell_a").distinct().join(held, block).withColumn("apart", apart))
-    nearest = Window.partitionBy(*block, "cell_a")
-    within = F.sum("held").over(nearest.orderBy("apart").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    reach = F.min(F.when(F.col("within") >= plan.top, F.col("apart"))).over(nearest)
-    useful = (cells.withColumn("within", within).withColumn("reach", reach)
-              .where(F.col("reach").isNull() | (F.col("reach") >= STEPS - 2)
-                     | (F.col("apart") <= F.col("reach") + 3))
-              .select(*block, "cell_a", "cell_b"))
-    spread = int(a_groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    on = [*block, "cell_b"]
-    looking = a_cells.join(useful, [*block, "cell_a"]).repartition(spread, *on)
-    return looking.join(b_cells.repartition(spread, *on), on)
-
-
-def _with_spans(a_tuples: DataFrame, plan: Comparison) -> tuple[Comparison, int]:
-    """Numeric spans of the whole target side, and about how many distinct graded values it has."""
-    if not plan.graded:
-        return plan, 1
-    numeric = [i for i in plan.graded if plan.kinds[i] == "numeric"]
-    row = a_tuples.agg(
-        F.approx_count_distinct(F.struct(*[f"v{i}" for i in plan.graded]), 0.02).alias("graded"),
-        *[(F.max(f"v{i}") - F.min(f"v{i}")).alias(f"s{i}") for i in numeric]).first()
-    spans = [float(row[f"s{i}"] or 1.0) if i in numeric else 1.0 for i in range(len(plan.columns))]
-    return replace(plan, spans=spans), row["graded"]
-
-
 class Linkage:
     """Result of an attack: lazy match frames plus the facts known when it was planned."""
 
-    def __init__(self, plan: Comparison, matches: DataFrame, coverage: DataFrame):
+    def __init__(self, plan: Comparison, matches: DataFrame, coverage: DataFrame, per_tuple: DataFrame | None = None,
+                 scored_pairs: int = 0):
         self.plan = plan
         self.matches = matches
         self.coverage = coverage
+        #: Distinct target tuples with their number of rows and matches; None if nothing was compared.
+        self.per_tuple = per_tuple
+        #: Pairs of distinct tuples that were compared.
+        self.scored_pairs = scored_pairs
 
     def top_matches(self, limit: int = settings.MATCH_LIST_LIMIT) -> DataFrame:
         """The strongest matches; the count in :meth:`summary` is taken before this cut."""
         return self.matches.orderBy(F.desc("match_probability"), "key_a", "key_b").limit(limit)
 
     def summary(self) -> DataFrame:
-        """One row: pairs considered, matches, highest confidence and row coverage."""
-        found = self.matches.agg(
-            F.count(F.lit(1)).alias("matches_found"),
-            F.coalesce(F.max("match_probability"), F.lit(0.0)).alias("highest_confidence"))
+        """One row: pairs considered, matches, highest confidence and row coverage.
+
+        Taken from the distinct tuples: rows that share one have the same matches.
+        """
+        if self.per_tuple is None:
+            found = self.matches.agg(F.count(F.lit(1)).alias("matches_found"), F.lit(0.0).alias("highest_confidence"))
+        else:
+            found = self.per_tuple.agg(
+                F.coalesce(F.sum(F.col("copies") * F.size("found")), F.lit(0)).cast("bigint").alias("matches_found"),
+                F.coalesce(F.max(F.round(F.col("found")[0]["combined"], 3)), F.lit(0.0)).alias("highest_confidence"))
         return found.join(F.broadcast(self.coverage)).select(
             F.lit(",".join(self.plan.columns)).alias("shared_columns"),
             (F.col("target_rows_tested") * F.col("auxiliary_rows_tested")
@@ -416,25 +245,18 @@ def linkage(df_a: DataFrame, df_b: DataFrame, key_a: str, key_b: str, *, weights
                          *_fingerprint("t", typed_a))
     b_rows = df_b.select(ref(key_b).alias("kb"), *[c.alias(v) for c, v in zip(typed_b, values)])
     # Each step is written once: the next one reads it several times.
-    a_tuples, _ = materialise(a_rows.groupBy("t1", "t2", *values).agg(F.count(F.lit(1)).alias("copies")))
-    plan, graded_values = _with_spans(a_tuples, plan)
-    per_group, keys = _candidates(a_tuples, b_rows, plan, graded_values)
-    per_group, groups = materialise(per_group)
-    spread = _by_signature(a_tuples, plan, ["t1", "t2", *values, "copies"])
-    offered = attach(spread, per_group, keys, "tuples", ["partners"], "inner", groups)
-    chosen = offered.select("sid", "t1", "t2", *values, "copies", F.explode("partners").alias("p"))
-    agreement = sum((F.when(F.col(f"v{i}") == F.col("p")[f"b_v{i}"], 1 << j).otherwise(0)
-                     for j, i in enumerate(plan.exact)), F.lit(0))
-    scores = _attribute_scores(plan)
-    combined = sum((F.lit(plan.weights[i]) * scores[i] for i in width), F.lit(0.0)) / F.lit(plan.total_weight)
-    scored = (chosen.where(agreement == F.col("sid"))
-              .withColumn("combined", F.round(combined, 9))
-              .where(F.col("combined") >= F.lit(plan.threshold))
-              .select("t1", "t2", "copies", F.col("p.kb").alias("kb"), "combined", F.array(*scores).alias("scores")))
-    per_tuple = _packed(scored, ["t1", "t2"], [F.desc("combined"), F.asc("kb")], plan.top,
-                        F.struct(F.col("__rank").alias("rank"), "kb", "combined", "scores"), "found").select(
-        "t1", "t2", "copies", "found")
-    per_tuple, tuples = materialise(per_tuple)
+    a_tuples, target = materialise(a_rows.groupBy("t1", "t2", *values).agg(F.count(F.lit(1)).alias("copies")))
+    b_keyed = b_rows.select("kb", *values, *_fingerprint("u", [F.col(v) for v in values]))
+    b_tuples, auxiliary = materialise(packed(b_keyed, ["u1", "u2"], [F.col("kb")], plan.top, F.col("kb"), "keys").select(
+        "u1", "u2", "keys", *[F.col(v).alias(f"b_{v}") for v in values]))
+    plan, stats = rounds.measured(a_tuples, b_tuples, plan, target, auxiliary)
+    if nearest.applies(plan) and rounds.expected(plan, stats) > CROWDED * (target + auxiliary):
+        per_tuple, tuples, trace = nearest.best_partners(a_tuples, b_tuples, plan, _fingerprint)
+    else:
+        per_tuple, tuples, trace = rounds.best_partners(a_tuples, b_tuples, plan, stats)
+    log.info("linkage of %d with %d distinct tuples: %s", target, auxiliary, trace)
+    if per_tuple is None:
+        return Linkage(plan, _no_matches(df_a, df_b, key_a, key_b), covered)
     rows = attach(a_rows.select("ka", "t1", "t2"), per_tuple, ["t1", "t2"], "copies", ["found"], "inner", tuples)
     flat = rows.select("ka", F.explode("found").alias("m"))
     attributes = F.create_map(*[x for i in width for x in (
@@ -446,7 +268,7 @@ def linkage(df_a: DataFrame, df_b: DataFrame, key_a: str, key_b: str, *, weights
         F.round("m.combined", 3).alias("match_probability"),
         linkage_level(F.col("m.combined")).alias("risk_level"),
         attributes.alias("matching_attributes"))
-    return Linkage(plan, matches, covered)
+    return Linkage(plan, matches, covered, per_tuple, trace["pairs"])
 
 
 def explain_matches(matches: DataFrame) -> DataFrame:

@@ -125,6 +125,54 @@ def _ladder(value: str, steps: list[tuple[int, str]], otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN {value} > {b} THEN '{s}'" for b, s in reversed(steps)) + f" ELSE '{otherwise}' END"
 
 
+LEVEL = "CASE WHEN score >= 0.85e0 THEN 'CRITICAL' WHEN score >= 0.7e0 THEN 'HIGH' WHEN score >= 0.55e0 THEN 'MODERATE' ELSE 'LOW' END"
+
+
+def top_matches(views: list[str], scored: str, extra: str = "") -> str:
+    """The three best partners of every target from a table of all scores (key_a, key_b, score)."""
+    return with_views(views, f"""{extra}, scored AS ({scored}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key_a ORDER BY score DESC, key_b) AS place FROM scored WHERE score >= 0.55e0)
+SELECT key_a, key_b, CAST(place AS INTEGER) AS match_rank, round(score, 3) AS match_probability, {LEVEL} AS risk_level
+FROM ranked WHERE place <= 3""")
+
+
+def thousandths(value: str) -> str:
+    """Similarity rounded to three digits; missing is 0."""
+    return f"coalesce(round(greatest(0e0, {value}), 3), 0e0)"
+
+
+# Matching blocks ratio of two texts: the longest common run (the earliest in a, then in b), then left and right of it.
+RATIOS = """, folded AS (
+  SELECT s.customer_id AS key_a, x.aux_id AS key_b, lower(trim(s.full_name)) AS a, lower(trim(x.full_name)) AS b,
+         (s.region = x.region)::INT + (s.occupation = x.occupation)::INT AS agreed
+  FROM subjects s, names_aux x),
+-- Three partners that agree on both categories score at least 0.6 of 0.8, more than one category and a perfect name.
+wanted AS (
+  SELECT * FROM (SELECT *, count(*) FILTER (agreed = 2) OVER (PARTITION BY key_a) AS full_pairs FROM folded)
+  WHERE agreed = 2 OR full_pairs < 3),
+texts AS (SELECT a, b, row_number() OVER () AS id FROM (SELECT DISTINCT a, b FROM wanted)),
+blocks AS (
+  WITH RECURSIVE parts AS (
+    SELECT id, a, b, 1 AS alo, length(a) + 1 AS ahi, 1 AS blo, length(b) + 1 AS bhi, 0 AS n, 0 AS level FROM texts
+    UNION ALL
+    SELECT id, a, b, CASE WHEN side = 0 THEN alo WHEN side = 1 THEN i + k ELSE 0 END, CASE side WHEN 0 THEN i WHEN 1 THEN ahi ELSE 0 END,
+           CASE side WHEN 0 THEN blo WHEN 1 THEN j + k ELSE 0 END, CASE side WHEN 0 THEN j WHEN 1 THEN bhi ELSE 0 END,
+           CASE side WHEN 2 THEN k ELSE 0 END, level + 1
+    FROM (
+      SELECT *, row_number() OVER (PARTITION BY id, alo, blo, ahi, bhi ORDER BY k DESC, i, j) AS r FROM (
+        SELECT id, a, b, alo, ahi, blo, bhi, level, d, min(i) AS i, min(j) AS j, count(*) AS k FROM (
+          SELECT *, i - j AS d, i - row_number() OVER (PARTITION BY id, alo, blo, ahi, bhi, i - j ORDER BY i) AS run FROM (
+            SELECT id, a, b, alo, ahi, blo, bhi, level, i, unnest(range(blo, bhi)) AS j FROM (
+              SELECT *, unnest(range(alo, ahi)) AS i FROM parts WHERE ahi > alo AND bhi > blo))
+          WHERE a[i] = b[j])
+        GROUP BY id, a, b, alo, ahi, blo, bhi, level, d, run)) found,
+      (VALUES (0), (1), (2)) sides(side) WHERE r = 1)
+  SELECT id, sum(n) AS matched FROM parts GROUP BY id),
+ratios AS (
+  SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1e0 ELSE 2e0 * matched / (length(a) + length(b)) END AS ratio
+  FROM texts JOIN blocks USING (id))"""
+
+
 DETECTORS = {
     "missing": (1, f"""SELECT 1 AS detector, ordinal, 'missing_values' AS issue_type,
   {_ladder('round(missing * 100.0e0 / rows_n, 2)', [(5, 'MEDIUM'), (20, 'HIGH'), (50, 'CRITICAL')], 'LOW')} AS severity,
@@ -529,6 +577,20 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
         "explain_matches": attack(similarity_to_rows()),
         "match_attribute_matrix": attack("""SELECT key_a, key_b, match_probability, age, region, state, occupation, postal_code
 FROM matches ORDER BY match_probability DESC, key_a, key_b LIMIT 10"""),
+        "linkage_text": top_matches(["subjects", "names_aux"], f"""SELECT key_a, key_b,
+  round((0.3e0 * agreed + 0.2e0 * {thousandths('ratio')}) / 0.8e0, 9) AS score FROM wanted LEFT JOIN ratios USING (a, b)""", RATIOS),
+        "linkage_dates_numbers": top_matches(["subjects", "visits_aux"], f"""SELECT s.customer_id AS key_a, x.aux_id AS key_b,
+  round((0.3e0 * coalesce((s.postal_code = x.postal_code)::INT, 0)
+    + 0.3e0 * {thousandths("1e0 - abs(s.income - x.income) / (SELECT max(income) - min(income) FROM subjects)")}
+    + 0.2e0 * {thousandths("1e0 - abs(date_diff('day', CAST(s.order_date AS DATE), CAST(x.order_date AS DATE))) / 730e0")}) / 0.8e0, 9) AS score
+  FROM subjects s, visits_aux x"""),
+        "linkage_crowded": top_matches(["incomes", "incomes_aux"], f"""SELECT s.customer_id AS key_a, x.aux_id AS key_b,
+  round((0.3e0 * (s.region = x.region)::INT
+    + 0.3e0 * {thousandths("1e0 - abs(s.income - x.income) / (SELECT max(income) - min(income) FROM incomes)")}) / 0.6e0, 9) AS score
+  FROM incomes s, incomes_aux x"""),
+        "linkage_wide": top_matches(["traits", "traits_aux"], f"""SELECT s.customer_id AS key_a, x.aux_id AS key_b,
+  round(({' + '.join(f'(s.{c} = x.{c})::INT' for c in ['occupation', 'state', 'region', *[f't{k}' for k in range(1, 18)]])}) / 20e0, 9) AS score
+  FROM traits s, traits_aux x"""),
         "linkage_precision_recall": attack(""", s AS (SELECT (SELECT count(*) FROM matches) AS predicted, (SELECT count(*) FROM subjects) AS actual,
   (SELECT count(*) FROM matches WHERE key_a = key_b) AS true_positives),
 r AS (SELECT *, true_positives * 1e0 / predicted AS p, true_positives * 1e0 / actual AS q FROM s)

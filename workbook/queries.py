@@ -204,6 +204,27 @@ def match_attribute_matrix(spark, d):
     return linkage.match_attribute_matrix(_attack(spark, d))
 
 
+def linkage_text(spark, d):
+    """Misspelt names, compared by the default measure."""
+    return linkage.linkage(_subjects(spark, d), view(spark, d, "names_aux"), "customer_id", "aux_id",
+                           columns=["full_name", "region", "occupation"]).matches.select(*MATCH)
+
+
+def linkage_dates_numbers(spark, d):
+    return linkage.linkage(_subjects(spark, d), view(spark, d, "visits_aux"), "customer_id", "aux_id",
+                           columns=["postal_code", "income", "order_date"]).matches.select(*MATCH)
+
+
+def linkage_crowded(spark, d):
+    """Incomes crowded by an outlier."""
+    return linkage.linkage(view(spark, d, "incomes"), view(spark, d, "incomes_aux"), "customer_id", "aux_id").matches.select(*MATCH)
+
+
+def linkage_wide(spark, d):
+    """Twenty shared categories."""
+    return linkage.linkage(view(spark, d, "traits"), view(spark, d, "traits_aux"), "customer_id", "aux_id").matches.select(*MATCH)
+
+
 def linkage_precision_recall(spark, d):
     truth = _subjects(spark, d).select(F.col("customer_id").alias("key_a"), F.col("customer_id").alias("key_b"))
     return evaluate.precision_recall(_attack(spark, d).matches, truth, ["key_a", "key_b"])
@@ -429,7 +450,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         topn_values, class_balance, iqr_fences, correlation_pairs,
         numeric_similarity, date_similarity, string_similarity,
         linkage_matches, linkage_top, linkage_summary, linkage_coverage, explain_matches, match_attribute_matrix,
-        linkage_precision_recall, linkable_overlap,
+        linkage_text, linkage_dates_numbers, linkage_crowded, linkage_wide, linkage_precision_recall, linkable_overlap,
         mitigate_suppress, recommend_mitigations, apply_mitigations, optimize_mitigations, derive_auxiliary,
         inject_quality_faults,
         quality_issues, quality_score, fix_trim, fix_case, fix_date_format, fix_drop_duplicates, fix_impute_median,

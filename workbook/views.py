@@ -61,6 +61,64 @@ FROM (SELECT s.*, CAST(year(order_date) AS STRING) AS y,
              lpad(CAST(month(order_date) AS STRING), 2, '0') AS m,
              lpad(CAST(day(order_date) AS STRING), 2, '0') AS d
       FROM subjects s) p""",
+    # Misspelt names beside two categories.
+    "names_aux": """
+SELECT customer_id AS aux_id,
+       CASE customer_id % 4 WHEN 1 THEN concat(substr(full_name, 1, 17), CAST(customer_id % 7 AS STRING))
+            WHEN 2 THEN replace(full_name, '#', '') WHEN 3 THEN concat(' ', upper(full_name), 'x') ELSE full_name END AS full_name,
+       region, occupation
+FROM subjects""",
+    # Dates and numbers that are off by some days and some tenths, beside a code.
+    "visits_aux": """
+SELECT customer_id AS aux_id, income + customer_id % 9 * 11.5 AS income,
+       date_add(order_date, CAST(customer_id % 13 AS INT)) AS order_date, postal_code
+FROM subjects""",
+    # Incomes of which one is so large that all others lie within a thousandth of the range.
+    "incomes": """
+SELECT customer_id, region, CASE WHEN customer_id = 1 THEN 1e12 ELSE income END AS income FROM subjects""",
+    "incomes_aux": """
+SELECT customer_id AS aux_id, region, income + customer_id % 10 * 0.25 AS income FROM subjects""",
+    # Twenty categories, and a copy in which every sixth value is lost.
+    "traits": """
+SELECT c_custkey AS customer_id, c_mktsegment AS occupation, n_name AS state, r_name AS region,
+       CAST((c_custkey * 8023 + 1 * 104729) % 1000003 % 4 AS STRING) AS t1,
+       CAST((c_custkey * 8127 + 2 * 104729) % 1000003 % 4 AS STRING) AS t2,
+       CAST((c_custkey * 8231 + 3 * 104729) % 1000003 % 4 AS STRING) AS t3,
+       CAST((c_custkey * 8335 + 4 * 104729) % 1000003 % 4 AS STRING) AS t4,
+       CAST((c_custkey * 8439 + 5 * 104729) % 1000003 % 4 AS STRING) AS t5,
+       CAST((c_custkey * 8543 + 6 * 104729) % 1000003 % 4 AS STRING) AS t6,
+       CAST((c_custkey * 8647 + 7 * 104729) % 1000003 % 4 AS STRING) AS t7,
+       CAST((c_custkey * 8751 + 8 * 104729) % 1000003 % 4 AS STRING) AS t8,
+       CAST((c_custkey * 8855 + 9 * 104729) % 1000003 % 4 AS STRING) AS t9,
+       CAST((c_custkey * 8959 + 10 * 104729) % 1000003 % 4 AS STRING) AS t10,
+       CAST((c_custkey * 9063 + 11 * 104729) % 1000003 % 4 AS STRING) AS t11,
+       CAST((c_custkey * 9167 + 12 * 104729) % 1000003 % 4 AS STRING) AS t12,
+       CAST((c_custkey * 9271 + 13 * 104729) % 1000003 % 4 AS STRING) AS t13,
+       CAST((c_custkey * 9375 + 14 * 104729) % 1000003 % 4 AS STRING) AS t14,
+       CAST((c_custkey * 9479 + 15 * 104729) % 1000003 % 4 AS STRING) AS t15,
+       CAST((c_custkey * 9583 + 16 * 104729) % 1000003 % 4 AS STRING) AS t16,
+       CAST((c_custkey * 9687 + 17 * 104729) % 1000003 % 4 AS STRING) AS t17
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "traits_aux": """
+SELECT customer_id AS aux_id, occupation, state, region,
+       CASE WHEN (customer_id + 1) % 6 = 0 THEN 'none' ELSE t1 END AS t1,
+       CASE WHEN (customer_id + 2) % 6 = 0 THEN 'none' ELSE t2 END AS t2,
+       CASE WHEN (customer_id + 3) % 6 = 0 THEN 'none' ELSE t3 END AS t3,
+       CASE WHEN (customer_id + 4) % 6 = 0 THEN 'none' ELSE t4 END AS t4,
+       CASE WHEN (customer_id + 5) % 6 = 0 THEN 'none' ELSE t5 END AS t5,
+       CASE WHEN (customer_id + 6) % 6 = 0 THEN 'none' ELSE t6 END AS t6,
+       CASE WHEN (customer_id + 7) % 6 = 0 THEN 'none' ELSE t7 END AS t7,
+       CASE WHEN (customer_id + 8) % 6 = 0 THEN 'none' ELSE t8 END AS t8,
+       CASE WHEN (customer_id + 9) % 6 = 0 THEN 'none' ELSE t9 END AS t9,
+       CASE WHEN (customer_id + 10) % 6 = 0 THEN 'none' ELSE t10 END AS t10,
+       CASE WHEN (customer_id + 11) % 6 = 0 THEN 'none' ELSE t11 END AS t11,
+       CASE WHEN (customer_id + 12) % 6 = 0 THEN 'none' ELSE t12 END AS t12,
+       CASE WHEN (customer_id + 13) % 6 = 0 THEN 'none' ELSE t13 END AS t13,
+       CASE WHEN (customer_id + 14) % 6 = 0 THEN 'none' ELSE t14 END AS t14,
+       CASE WHEN (customer_id + 15) % 6 = 0 THEN 'none' ELSE t15 END AS t15,
+       CASE WHEN (customer_id + 16) % 6 = 0 THEN 'none' ELSE t16 END AS t16,
+       CASE WHEN (customer_id + 17) % 6 = 0 THEN 'none' ELSE t17 END AS t17
+FROM traits""",
     # Several formats, values that are no date, and nulls.
     "mixed_dates": """
 SELECT customer_id, order_date FROM dirty""",
@@ -69,6 +127,12 @@ SELECT customer_id, order_date FROM dirty""",
 NEEDS = {
     "subjects": [],
     "subjects_aux": ["subjects"],
+    "names_aux": ["subjects"],
+    "visits_aux": ["subjects"],
+    "incomes": ["subjects"],
+    "incomes_aux": ["subjects"],
+    "traits": [],
+    "traits_aux": ["traits"],
     "dirty_base": ["subjects"],
     "dirty": ["subjects", "dirty_base"],
     "mixed_dates": ["subjects", "dirty_base", "dirty"],
