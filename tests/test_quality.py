@@ -108,6 +108,20 @@ def test_injected_faults_are_found_again(spark):
     assert off.where(F.abs(F.col("age") - F.col("true_age")) > 1).isEmpty()
 
 
+def test_strangers_draw_from_all_values(spark):
+    """Every value can occur, rare ones too, about as often as in the table; nulls are never drawn."""
+    rows = [(i, 30 + i % 9, "common" if i % 3 == 0 else f"rare{i}" if i % 3 == 1 else None, None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, age int, label string, empty string")
+    strangers = faults.derive_auxiliary(df, "id", ["label", "empty"], "age", coverage=0.0, noise=100.0)
+    drawn = [r.label for r in strangers.collect()]
+    assert len(drawn) == 3000 and None not in drawn
+    rare = {v for v in drawn if v != "common"}
+    assert len(rare) > 600 and 1300 < drawn.count("common") < 1700
+    assert strangers.where("empty is not null").isEmpty() and strangers.where(F.col("id") < faults.NOISE_KEY_OFFSET).isEmpty()
+    again = faults.derive_auxiliary(df.repartition(7), "id", ["label", "empty"], "age", coverage=0.0, noise=100.0)
+    assert sorted(map(str, again.collect())) == sorted(map(str, strangers.collect()))
+
+
 def test_an_infinity_correlates_with_nothing(spark):
     rows = [(float(i % 7), float(i * 31 % 11), math.inf if i == 3 else float(i)) for i in range(40)]
     df = spark.createDataFrame(rows, "a double, b double, c double")

@@ -6,23 +6,24 @@ makes the same choice, and the truth is known without storing it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgauge.functions.columns import is_numeric, is_text, ref
-from veilgauge.operators.frequencies import column_statistics, top_values
+from veilgauge.operators.frequencies import column_statistics
 from veilgauge.operators.mitigate import _replace, moment_of
+from veilgauge.session import pin
 
 DATE_STYLES = ["dd/MM/yyyy", "MM-dd-yyyy", "yyyy.MM.dd", "dd MMM yyyy"]
 BROKEN_DATE = "not-a-date"
-NOISE_VALUES = 100
+ORDER_BUCKETS = 4096
 NOISE_KEY_OFFSET = 1_000_000_000_000
 
 
-def draw(key: Column, label: str, buckets: int) -> Column:
-    """A number below ``buckets`` fixed by the key and the label."""
+def draw(key: Column, label: str, buckets: int, digits: int = 8) -> Column:
+    """A number below ``buckets`` fixed by the key and the label, from so many hexadecimal digits of a hash."""
     digest = F.md5(F.concat(F.lit(label + ":"), key.cast("string")).cast("binary"))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
+    return F.pmod(F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint"), F.lit(buckets))
 
 
 def chosen(key: Column, label: str, percent: float) -> Column:
@@ -85,8 +86,8 @@ def derive_auxiliary(df: DataFrame, key: str, exact: list[str], jitter: str, cov
                      noise: float = 20.0) -> DataFrame:
     """What an attacker may hold: ``coverage`` percent of rows, one number off by at most one, plus strangers.
 
-    Strangers draw every attribute from the column's most frequent values - a
-    list of at most ``NOISE_VALUES`` - so they look real but belong to nobody.
+    Strangers draw every attribute from all its values, as often as they occur, each
+    from another row, so they look real but belong to nobody.
     """
     k = ref(key)
     off = F.element_at(F.array(F.lit(-1), F.lit(0), F.lit(0), F.lit(1)), (draw(k, "jitter", 4) + 1).cast("int"))
@@ -94,15 +95,29 @@ def derive_auxiliary(df: DataFrame, key: str, exact: list[str], jitter: str, cov
         k.cast("bigint").alias(key), (ref(jitter) + off).cast("int").alias(jitter), *[ref(c) for c in exact])
     spread = df.agg(F.min(ref(jitter)), F.max(ref(jitter))).first()
     low, width = int(spread[0] or 0), int((spread[1] or 0) - (spread[0] or 0)) + 1
-    values = {c: [r["value"] for r in top_values(df, c, NOISE_VALUES).collect()] for c in exact}
+    strangers = df.where(chosen(k, "noise", noise)).select(
+        k.cast("bigint").alias("__key"), (F.lit(low) + draw(k, "noise_value", width)).cast("int").alias(jitter))
+    for c in exact:
+        strangers = _with_drawn(strangers, df, key, c)
+    return known.unionByName(strangers.select((F.col("__key") + F.lit(NOISE_KEY_OFFSET)).alias(key), ref(jitter), *[ref(c) for c in exact]))
 
-    def stranger(c: str) -> Column:
-        if not values[c]:
-            return F.lit(None).cast(df.schema[c].dataType).alias(c)
-        listed = F.array(*[F.lit(v) for v in values[c]])
-        return F.element_at(listed, (draw(k, c, len(values[c])) + 1).cast("int")).alias(c)
 
-    strangers = df.where(chosen(k, "noise", noise)).select(
-        (k.cast("bigint") + F.lit(NOISE_KEY_OFFSET)).alias(key),
-        (F.lit(low) + draw(k, "noise_value", width)).cast("int").alias(jitter), *[stranger(c) for c in exact])
-    return known.unionByName(strangers)
+def _with_drawn(strangers: DataFrame, df: DataFrame, key: str, column: str) -> DataFrame:
+    """Each stranger with the value of `column` of a row drawn evenly among those that have one.
+
+    Rows are numbered in an order their keys fix: a number of rows before each of
+    `ORDER_BUCKETS` buckets, and a place within the bucket. The number drawn is
+    looked up by a join in which no key is met by more than one row.
+    """
+    held = df.where(ref(column).isNotNull()).select(
+        draw(ref(key), "order", ORDER_BUCKETS).alias("bucket"), ref(key).alias("__row"), ref(column).alias(column))
+    # One row per bucket, so this window stays small whatever the table.
+    counts = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = pin(counts.select("bucket", "n", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before")))
+    rows = before.agg(F.sum("n")).first()[0] or 0
+    if not rows:
+        return strangers.withColumn(column, F.lit(None).cast(df.schema[column].dataType))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("__row")) - 1
+    numbered = held.withColumn("place", place).join(F.broadcast(before), "bucket").select(
+        (F.col("before") + F.col("place")).alias("__drawn"), ref(column))
+    return strangers.withColumn("__drawn", draw(F.col("__key"), column, rows, digits=15)).join(numbered, "__drawn").drop("__drawn")

@@ -322,10 +322,25 @@ final AS (SELECT customer_id, full_name, CASE WHEN raw_age IS NULL THEN NULL ELS
 """
 
 
-def chance(label: str, buckets: int = 10000) -> str:
+def chance(label: str, buckets: int | str = 10000) -> str:
     return f"(CAST(concat('0x', substr(md5(concat('{label}:', CAST(customer_id AS VARCHAR))), 1, 8)) AS BIGINT) % {buckets})"
 
 
+def _auxiliary(columns: list[str]) -> str:
+    """Known rows, and strangers that take each value from an evenly drawn row."""
+    wide = lambda label: f"CAST(concat('0x', substr(md5(concat('{label}:', CAST(customer_id AS VARCHAR))), 1, 15)) AS BIGINT)"
+    numbered = ",\n".join(f"""rows_{c} AS (SELECT {c}, row_number() OVER (ORDER BY {chance('order', 4096)}, customer_id) - 1 AS r
+  FROM subjects WHERE {c} IS NOT NULL)""" for c in columns)
+    drawn = " ".join(f"JOIN rows_{c} ON rows_{c}.r = {wide(c)} % (SELECT count(*) FROM rows_{c})" for c in columns)
+    return with_views(["subjects"], f""", {numbered},
+ages AS (SELECT min(age) AS low, max(age) - min(age) + 1 AS width FROM subjects)
+SELECT customer_id, CAST(age + CASE {chance('jitter', 4)} WHEN 0 THEN -1 WHEN 3 THEN 1 ELSE 0 END AS INT) AS age,
+  {', '.join(columns)} FROM subjects WHERE {chance('coverage')} < 7000
+UNION ALL
+SELECT customer_id + 1000000000000, CAST(low + {chance('noise_value', 'width')} AS INT), {', '.join(f'rows_{c}.{c}' for c in columns)}
+FROM subjects CROSS JOIN ages {drawn} WHERE {chance('noise')} < 2000""")
+
+
 def similarity_to_rows() -> str:
     return "\nUNION ALL ".join(
         f"SELECT key_a, key_b, '{a}' AS attribute, '{k}' AS kind, {a} AS score, CASE WHEN {a} >= 0.85 THEN 'strong' "
@@ -611,8 +626,7 @@ SELECT predicted, actual, true_positives, round(p, 3) AS precision, round(q, 3)
         "recommend_mitigations": with_views(["subjects"], f", {stats('subjects', SUBJECT_COLUMNS)}, {profile()}, {classified()}, {recommended()}\nSELECT * FROM rec"),
         "apply_mitigations": with_views(["subjects"], MITIGATED + "SELECT * FROM mitigated"),
         "optimize_mitigations": _optimize(),
-        "derive_auxiliary": with_views(["subjects"], f"""SELECT customer_id, CAST(age + CASE {chance('jitter', 4)} WHEN 0 THEN -1 WHEN 3 THEN 1 ELSE 0 END AS INT) AS age,
-  region, state, occupation FROM subjects WHERE {chance('coverage')} < 7000"""),
+        "derive_auxiliary": _auxiliary(["region", "state", "occupation", "postal_code"]),
         "inject_quality_faults": _faults(),
         "quality_missing": _detector("missing"),
         "quality_whitespace": _detector("whitespace"),

@@ -275,8 +275,8 @@ def optimize_mitigations(spark, d):
 
 
 def derive_auxiliary(spark, d):
-    return faults.derive_auxiliary(_subjects(spark, d), "customer_id", ["region", "state", "occupation"], "age",
-                                   noise=0.0)
+    return faults.derive_auxiliary(_subjects(spark, d), "customer_id",
+                                   ["region", "state", "occupation", "postal_code"], "age")
 
 
 FAULTS = {"missing_number": "age", "missing_text": "region", "case": "occupation", "padding": "state",
