@@ -1,8 +1,10 @@
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from veilgauge.operators import frequencies, privacy, profile, quantiles, skew
+from veilgauge.session import materialise
 
 QI = ["Age", "Gender", "Pincode"]
 
@@ -72,12 +74,28 @@ def test_duplicate_flags_keep_the_smallest_key(spark):
     assert flags == {1: False, 3: True, 2: False, 5: True, 4: False, 9: True}
 
 
-def test_exact_quantiles_narrow_down_to_the_same_value(spark):
-    values = [float(x) for x in [5] * 200 + list(range(100)) + [1e6]]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    direct = quantiles.exact_quantiles(df, ["v"], [0.0, 0.25, 0.5, 0.9, 1.0])["v"]
-    narrowed = quantiles.exact_quantiles(df, ["v"], [0.0, 0.25, 0.5, 0.9, 1.0], direct_values=3, cells=4)["v"]
-    assert narrowed == pytest.approx(direct)
+def test_exact_quantiles_equal_sorted_values(spark):
+    rng = np.random.default_rng(3)
+    columns = {"even": rng.random(5000) * 1e6, "skewed": np.where(rng.random(5000) < 0.4, 7.0, np.exp(rng.normal(0, 9, 5000))),
+               "few": rng.integers(-2, 3, 5000).astype(float), "one": np.full(5000, 4.0)}
+    rows = [tuple(float(v[k]) for v in columns.values()) + (None, None if k % 3 else float(k), float("nan")) for k in range(5000)]
+    df = spark.createDataFrame(rows, "even double, skewed double, few double, one double, empty double, gaps double, broken double").repartition(6)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = quantiles.exact_quantiles(df, df.columns, shares)
+    for name, values in columns.items():
+        assert np.allclose(got[name], np.quantile(values, shares), rtol=1e-12), name
+    assert np.allclose(got["gaps"], np.quantile(np.arange(0, 5000, 3.0), shares), rtol=1e-12)
+    assert got["empty"] == got["broken"] == [None] * len(shares)
+    assert quantiles.exact_quantiles(df.limit(0), ["even"], shares) == {"even": [None] * len(shares)}
+
+
+def test_exact_quantiles_read_the_source_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quantiles, "materialise", lambda df: seen.append(df) or materialise(df))
+    df = spark.range(1000).selectExpr("double(id) AS a", "double(id % 7) AS b", "double(id * id) AS c")
+    quantiles.exact_quantiles(df, ["a", "b", "c"], [0.1, 0.25, 0.5, 0.75, 0.9])
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in seen]
+    assert len(plans) == 2 and "Range (0, 1000" in plans[0] and "Range (0, 1000" not in plans[1]
 
 
 def test_profile_types_and_flags(spark):

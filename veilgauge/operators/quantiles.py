@@ -1,25 +1,23 @@
-"""Exact quantiles without an unbounded buffer.
-
-``percentile`` and ``median`` keep every distinct value of a column in one
-task. That is fine up to ``DIRECT_VALUES`` distinct values. Beyond it the rank
-is narrowed down: approximate cut points split the distinct values into cells,
-exact counts per cell tell which cell holds the rank, and only that cell is
-looked at again. Each pass shrinks the range by about the number of cells, and
-the driver sees one count per cell.
+"""Exact quantiles of many columns in a fixed number of passes.
+
+``percentile`` and ``median`` keep every distinct value of a column in one task. Here
+values are counted per (column, value), which splits the most frequent ones no further
+than one row each, and the counts are dealt out by ranges and sorted. Counts per range
+tell which range holds a rank, and only those ranges are looked at once more. So the
+source is read once, and all columns, probabilities and both neighbours of a rank share
+the same four small jobs, whatever the number of distinct values.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgauge import settings
 from veilgauge.functions.columns import is_text, ref
-
-DIRECT_VALUES = 1_000_000
-CELLS = 128
+from veilgauge.session import materialise
 
 
 def as_number(df: DataFrame, column: str):
@@ -29,65 +27,54 @@ def as_number(df: DataFrame, column: str):
     return F.when(~F.isnan(c), c)
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
-                    direct_values: int = DIRECT_VALUES, cells: int = CELLS) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column; ``None`` for a column without values."""
     if not columns:
         return {}
-    numbers = df.select(*[as_number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    sizes = numbers.agg(*[F.approx_count_distinct(f"c{i}").alias(f"c{i}") for i in range(len(columns))]).first()
-    direct = [i for i in range(len(columns)) if sizes[i] <= direct_values]
-    found: dict[str, list[float | None]] = {}
-    if direct:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = numbers.agg(*[F.percentile(f"c{i}", wanted).alias(f"c{i}") for i in direct]).first()
-        for i in direct:
-            found[columns[i]] = list(row[f"c{i}"]) if row[f"c{i}"] is not None else [None] * len(probabilities)
-    for i in range(len(columns)):
-        if i not in direct:
-            counts = numbers.where(F.col(f"c{i}").isNotNull()).groupBy(F.col(f"c{i}").alias("v")).agg(
-                F.count(F.lit(1)).alias("n"))
-            total = counts.agg(F.sum("n")).first()[0]
-            found[columns[i]] = [_interpolated(counts, total, p, direct_values, cells) for p in probabilities]
+    numbers = df.select(*[as_number(df, c).alias(str(i)) for i, c in enumerate(columns)])
+    tall = numbers.unpivot([], [ref(c) for c in numbers.columns], "i", "v").where("v is not null")
+    counts, _ = materialise(tall.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")))
+    ranged, _ = materialise(counts.repartitionByRange("i", "v").withColumn("part", F.spark_partition_id()))
+    # One row per range and column: as many as there are partitions, whatever the data.
+    held = sorted(((r["i"], r["part"], r["n"]) for r in ranged.groupBy("i", "part").agg(F.sum("n").alias("n")).collect()))
+    wanted = [place for i in range(len(columns)) for place in _places(str(i), [h for h in held if h[0] == str(i)], probabilities)]
+    found = {}
+    if wanted:
+        looked = df.sparkSession.createDataFrame(wanted, "i string, rank long, part int, inside long")
+        upto = F.sum("n").over(Window.partitionBy("i", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        inside = ranged.where(F.col("part").isin(sorted({w[2] for w in wanted}))).withColumn("upto", upto)
+        found = {(r["i"], r["rank"]): r["v"] for r in inside.join(F.broadcast(looked), ["i", "part"])
+                 .where("upto - n <= inside and inside < upto").select("i", "rank", "v").collect()}
+    totals = {str(i): sum(n for j, _, n in held if j == str(i)) for i in range(len(columns))}
+    return {c: [_interpolated(found, str(i), totals[str(i)], p) for p in probabilities] for i, c in enumerate(columns)}
+
+
+def _ranks(total: int, probability: float) -> tuple[int, float]:
+    """0-based rank below a quantile, and how far the quantile lies above it."""
+    position = probability * (total - 1)
+    return math.floor(position), position - math.floor(position)
+
+
+def _places(column: str, held: list[tuple], probabilities: list[float]) -> list[tuple[str, int, int, int]]:
+    """(column, rank, range, rank within the range) for the neighbours of every quantile."""
+    total = sum(n for _, _, n in held)
+    ranks = sorted({r for p in probabilities for low, above in [_ranks(total, p)] for r in (low, low + (above > 0))} if total else [])
+    found, before, parts = [], 0, iter(held)
+    _, part, n = next(parts, (column, 0, 0))
+    for rank in ranks:
+        while rank >= before + n:
+            before += n
+            _, part, n = next(parts)
+        found.append((column, rank, part, rank - before))
     return found
 
 
-def _interpolated(counts: DataFrame, total: int, probability: float, direct_values: int, cells: int) -> float:
-    position = probability * (total - 1)
-    low = math.floor(position)
-    lower = _value_at(counts, low, direct_values, cells)
-    if low == position:
-        return lower
-    upper = _value_at(counts, low + 1, direct_values, cells)
-    return lower + (upper - lower) * (position - low)
-
-
-def _value_at(counts: DataFrame, rank: int, direct_values: int, cells: int) -> float:
-    """Value at a 0-based rank of the multiset described by ``(v, n)``."""
-    inside = counts
-    while True:
-        distinct = inside.count()
-        if distinct <= direct_values:
-            ordered = inside.agg(F.sum("n")).first()[0]
-            share = rank / (ordered - 1) if ordered > 1 else 0.0
-            # The rank is integral, so the percentile is a data value.
-            return inside.agg(F.percentile("v", F.lit(share), F.col("n"))).first()[0]
-        cuts = inside.agg(F.percentile_approx(
-            "v", [(j + 1) / cells for j in range(cells - 1)], cells * 10)).first()[0]
-        cuts = sorted(set(cuts))
-        cell = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("v")))
-        per_cell = {r["cell"]: r["n"] for r in
-                    inside.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).collect()}
-        below = 0
-        for index in sorted(per_cell):
-            if rank < below + per_cell[index]:
-                break
-            below += per_cell[index]
-        if index > 0:
-            inside = inside.where(F.col("v") > F.lit(cuts[index - 1]))
-        if index < len(cuts):
-            inside = inside.where(F.col("v") <= F.lit(cuts[index]))
-        rank -= below
+def _interpolated(found: dict, column: str, total: int, probability: float) -> float | None:
+    if not total:
+        return None
+    low, above = _ranks(total, probability)
+    lower = found[column, low]
+    return lower + (found[column, low + 1] - lower) * above if above else lower
 
 
 def iqr_fences(df: DataFrame, columns: list[str], multiple: float = settings.IQR_MULTIPLE) -> dict:
