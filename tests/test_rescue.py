@@ -115,6 +115,32 @@ def test_catalog_keeps_history_and_shows_the_latest(spark, tmp_path):
         catalog.load("missing")
 
 
+def test_compacted_logs_lose_and_repeat_nothing(spark, tmp_path, monkeypatch):
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    catalog.compact("audit_log")
+    for n in range(5):
+        catalog.log("d", f"step{n}")
+    # A crash before the old files go: they are still there, and are not read.
+    files = lambda: [f for f in (tmp_path / "c" / "_audit_log").iterdir() if f.suffix == ".parquet"]
+    with monkeypatch.context() as patch:
+        patch.setattr(Catalog, "_delete", lambda self, name, files: None)
+        catalog.compact("audit_log")
+    assert len(files()) == 6 and catalog.table("audit_log").count() == 5
+    catalog.log("d", "later")
+    catalog.compact("audit_log")
+    assert len(files()) == 1
+    catalog.log("d", "last")
+    told = sorted(r["action"] for r in catalog.table("audit_log").collect())
+    assert told == ["last", "later", "step0", "step1", "step2", "step3", "step4"]
+    assert catalog.table("audit_log").columns == ["id", "dataset_id", "action", "detail", "created_at"]
+
+
+def test_decisions_of_other_plans_stay_out(spark, plan):
+    others = spark.createDataFrame([("other-a1", "approved")], "action_id string, decision string")
+    said = decide(spark, plan, rejected=("truncation_generalization",), alternative="approved")
+    assert rescue.resolve(plan.actions, said.unionByName(others)) == rescue.resolve(plan.actions, said)
+
+
 def test_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b"), (2, "ü")], "n int, t string")
     files.write_csv(df, str(tmp_path / "out"))

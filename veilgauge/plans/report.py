@@ -61,10 +61,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 STATUS_LABELS = {"applied": "applied", "rejected": "rejected_by_human", "timeout": "skipped_no_response",
                  "pending": "still_pending"}
+ACTION_SECTIONS = {"applied": "applied_actions", "rejected": "rejected_actions", "timeout": "skipped_actions",
+                   "pending": "pending_actions"}
 
 
 def rescue_report(plan_id: str, rescue: Rescue) -> DataFrame:
-    """Actions by status, health before and after, verification and utility."""
+    """Problems found, actions by status with their columns, health and privacy before and after, verification and utility."""
     spark = rescue.actions.sparkSession
     order = F.create_map(*[F.lit(x) for i, s in enumerate(STATUS_LABELS) for x in (s, i + 1)])
     names = F.create_map(*[F.lit(x) for s, n in STATUS_LABELS.items() for x in (s, n)])
@@ -72,9 +74,16 @@ def rescue_report(plan_id: str, rescue: Rescue) -> DataFrame:
         F.lit("decisions").alias("section"), order[F.col("status")].alias("position"),
         names[F.col("status")].alias("metric"), F.col("n").cast("string").alias("value"))
     total = rescue.actions.agg(F.count(F.lit(1)).alias("total_proposed"))
-    applied = rescue.actions.where(F.col("status") == "applied").select(
-        F.lit("applied_actions").alias("section"), F.col("seq").alias("position"),
+    sections = F.create_map(*[F.lit(x) for s, n in ACTION_SECTIONS.items() for x in (s, n)])
+    by_action = rescue.actions.select(
+        sections[F.col("status")].alias("section"), F.col("seq").alias("position"),
         F.col("action_type").alias("metric"), F.coalesce("column", F.lit("the dataset")).alias("value"))
+    columns = F.when(F.size("columns") > 0, F.concat_ws(",", "columns")).otherwise("the dataset")
+    problems = rescue.problems.select(
+        F.lit("problems").alias("section"), (F.col("detector") * 1000 + F.col("ordinal")).cast("int").alias("position"),
+        F.col("issue_type").alias("metric"), F.concat(F.col("severity"), F.lit(": "), columns).alias("value"))
+    privacy = [_rows(frame, "privacy_assessment", {"privacy_risk_score": f"risk_score_{when}", "privacy_risk_level": f"risk_level_{when}"}, start)
+               for start, (frame, when) in enumerate(((rescue.before, "before"), (rescue.after, "after")))]
     measured = {c: c for c in ("quality_score", "ml_readiness_score", "privacy_risk_score", "privacy_risk_level",
                                "data_health")}
     return _union([
@@ -83,7 +92,7 @@ def rescue_report(plan_id: str, rescue: Rescue) -> DataFrame:
                                                "health_after": "data_health_after",
                                                "rescue_score": "rescue_score", "passed": "verification_passed"}, 1),
         _rows(total, "decisions", {"total_proposed": "total_proposed"}),
-        by_status, applied,
+        by_status, by_action, problems, *privacy,
         _rows(rescue.before, "before", measured), _rows(rescue.after, "after", measured),
         _rows(rescue.utility, "utility", {c: c for c in rescue.utility.columns}),
     ])

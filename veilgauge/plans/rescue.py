@@ -138,7 +138,12 @@ def _apply(df: DataFrame, action: dict) -> DataFrame:
 def resolve(actions: DataFrame, decisions: DataFrame | None) -> list[dict]:
     """Final action list: every action with its status, alternatives included (plan-sized, on the driver)."""
     rows = sorted((r.asDict() for r in actions.collect()), key=lambda r: r["seq"])
-    said = {r["action_id"]: r["decision"] for r in decisions.collect()} if decisions is not None else {}
+    said = {}
+    if decisions is not None:
+        # A table of decisions may hold those of many plans; only this plan's reach the driver.
+        ids = [(x,) for r in rows for x in (r["action_id"], r["action_id"] + "-alt")]
+        mine = decisions.join(F.broadcast(actions.sparkSession.createDataFrame(ids, "action_id string")), "action_id", "left_semi")
+        said = {r["action_id"]: r["decision"] for r in mine.select("action_id", "decision").distinct().collect()}
     verdict = {"approved": "applied", "rejected": "rejected"}
     out = []
     for action in rows:
@@ -179,6 +184,7 @@ class Rescue:
     verification: DataFrame
     utility: DataFrame
     dataset_id: str | None
+    problems: DataFrame
 
 
 def apply_plan(df: DataFrame, plan: RescuePlan, decisions: DataFrame | None = None, aux: DataFrame | None = None,
@@ -202,4 +208,5 @@ def apply_plan(df: DataFrame, plan: RescuePlan, decisions: DataFrame | None = No
         catalog.log(dataset_id, "rescue", f"plan={plan.plan_id}, rolled_back={not passed}")
     fields = [f.strip().split(" ")[0] for f in ACTION.replace("map<string,string>", "map").split(",")]
     actions = spark.createDataFrame([tuple(a[f] for f in fields) for a in resolved], ACTION)
-    return Rescue(kept, actions, plan.before.metrics, final.metrics, pin(verification), pin(utility), dataset_id)
+    return Rescue(kept, actions, plan.before.metrics, final.metrics, pin(verification), pin(utility), dataset_id,
+                  plan.before.issues)

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from veilgauge.operators.latest import latest_per_key, newest
-from veilgauge.session import materialise
 
 TABLES = {
     "datasets": "id string, name string, path string, row_count bigint, column_count int, "
@@ -25,6 +24,8 @@ TABLES = {
     "jobs": "job_id string, dataset_id string, status string, created_at timestamp, updated_at timestamp, "
             "state_json string",
 }
+#: File a log row lies in, and files that a compacted one replaces.
+FILE, REPLACES = "__file", "__replaces"
 AUDIT_LIMIT = 200
 JOB_LIMIT = 50
 
@@ -46,18 +47,47 @@ class Catalog:
         self.spark.createDataFrame([row], TABLES[table]).coalesce(1).write.mode("append").parquet(
             f"{self.root}/_{table}")
 
-    def table(self, name: str) -> DataFrame:
+    def _files(self, name: str) -> DataFrame | None:
+        """All rows with the file they lie in and what that file replaces; None before the first line."""
         try:
-            return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/_{name}")
+            read = self.spark.read.schema(f"{TABLES[name]}, {REPLACES} array<string>").parquet(f"{self.root}/_{name}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            return None
+        return read.withColumn(FILE, F.col("_metadata.file_name"))
+
+    def table(self, name: str) -> DataFrame:
+        rows = self._files(name)
+        if rows is None:
             return self.spark.createDataFrame([], TABLES[name])
+        replaced = rows.where(F.col(REPLACES).isNotNull()).select(F.explode(REPLACES).alias(FILE)).distinct()
+        return rows.where(F.col(REPLACES).isNull()).join(replaced, FILE, "left_anti").drop(FILE, REPLACES)
 
     def compact(self, name: str) -> None:
-        """Rewrite a log table, which grows by a small file per line, as one file."""
-        rows, _ = materialise(self.table(name))
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_{name}")
+        """Join the small files of a log table, one per line, to one file.
+
+        The new file names those it replaces, and appears as a whole or not at all. Readers
+        pass over replaced files, so a crash before they are deleted changes nothing, and a
+        line appended meanwhile lies in a file that is not replaced.
+        """
+        found = self._files(name)
+        if found is None:
+            return
+        files = sorted(r[0] for r in found.select(FILE).distinct().collect())
+        if len(files) < 2:
+            return
+        gone = {r[0] for r in found.where(F.col(REPLACES).isNotNull()).select(F.explode(REPLACES)).collect()}
+        kept = found.where(F.col(REPLACES).isNull() & F.col(FILE).isin([f for f in files if f not in gone])).drop(FILE)
+        listed = self.spark.createDataFrame([(*[None] * (len(kept.columns) - 1), files)], kept.schema)
+        kept.unionByName(listed).coalesce(1).write.mode("append").parquet(f"{self.root}/_{name}")
+        self._delete(name, files)
+
+    def _delete(self, name: str, files: list[str]) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_{name}")
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for file in files:
+            system.delete(self.spark._jvm.org.apache.hadoop.fs.Path(folder, file), False)
 
     # --- versions ---
     def save(self, df: DataFrame, name: str, parent_id: str | None = None, is_demo: bool = False) -> str:

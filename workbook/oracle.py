@@ -403,6 +403,15 @@ def _privacy_report(with_recommendations: bool) -> str:
     body = _report(parts)
     if with_recommendations:
         body += """\nUNION ALL SELECT 'recommendations', "column", action FROM rec"""
+    else:
+        body += f"""\nUNION ALL SELECT 'k_anonymity', concat('at_risk_records k=', k),
+  CAST(CAST(sum(CASE WHEN n < k THEN n ELSE 0 END) AS BIGINT) AS VARCHAR)
+  FROM (SELECT count(*) AS n FROM subjects GROUP BY {FULL_QI}), (VALUES (2), (3), (5), (10)) AS v(k) GROUP BY k
+UNION ALL SELECT 'columns', name, category FROM cls"""
+        for metric, value in (("min_l", "min(l)"), ("classes_with_l1", "sum(CASE WHEN l = 1 THEN 1 ELSE 0 END)"),
+                              ("records_at_risk", "sum(CASE WHEN l = 1 THEN n ELSE 0 END)")):
+            body += f"""\nUNION ALL SELECT 'l_diversity', 'income {metric}', CAST(CAST({value} AS BIGINT) AS VARCHAR)
+  FROM (SELECT count(DISTINCT coalesce(CAST(income AS VARCHAR), '__MISSING__')) AS l, count(*) AS n FROM subjects GROUP BY {FULL_QI})"""
     ctes = ", ".join([stats("subjects", SUBJECT_COLUMNS), profile(), classified(), recommended(),
                       risk("subjects", FULL_QI, 1, 9, conf), "one AS (SELECT 1 AS x)"])
     return with_views(["subjects_aux"], MATCHES + ", " + ctes + "\n" + body)
@@ -424,6 +433,23 @@ PLAN = """plan AS (SELECT CAST(row_number() OVER (ORDER BY part, detector, ordin
   UNION ALL SELECT 1, 0, ordinal, 'privacy', action, "column", 'REVIEW' FROM rec, risk_b WHERE risk_level <> 'LOW'))"""
 
 
+def _decided() -> str:
+    """Actions of the subjects' plan under attack with their status after the decisions, milder forms included."""
+    names = {"stats": "stats_b", "dup": "dup_b", "num": "num_b"}
+    conf = "(SELECT max(match_probability) FROM matches)"
+    ctes = [stats("subjects", SUBJECT_COLUMNS, "stats_b"), duplicates("subjects", SUBJECT_COLUMNS, "dup_b"),
+            numbers("subjects", SUBJECT_COLUMNS, "num_b"), issues("iss_b", names), profile("stats_b", "prof_b"), classified("prof_b", "cls_b"),
+            recommended("cls_b"), risk("subjects", FULL_QI, 1, 9, conf, "risk_b"), PLAN]
+    return with_views(["subjects_aux"], MATCHES + ", " + ", ".join(ctes) + """,
+said AS (
+  SELECT seq * 2 AS place, concat('plan-a', seq) AS action_id, source, action_type, "column", policy,
+         CASE WHEN policy = 'AUTO' OR action_type = 'date_generalization' THEN 'applied'
+              WHEN action_type = 'truncation_generalization' THEN 'rejected' ELSE 'timeout' END AS status, '' AS keep_digits FROM plan
+  UNION ALL SELECT seq * 2 + 1, concat('plan-a', seq, '-alt'), source, action_type, "column", 'REVIEW', 'applied', '4'
+  FROM plan WHERE action_type = 'truncation_generalization')
+SELECT CAST(row_number() OVER (ORDER BY place) AS INT) AS seq, action_id, source, action_type, "column", policy, status, keep_digits FROM said""")
+
+
 def _planned(body: str) -> str:
     return with_views(["dirty"], ", " + _measured("dirty", DIRTY_COLUMNS, "_b") + ", " + recommended("cls_b")
                       + ", " + PLAN + "\n" + body)
@@ -445,10 +471,13 @@ def _rescue_report() -> str:
         ("decisions", "total_proposed", "(SELECT count(*) FROM plan)", "one"),
         ("decisions", "applied", "(SELECT count(*) FROM plan)", "one"),
         *[("before", m, m, "health_b") for m in metrics], *[("after", m, m, final) for m in metrics],
+        *[("privacy_assessment", f"risk_{m}_{when}", f"privacy_risk_{m}", frame)
+          for m in ("score", "level") for when, frame in (("before", "health_b"), ("after", final))],
         *[("utility", m, m, "used") for m in ("row_retention_pct", "column_retention_pct", "avg_cardinality_retention_pct")],
     ]
     body = _report(parts) + """\nUNION ALL SELECT 'applied_actions', action_type,
-  CASE WHEN "column" = '' THEN 'the dataset' ELSE "column" END FROM plan"""
+  CASE WHEN "column" = '' THEN 'the dataset' ELSE "column" END FROM plan
+UNION ALL SELECT 'problems', issue_type, concat(severity, ': ', CASE WHEN column_names = '' THEN 'the dataset' ELSE column_names END) FROM iss_b"""
     ctes = [CLEANED + RESCUED, ", " + _measured("dirty", DIRTY_COLUMNS, "_b"),
             ", " + _measured("final", RESCUED_COLUMNS, "_a"), ", one AS (SELECT 1 AS x)",
             ", " + recommended("cls_b"), ", " + PLAN, f", verified AS ({VERIFIED})",
@@ -670,6 +699,7 @@ SELECT b.overall_score AS risk_score_before, b.risk_level AS risk_level_before,
                                   'SELECT "column", action AS action_type, \'REVIEW\' AS policy FROM rec'),
         "rescue_plan": _planned("SELECT seq, concat('plan-a', seq) AS action_id, source, action_type, \"column\", policy, 'pending' AS status FROM plan"),
         "data_health": with_views(["dirty"], ", " + _measured("dirty", DIRTY_COLUMNS, "_b") + "\nSELECT * FROM health_b"),
+        "rescue_decided": _decided(),
         "rescue_apply": _rescue("SELECT * FROM final"),
         "rescue_score": _rescue(VERIFIED),
         "rescue_report": _rescue_report(),

@@ -384,8 +384,15 @@ def risk_score(spark, d):
 
 
 def full_analysis(spark, d):
-    return report.privacy_report("subjects", _analysed(spark, d)).where(
-        "section in ('summary', 'findings', 'attack', 'risk_breakdown')").select("section", "metric", "value")
+    """Everything an analysis measures: report, k-anonymity, l-diversity and the class of every column."""
+    result = _analysed(spark, d)
+    told = report.privacy_report("subjects", result).where("section <> 'disclaimer'").select("section", "metric", "value")
+    classes = result.k_anonymity.selectExpr("'k_anonymity' AS section", "concat('at_risk_records k=', k) AS metric", "string(at_risk_records) AS value")
+    diverse = result.l_diversity.selectExpr(
+        "'l_diversity' AS section", "stack(3, concat(sensitive_column, ' min_l'), string(min_l), concat(sensitive_column, ' classes_with_l1'), "
+        "string(classes_with_l1), concat(sensitive_column, ' records_at_risk'), string(records_at_risk)) AS (metric, value)")
+    columns = result.classified.selectExpr("'columns' AS section", "column AS metric", "category AS value")
+    return told.unionByName(classes).unionByName(diverse).unionByName(columns)
 
 
 def before_after(spark, d):
@@ -429,6 +436,21 @@ def _rescued(spark, d) -> rescue.Rescue:
     return rescue.apply_plan(df, plan, approved, target="flag")
 
 
+def rescue_decided(spark, d):
+    """A rescue under attack: one step rejected, its milder form and one other step approved, the rest undecided."""
+    df, aux = _subjects(spark, d), view(spark, d, "subjects_aux")
+    plan = rescue.make_plan(df, "plan", aux, "customer_id", "aux_id")
+    kind = F.col("action_type")
+    said = plan.actions.select(
+        F.explode(F.when(kind == "truncation_generalization", F.array(
+            F.struct("action_id", F.lit("rejected").alias("decision")),
+            F.struct(F.concat("action_id", F.lit("-alt")).alias("action_id"), F.lit("approved").alias("decision"))))
+            .when(kind == "date_generalization", F.array(F.struct("action_id", F.lit("approved").alias("decision"))))).alias("d")).select("d.*")
+    done = rescue.apply_plan(df, plan, said, aux, "customer_id", "aux_id")
+    return done.actions.select("seq", "action_id", "source", "action_type", F.coalesce("column", F.lit("")).alias("column"), "policy", "status",
+                               F.coalesce(F.col("params")["keep_digits"], F.lit("")).alias("keep_digits"))
+
+
 def rescue_apply(spark, d):
     return _rescued(spark, d).table
 
@@ -457,7 +479,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         fix_impute_mode, fix_remove_outliers, utility_retained,
         ml_findings, ml_score, ml_target_checks,
         risk_score, full_analysis, before_after, privacy_report, plan_policy, rescue_plan, data_health,
-        rescue_apply, rescue_score, rescue_report)}
+        rescue_decided, rescue_apply, rescue_score, rescue_report)}
     found |= {
         "mitigate_age_band": _mitigated("generalization_bucketing", "age"),
         "mitigate_bucket": _mitigated("bucketing", "income"),
