@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from veilgauge.operators import sketches
 from veilgauge.operators.latest import latest_per_key, newest
 
 TABLES = {
@@ -90,8 +91,8 @@ class Catalog:
             system.delete(self.spark._jvm.org.apache.hadoop.fs.Path(folder, file), False)
 
     # --- versions ---
-    def save(self, df: DataFrame, name: str, parent_id: str | None = None, is_demo: bool = False) -> str:
-        """Write a new version; an existing one is never overwritten."""
+    def save(self, df: DataFrame, name: str, parent_id: str | None = None, is_demo: bool = False, profiled: bool = False) -> str:
+        """Write a new version; an existing one is never overwritten. ``profiled`` keeps its mergeable profile beside it."""
         dataset_id = new_id()
         path = f"{self.root}/{dataset_id}"
         seen = Observation()
@@ -99,8 +100,30 @@ class Catalog:
         rows = seen.get["rows"]
         self._append("datasets", (dataset_id, name, path, rows, len(df.columns), _now(), is_demo, parent_id))
         self.log(dataset_id, "save", f"rows={rows}")
+        if profiled:
+            self._keep_profile(dataset_id, sketches.column_sketches(self.spark.read.parquet(path)))
         return dataset_id
 
+    def _keep_profile(self, dataset_id: str, profile: DataFrame) -> None:
+        profile.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/_profile/{dataset_id}")
+
+    def profile(self, dataset_id: str) -> DataFrame:
+        """The mergeable profile kept with a version."""
+        try:
+            return self.spark.read.parquet(f"{self.root}/_profile/{dataset_id}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raise KeyError(f"no profile of {dataset_id}") from error
+
+    def grow(self, dataset_id: str, rows: DataFrame) -> str:
+        """A new version with further rows; its profile is the old state merged with the state of the new rows."""
+        record = self.lookup(dataset_id).first()
+        fresh = sketches.column_sketches(rows)
+        grown = self.save(self.load(dataset_id).unionByName(rows), record["name"], dataset_id)
+        self._keep_profile(grown, sketches.merged(self.profile(dataset_id), fresh))
+        return grown
+
     def lookup(self, dataset_id: str) -> DataFrame:
         return self.table("datasets").where(F.col("id") == dataset_id)
 

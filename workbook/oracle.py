@@ -587,6 +587,9 @@ FROM c WHERE class_size < 5 ORDER BY class_size, {SUBJECT_QI} LIMIT 100"""),
                                     "SELECT row_count, CAST((SELECT count(*) FROM stats) AS INT) AS column_count, duplicate_rows, duplicate_pct, "
                                     "CAST((SELECT sum(missing) FROM stats) AS BIGINT) AS total_missing_cells FROM dup"),
         "profile_columns": with_views(["dirty"], f", {stats('dirty', DIRTY_COLUMNS)}, {profile()}\nSELECT * FROM prof"),
+        "profile_merged": "\nUNION ALL ".join(
+            f"""SELECT '{c}' AS "column", count(*) AS row_count, count(*) - count({c}) AS missing_count, true AS same_state, true AS within_bound
+FROM lineitem""" for c in ("l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")),
         "profile_samples": with_views(["subjects"], "\nUNION ALL ".join(
             f"""SELECT '{c}' AS name, CAST(r AS INT) AS sample_rank, v AS value FROM (SELECT v, row_number() OVER (ORDER BY v) AS r FROM (
   SELECT DISTINCT {as_text(c, k)} AS v FROM subjects WHERE {c} IS NOT NULL)) WHERE r <= 5""" for c, k in SUBJECT_COLUMNS)),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from veilgauge.functions import similarity
 from veilgauge.functions.columns import ref
 from veilgauge.operators import (evaluate, faults, fixes, frequencies, latest, linkage, mitigate, ml, privacy,
-                                 profile, quality, quantiles, scores, tradeoff)
+                                 profile, quality, quantiles, scores, sketches, tradeoff)
 from veilgauge.plans import analysis, report, rescue
 from veilgauge.session import LOCAL_CONFIG, pin
 from workbook.views import raw, view
@@ -137,6 +137,18 @@ def topn_values(spark, d):
     return frequencies.top_values(raw(spark, d, "part"), "p_type", 5)
 
 
+def profile_merged(spark, d):
+    """Exact counts of merged states, and whether they equal the whole table's and keep the stated error."""
+    lines = raw(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+    parts = [sketches.column_sketches(lines.where(f"l_partkey % 4 = {k}")) for k in range(4)]
+    merged, whole = sketches.estimates(sketches.merged(*parts)), sketches.estimates(sketches.column_sketches(lines))
+    exact = profile.profile_columns(lines).select(F.col("name").alias("column"), "unique_count")
+    near = F.abs(F.col("m.approx_distinct") - F.col("unique_count")) <= F.ceil(4 * sketches.DISTINCT_ERROR * F.col("unique_count"))
+    return merged.alias("m").join(whole.alias("w"), "column").join(exact, "column").select(
+        "column", F.col("m.row_count").alias("row_count"), F.col("m.missing_count").alias("missing_count"),
+        (F.col("m.approx_distinct") == F.col("w.approx_distinct")).alias("same_state"), near.alias("within_bound"))
+
+
 def class_balance(spark, d):
     return frequencies.class_balance(raw(spark, d, "labels"), "quality")
 
@@ -468,7 +480,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scan_parquet, latest_per_key, audit_tail, jobs_latest,
         equivalence_classes, class_size_per_row, uniqueness, class_size_distribution, k_anonymity, l_diversity,
         vulnerable_clusters,
-        profile_table, profile_columns, profile_samples, classify_columns, duplicate_rows, duplicate_flags,
+        profile_table, profile_columns, profile_merged, profile_samples, classify_columns, duplicate_rows, duplicate_flags,
         topn_values, class_balance, iqr_fences, correlation_pairs,
         numeric_similarity, date_similarity, string_similarity,
         linkage_matches, linkage_top, linkage_summary, linkage_coverage, explain_matches, match_attribute_matrix,
