@@ -6,6 +6,7 @@ BENCH_SF_DIR and BENCH_CPUS choose the data and the cores.
 from __future__ import annotations
 
 import json
+import logging
 import os
 import sys
 import time
@@ -20,7 +21,7 @@ HEADLINE = [
     "profile_columns", "equivalence_classes", "k_anonymity", "class_size_per_row", "l_diversity",
     "vulnerable_clusters", "duplicate_flags", "iqr_fences", "correlation_pairs", "latest_per_key",
     # attack
-    "linkage_matches", "linkable_overlap", "risk_score",
+    "linkage_matches", "linkage_crowded", "linkage_dates_numbers", "linkable_overlap", "risk_score",
     # mitigate and retest
     "apply_mitigations", "optimize_mitigations", "before_after",
     # quality and readiness
@@ -32,6 +33,9 @@ REPEATS = 2
 def main() -> None:
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
+    # Linkage tells how many pairs it compared.
+    logging.basicConfig(stream=sys.stderr, level=logging.WARNING, format="%(message)s")
+    logging.getLogger("veilgauge").setLevel(logging.INFO)
     spark = local_session(cores=cores, memory=os.environ.get("BENCH_MEMORY", "12g"), name="bench")
     queries = registry()
     queries["scan_parquet"](spark, directory).write.format("noop").mode("overwrite").save()

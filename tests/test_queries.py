@@ -18,7 +18,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test data not m
 # The composites take longer; the driver compares all of them.
 LIGHT = ["scan_parquet", "latest_per_key", "jobs_latest", "class_size_per_row", "k_anonymity", "l_diversity",
          "vulnerable_clusters", "profile_columns", "profile_samples", "classify_columns", "duplicate_flags",
-         "numeric_similarity", "date_similarity", "string_similarity", "linkage_matches", "linkable_overlap",
+         "numeric_similarity", "date_similarity", "string_similarity", "linkage_matches", "linkage_text", "linkage_wide",
+         "linkage_crowded", "linkage_dates_numbers", "profile_merged", "linkable_overlap",
          "mitigate_age_band", "mitigate_date_quarter", "mitigate_topn_other", "optimize_mitigations",
          "inject_quality_faults", "derive_auxiliary", "fix_case", "fix_date_format", "fix_impute_mode",
          "date_patterns", "quality_unit_ratio"]

@@ -191,6 +191,11 @@ def cheapest(plan, stats: Statistics, loss: float, target: int) -> tuple[list[Le
     return best, least
 
 
+def _marked(leaves: list[Leaf], mark: str) -> list[int]:
+    """Columns that some leaf marks so."""
+    return [i for i in range(len(leaves[0].marks)) if any(x.marks[i] == mark for x in leaves)]
+
+
 def _mark(i: int) -> str:
     return f"substring(leaf, {i + 1}, 1)"
 
@@ -208,12 +213,12 @@ def _spread(df: DataFrame, plan, leaves: list[Leaf], loss: float, side: str, car
     the names of its columns: nothing for the target, ``b_`` for the auxiliary side.
     """
     target = not side
-    keyed = sorted(i for i in plan.graded if any(x.marks[i] == "k" for x in leaves))
+    agreed, differing, keyed = (_marked(leaves, m) for m in "10k")
     listed = ", ".join(f"'{x.marks}:{x.salts}'" for x in leaves)
-    needed = [f"({_mark(i)} not in ('1', 'k') or {side}v{i} is not null)" for i in [*plan.exact, *keyed]]
+    needed = [f"({_mark(i)} not in ('1', 'k') or {side}v{i} is not null)" for i in [*agreed, *keyed]]
     df = df.withColumn("leaf", F.expr(f"explode(array({listed}))")).where(" and ".join(needed) or "true")
-    lost = " + ".join(["0D", *[f"if({_mark(i)} = '0', {plan.weights[i]!r}D, 0D)" for i in plan.exact]])
-    parts = ["leaf", *[f"if({_mark(i)} = '1', {side}v{i}, null)" for i in plan.exact]]
+    lost = " + ".join(["0D", *[f"if({_mark(i)} = '0', {plan.weights[i]!r}D, 0D)" for i in differing]])
+    parts = ["leaf", *[f"if({_mark(i)} = '1', {side}v{i}, null)" for i in agreed]]
     for i in keyed:
         share = f"greatest(({loss!r}D - ({lost})) / {plan.weights[i]!r}D, 0D)"
         if plan.kinds[i] == "text":
@@ -240,7 +245,8 @@ def _round(a: DataFrame, b: DataFrame, plan, leaves: list[Leaf], loss: float, la
     values = [f"v{i}" for i in width] + [f"letters{i}" for i in texts]
     left = _spread(a, plan, leaves, loss, "", ["t1", "t2", "copies", *values])
     right = _spread(b, plan, leaves, loss, "b_", ["u1", "u2", "keys", *[f"b_{c}" for c in values]]).drop("leaf")
-    meets = [f"case {_mark(i)} when '1' then v{i} = b_v{i} when '0' then not coalesce(v{i} = b_v{i}, false) else true end" for i in plan.exact]
+    meets = [f"case {_mark(i)} when '1' then v{i} = b_v{i} when '0' then not coalesce(v{i} = b_v{i}, false) else true end"
+             for i in sorted({*_marked(leaves, "1"), *_marked(leaves, "0")})]
     sims = {i: F.expr(f"if(v{i} = b_v{i}, 1D, 0D)") for i in plan.exact}
     sims |= {i: plan.graded_similarity(i, F.col(f"v{i}"), F.col(f"b_v{i}")) for i in _ordered(plan)}
     sims |= {i: F.expr(textkeys.at_most(plan.text_method, f"v{i}", f"b_v{i}", f"letters{i}", f"b_letters{i}")) for i in texts}
