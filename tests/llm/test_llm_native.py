@@ -42,6 +42,26 @@ def test_thresholds_adapt_to_groups(spark):
     assert all(kept[i][0] for i in range(150)) and all(kept[1000 + i][0] for i in range(150))
 
 
+def test_every_measure_rejects_beyond_the_base_rules(spark):
+    def text(i, words=40):
+        fresh = [f"x{i}y{k}" for k in range(words)]
+        return "\n".join(" ".join(fresh[k:k + 10]) for k in range(0, words, 10))
+
+    even = [(i, text(i)) for i in range(150)]
+    line = "so says every page"
+    odd = {
+        "word_length": " ".join(f"{'long' * 5}{k}" for k in range(40)),
+        "symbol_share": " ".join(f"#x{k}" for k in range(40)),
+        "duplicate_line_share": "\n".join(x for k in range(3) for x in (line, f"a{k} b{k} c{k} d{k}")),
+        "repeat_share": "one phrase of six plain words " + text(901, 30) + " one phrase of six plain words " + text(902, 40)}
+    docs = spark.createDataFrame([(i, t, "en", "web") for i, t in even + list(enumerate(odd.values(), 1000))],
+                                 "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in rules.judged(docs).collect()}
+    assert all(rows[i].kept for i, _ in even)
+    for i, name in enumerate(odd, 1000):
+        assert not rows[i].base_failed and not rows[i].kept, name
+
+
 def test_rules_on_odd_and_empty_tables(odd_documents, no_documents):
     rows = rules.judged(odd_documents).collect()
     assert len(rows) == 11 and sum(r.base_failed for r in rows) == sum(

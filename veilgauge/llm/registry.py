@@ -189,7 +189,7 @@ chosen AS (
   GROUP BY ALL),
 bounds AS (
   SELECT lang, source, m, q.q1 - 4 * s AS low, q.q3 + 4 * s AS high
-  FROM (SELECT *, greatest(q.q3 - q.q1, [0.5, 0.01, 0.15, 0.05][m]) AS s FROM chosen))
+  FROM (SELECT *, greatest(q.q3 - q.q1, [0.5, 0.01, 0.07, 0.03][m]) AS s FROM chosen))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (
          SELECT 1 FROM bounds b WHERE b.lang IS NOT DISTINCT FROM d.lang AND b.source IS NOT DISTINCT FROM d.source

@@ -25,8 +25,9 @@ MIN_GROUP = 100
 SKETCH = 4096
 #: A measure may lie so many quartile distances outside the quartiles.
 REACH = 4.0
-#: Smallest quartile distance that counts, so that a group of very even documents keeps some slack.
-MEASURES = {"word_length": 0.5, "symbol_share": 0.01, "duplicate_line_share": 0.15, "repeat_share": 0.05}
+#: Smallest quartile distance that counts, so that a group of very even documents keeps some slack. Times `REACH` it
+#: stays well below what the base rules let pass, so that every measure can reject in a group that is even in it.
+MEASURES = {"word_length": 0.5, "symbol_share": 0.01, "duplicate_line_share": 0.07, "repeat_share": 0.03}
 
 
 def _repeated_words(words: Column, n: Column) -> Column:
