@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilgauge.llm.common import Remembered, columns_or_raise, text_slices
-from veilgauge.llm.merges import PairMerges, split_ids
+from veilgauge.llm.merges import PairMerges
 from veilgauge.session import materialise
 
 CAPACITY = 4096
@@ -34,15 +34,26 @@ END = 1
 SMALL = 8
 #: Group counts tried; the plan with the fewest sequences is taken.
 GROUPS = (16, 64, 256)
-#: Chunks of text remembered by a Python worker.
-REMEMBERED = 300_000
+#: Chunks of text other than plain words that a Python worker remembers.
+REMEMBERED = 100_000
+#: Letters of the longest word that is handled as a number; the longer ones go to the tokenizer.
+WORD = 16
+STOPS = ".,"
+#: Characters handled at once: distinct words are merged once per slice.
+SLICE = 1 << 22
+_BLANK, _LETTER, _STOP, _OTHER = range(4)
+#: Masks that keep the first 0 to 8 bytes of eight.
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 class Chunks:
-    """Ids of white-space separated chunks of text, looked up or taken from the tokenizer.
+    """Ids of white-space separated chunks of text, gathered from those of its distinct words.
 
     The tokenizer drops white space and never joins anything across it, so the ids of
-    a text are those of its chunks in order.
+    a text are those of its chunks in order. A word of up to 16 Latin-1 letters and the
+    stops behind it are separate tokens, and case doesn't matter: such chunks are found
+    and compared as numbers, whole slices of text at once, and merged with the
+    tokenizer's own merge table. All others go to the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,12 +63,17 @@ class Chunks:
         self.tokenizer = Tokenizer.from_file(path)
         self.seen = Remembered(REMEMBERED)
         self._read_merges(path)
+        self._read_classes()
         if self._ids(["a b", "a", "b"])[0] != b"".join(self._ids(["a", "b"])):
             raise ValueError("only tokenizers that drop white space are supported")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, fresh: set[str]) -> dict[str, bytes]:
+        fresh = list(fresh)
+        return dict(zip(fresh, self._ids(fresh), strict=True))
+
     def _read_merges(self, path: str) -> None:
         """The tokenizer's own merge table, for plain words: many new ones a round instead of a call each."""
         with open(path, encoding="utf-8") as file:
@@ -72,48 +88,100 @@ class Chunks:
         self.inside = np.array([vocabulary[n] for n in names])
         self.last = np.array([vocabulary[n + suffix] for n in names])
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of lower-case words of Latin-1 letters."""
-        if not words:
-            return []
-        coded = [w.encode() for w in words]
-        lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-        flat = np.frombuffer(b"".join(coded), dtype=np.uint8)
-        sym = self.inside[flat]
-        ends = np.cumsum(lengths) - 1
-        sym[ends] = self.last[flat[ends]]
-        return split_ids(*self.merges.merge(sym, np.repeat(np.arange(len(coded)), lengths)), len(coded))
+    def _read_classes(self) -> None:
+        """What a character is, and its lower case, by its number; numbers beyond the last white space are `_OTHER`."""
+        blank = [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+        self.classes = np.full(0x3002, _OTHER, dtype=np.uint8)
+        self.classes[:256] = [_LETTER if chr(i).isalpha() else _OTHER for i in range(256)]
+        self.classes[[ord(c) for c in STOPS]] = _STOP
+        self.classes[blank] = _BLANK
+        self.lower = np.array([ord(chr(i).lower()) for i in range(256)], dtype=np.uint8)
+
+    def _words(self, keys: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of lower-case Latin-1 letters, one word behind the other, and how many each has.
+
+        keys: (words, 16) letters, zero behind the end.
+        """
+        letters = keys[np.arange(WORD)[None, :] < lengths[:, None]].astype(np.int64)
+        wide = letters >= 128  # two bytes in UTF-8
+        at = np.cumsum(1 + wide) - 1
+        coded = np.empty(int(at[-1]) + 1 if len(at) else 0, dtype=np.int64)
+        coded[at] = np.where(wide, 0x80 | letters & 0x3F, letters)
+        coded[at[wide] - 1] = 0xC0 | letters[wide] >> 6
+        unit = np.empty(len(coded), dtype=np.int64)
+        unit[at] = np.repeat(np.arange(len(lengths)), lengths)
+        unit[at[wide] - 1] = unit[at[wide]]
+        sym = self.inside[coded]
+        ends = at[np.cumsum(lengths) - 1]
+        sym[ends] = self.last[coded[ends]]
+        sym, unit = self.merges.merge(sym, unit)
+        return sym, np.bincount(unit, minlength=len(lengths))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        # Python also splits at four control characters that are no white space to the tokenizer.
-        plain = [t if t and not any(c in t for c in "\x1c\x1d\x1e\x1f") else "" for t in texts]
-        chunks = [t.split() for t in plain]
-        ids = self.seen.of([c for x in chunks for c in x], self._learn)
-        out, first = [], 0
-        for x in chunks:
-            out.append(b"".join(ids[first:first + len(x)]))
-            first += len(x)
-        for i, text in enumerate(texts):
-            if text and not plain[i]:
-                out[i] = self._ids([text])[0]
-        return out
-
-    def _learn(self, fresh: set[str]) -> dict[str, bytes]:
-        """A word of Latin-1 letters and the stops behind it are separate tokens, and its case doesn't matter."""
-        parts, words, others = {}, set(), set()
-        for chunk in fresh:
-            word = chunk.rstrip(".,")
-            if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
-                parts[chunk] = word, stops = word.lower(), chunk[len(word):]
-                words.add(word)
-                others.add(stops)
-            else:
-                others.add(chunk)
-        others.discard("")
-        words, others = list(words), list(others)
-        of = dict(zip(words, self._words(words), strict=True))
-        rest = dict(zip(others, self._ids(others), strict=True))
-        return {c: of[parts[c][0]] + rest.get(parts[c][1], b"") if c in parts else rest[c] for c in fresh}
+        """The ids of each text as little-endian unsigned 32-bit integers; none for a null or blank text."""
+        sizes = np.fromiter((len(t) + 1 if t else 1 for t in texts), dtype=np.int64, count=len(texts))
+        whole = " ".join(t or "" for t in texts) + " " * (2 * WORD)
+        points = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+        kind = self.classes[np.minimum(points, len(self.classes) - 1)]
+        low = self.lower[np.minimum(points, 255).astype(np.uint8)]
+        del points
+        full = kind != _BLANK
+        start = np.flatnonzero(full & ~np.r_[False, full[:-1]])
+        if not len(start):
+            return [b""] * len(texts)
+        end = np.flatnonzero(full[:-1] & ~full[1:]) + 1
+        letter, stop = kind == _LETTER, kind == _STOP
+        n_letters, n_stops = (np.add.reduceat(x, start, dtype=np.int64) for x in (letter, stop))
+        mixed_up = np.flatnonzero(letter[1:] & stop[:-1]) + 1  # a letter behind a stop
+        plain = (n_letters > 0) & (n_letters <= WORD) & (n_stops <= 8) & (n_letters + n_stops == end - start)
+        plain[np.searchsorted(start, mixed_up, side="right") - 1] = False
+        plain &= letter[start]
+
+        # The distinct words and runs of stops as numbers: 16 letters are two of them, a run of stops one.
+        eight = np.ndarray(shape=(len(low) - 7,), dtype="<u8", buffer=low, strides=(1,))
+        at, size = start[plain], n_letters[plain]
+        first, second = eight[at] & _KEPT[np.minimum(size, 8)], eight[at + 8] & _KEPT[np.maximum(size - 8, 0)]
+        behind = eight[at + size] & _KEPT[n_stops[plain]]
+        word, distinct = _numbered(first, second)
+        tail, tails = _numbered(behind, np.zeros_like(behind))
+        letters = np.stack([first[distinct], second[distinct]], axis=1).astype("<u8").view(np.uint8).reshape(-1, WORD)
+        ids, held = self._words(letters, size[distinct])
+        rest = np.flatnonzero(~plain)
+        odd = [whole[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
+        odd += [int(x).to_bytes(8, "little").rstrip(b"\0").decode() for x in behind[tails]]
+        found = self.seen.of([c for c in odd if c], self._learn)
+        if "" in odd:
+            found.insert(odd.index(""), b"")  # the run of no stops; chunks aren't empty
+
+        # One entry per distinct word, odd chunk and run of stops; a chunk is a word with a run, or odd with nothing behind.
+        ids = np.concatenate([ids.astype("<u4"), np.frombuffer(b"".join(found), dtype="<u4")])
+        held = np.r_[held, np.fromiter((len(x) // 4 for x in found), dtype=np.int64, count=len(found)), 0]
+        place = np.cumsum(held) - held
+        entry = np.full((len(start), 2), len(held) - 1, dtype=np.int64)
+        entry[plain, 0], entry[plain, 1] = word, len(distinct) + len(rest) + tail
+        entry[rest, 0] = len(distinct) + np.arange(len(rest))
+        entry = entry.ravel()
+        held = held[entry]
+        upto = np.cumsum(held)
+        ids = ids[np.arange(upto[-1]) + np.repeat(place[entry] - (upto - held), held)].tobytes()
+        of_text = np.r_[0, upto][2 * np.searchsorted(start, np.r_[0, np.cumsum(sizes)])] * 4
+        return [ids[a:b] for a, b in zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)]
+
+
+def _numbered(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each distinct pair, from 0 on, and the place of a pair with each number."""
+    if second.any():
+        key = np.stack([first, second], axis=1).view([("first", "<u8"), ("second", "<u8")]).ravel()
+        short = second == 0
+        number = np.empty(len(key), dtype=np.int64)
+        number[short], seen = pd.factorize(first[short])
+        _, number[~short] = np.unique(key[~short], return_inverse=True)
+        number[~short] += len(seen)
+    else:
+        number, _ = pd.factorize(first)
+    places = np.empty(int(number.max(initial=-1)) + 1, dtype=np.int64)
+    places[number] = np.arange(len(number))
+    return number, places
 
 
 @lru_cache(maxsize=2)
@@ -136,7 +204,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "
         known = chunks(path)
         for batch in source:
             texts = batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, SLICE):
                 row, piece, start, ids = [], [], [], []
                 for i, whole in enumerate(known.encode(texts[a:b]), a):
                     whole += last
