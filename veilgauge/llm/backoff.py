@@ -20,18 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgauge.llm.common import WordHashes, columns_or_raise, mixed
+from veilgauge.llm.common import SPACE_RUN, WordHashes, columns_or_raise, mixed
 
 ORDER = 3
 #: The factor for every step back, as published.
 ALPHA = 0.4
 BLOCK_BYTES = 8_000_000
-#: n-grams are compared by so many bits of a hash. Among a billion different ones, a given one shares its hash
-#: with a chance of 1.4e-8; fewer bits make messages smaller.
-HASH_BITS = 56
-_MASK = np.uint64((1 << HASH_BITS) - 1)
+#: n-grams are compared by 64-bit hashes: among 10^13 different ones, a given one shares its hash with a chance of 5e-7.
+HASH_BITS = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-TOTALS = -1
 
 
 class Grams:
@@ -56,7 +53,7 @@ class Grams:
             else:
                 now = np.zeros_like(flat)
                 now[1:] = mixed(before[:-1] * _STEP + flat[1:] + np.uint64(n))
-            hashes.append(now & _MASK)
+            hashes.append(now)
             before = now
         ends = [np.flatnonzero(self.place >= n) for n in range(order)]
         every = np.concatenate([h[e] for h, e in zip(hashes, ends, strict=True)])
@@ -131,8 +128,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
     Texts without words score 0, with a null mean. Repeated rows count and score each.
     """
     columns_or_raise(docs, "doc_id", "text")
-    total = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    parts = max(1, -(-total // block_bytes))
+    corpus = docs.agg(F.sum(F.octet_length("text")).alias("bytes"),
+                      F.sum(F.regexp_count("text", F.lit(f"[^{SPACE_RUN[1:]}"))).alias("words")).first()
+    parts, words = max(1, -(-(corpus["bytes"] or 0) // block_bytes)), corpus["words"] or 0
     keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("block"), "doc_id", "text")
     message = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()),
                             T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
@@ -140,14 +138,14 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
 
     def ask(group: pa.Table) -> pa.Table:
         block, grams = group["block"][0].as_py(), Grams(group["text"].to_pylist(), order)
-        rows = [(block, TOTALS, packed(np.zeros(1, np.uint64)), _counts(np.array([grams.lengths.sum()])))]
+        rows = []
         part = grams.partitions(parts)
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         ends = np.append(starts[1:], len(part))[:len(starts)]
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             rows.append((block, int(part[a]), packed(grams.hashes[a:b]), _counts(grams.counts[a:b])))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=message.names)
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=message.names)
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         counts = [_values(x) for x in group["counts"]]
@@ -164,8 +162,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         grams = Grams(texts["text"].to_pylist(), order, places=True)
         found = [_values(x.as_py()) for x in answers.sort_by("part")["counts"]]
-        words = int(found[0][0])  # TOTALS comes first
-        totals = np.concatenate(found[1:]) if len(found) > 1 else np.zeros(0, dtype=np.int64)
+        totals = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
         return pa.table([texts["doc_id"], pa.array(grams.lengths, pa.int64()),
                          pa.array(grams.log_scores(totals, words, alpha, leave_out), pa.float64())], names=kind.names)
 
