@@ -40,7 +40,7 @@ REMEMBERED = 100_000
 WORD = 16
 STOPS = ".,"
 #: Characters handled at once: distinct words are merged once per slice.
-SLICE = 1 << 22
+SLICE = 3 << 20
 _BLANK, _LETTER, _STOP, _OTHER = range(4)
 #: Masks that keep the first 0 to 8 bytes of eight.
 _KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
