@@ -12,10 +12,12 @@ its count, so no partition runs hot; blocks and partitions grow in number, not i
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +41,9 @@ class Grams:
     where the text has fewer before, and `own[n]` how often the word's text holds it.
     """
 
-    def __init__(self, texts: list[str | None], order: int, places: bool = False) -> None:
-        words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+    def __init__(self, texts: list[bytes | None], order: int, places: bool = False) -> None:
+        """texts: in UTF-8."""
+        words = [t.split() if t else [] for t in texts]
         self.lengths = np.array([len(w) for w in words], dtype=np.int64)
         flat = WordHashes(1 << 62).of([w for ws in words for w in ws])
         del words
@@ -116,6 +119,19 @@ def _values(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
+def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with their last column, texts, compressed one by one; null stays null."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = [None if t is None else press(t) for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], batch.schema.names)
+
+
+def expanded(texts: pa.ChunkedArray) -> list[bytes | None]:
+    back = zstandard.ZstdDecompressor().decompress
+    return [None if t is None else back(t) for t in texts.to_pylist()]
+
+
 def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_out: bool = True,
                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) per row of `docs`.
@@ -132,12 +148,13 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
                       F.sum(F.regexp_count("text", F.lit(f"[^{SPACE_RUN[1:]}"))).alias("words")).first()
     parts, words = max(1, -(-(corpus["bytes"] or 0) // block_bytes)), corpus["words"] or 0
     keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("block"), "doc_id", "text")
+    keyed = keyed.mapInArrow(compressed, T.StructType([*keyed.schema.fields[:2], T.StructField("text", T.BinaryType())]))
     message = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()),
                             T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
     answer = T.StructType([f for f in message if f.name != "hashes"])
 
     def ask(group: pa.Table) -> pa.Table:
-        block, grams = group["block"][0].as_py(), Grams(group["text"].to_pylist(), order)
+        block, grams = group["block"][0].as_py(), Grams(expanded(group["text"]), order)
         rows = []
         part = grams.partitions(parts)
         starts = np.flatnonzero(np.diff(part, prepend=-1))
@@ -160,7 +177,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
                          T.StructField("log_score", T.DoubleType())])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = Grams(texts["text"].to_pylist(), order, places=True)
+        grams = Grams(expanded(texts["text"]), order, places=True)
         found = [_values(x.as_py()) for x in answers.sort_by("part")["counts"]]
         totals = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
         return pa.table([texts["doc_id"], pa.array(grams.lengths, pa.int64()),
