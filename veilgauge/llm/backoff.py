@@ -141,7 +141,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
     the number of all words, where a word seen nowhere counts as once. Counts are
     those of all rows of `docs`, with `leave_out` without the occurrences in the row's
     own text, as these would vouch for themselves. Words are split at white space.
-    Texts without words score 0, with a null mean. Repeated rows count and score each.
+    Texts without words, null ones included, score 0, with a null mean. Repeated rows
+    count and score each. A very long text is one document of its block. No rows give
+    no rows; further columns, whatever their names, are ignored.
     """
     columns_or_raise(docs, "doc_id", "text")
     corpus = docs.agg(F.sum(F.octet_length("text")).alias("bytes"),
