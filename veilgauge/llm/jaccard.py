@@ -8,9 +8,11 @@ whole sets: the short lists of a query are merged by counting, the long ones are
 probed by binary search for the candidates that the short ones leave (DivideSkip).
 
 Only connectivity is asked for. Sets are first searched against the first set of their
-posting lists; after that, pairs that are connected already need no test, and all
-other pairs with enough lists in common are searched in a second round. So a large
-group of near copies costs a few searches per copy, and no group is split.
+posting lists, the smallest one; after that, pairs that are connected already need no
+test, and all other pairs with enough lists in common are searched in a second round.
+Postings carry the size of the set and the place of the element in it: two sets hold
+nothing in common before the places where they first meet, which rules out most pairs
+that only share a passage.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ MOST_COMMON = 1_000_000
 INDEXED, QUERIES = 64, 192
 #: Documents to fetch are broadcast up to this size, taking so many bytes for each; beyond, texts are shuffled.
 BROADCAST_BYTES, OWNER_BYTES = 64 << 20, 128
+#: Prefixes hold one common element more for so many required ones, up to the bound; both only weigh prefixes against candidates.
+PER_SHARED, MOST_SHARED = 100, 4
 #: Share of the required overlap that long lists may hold, from the published rule T / (mu log M + 1).
 MU = 1.0
 
@@ -95,9 +99,9 @@ def _shared(n: int, similarity: tuple[int, int]) -> int:
     """Prefix elements that a set of n elements shares with every similar one, within its lengthened prefix.
 
     A prefix of n - required + m elements holds the m smallest common ones; more of
-    them make candidates rarer and prefixes a little longer.
+    them make candidates rarer and prefixes longer.
     """
-    return min(16, 1 + _required(n, similarity) // 25)
+    return min(MOST_SHARED, 1 + _required(n, similarity) // PER_SHARED)
 
 
 def _fields(*names: tuple[str, T.DataType]) -> T.StructType:
@@ -148,8 +152,8 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, words: int, similarity: tuple[int, int], common: np.ndarray) -> DataFrame:
-    """(shingle, node, least) for the prefix of every distinct set of a task; least: elements that it has to share."""
-    kind = _fields(("shingle", T.LongType()), ("node", T.LongType()), ("least", T.IntegerType()))
+    """(shingle, node, n, place) for the prefix of every distinct set of a task; n: its size, place: that of the shingle in the order."""
+    kind = _fields(("shingle", T.LongType()), ("node", T.LongType()), ("n", T.IntegerType()), ("place", T.IntegerType()))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(words), set()
@@ -165,15 +169,15 @@ def _postings(docs: DataFrame, words: int, similarity: tuple[int, int], common:
                     at = np.searchsorted(common, values)
                     late = common[np.minimum(at, len(common) - 1)] == values if len(common) else np.zeros(len(values), dtype=bool)
                     ordered = np.concatenate([values[~late], values[late]])
-                    least = _shared(len(values), similarity)
-                    prefixes.append(ordered[:len(values) - _required(len(values), similarity) + least])
+                    prefixes.append(ordered[:len(values) - _required(len(values), similarity) + _shared(len(values), similarity)])
                     nodes.append(node)
-                    sizes.append(least)
+                    sizes.append(len(values))
                 lengths = [len(p) for p in prefixes]
                 if lengths:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(prefixes).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)),
-                         pa.array(np.repeat(np.array(sizes, np.int32), lengths))], kind.names)
+                         pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+                         pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]))], kind.names)
 
     return docs.select("text").mapInArrow(batches, kind)
 
@@ -235,29 +239,58 @@ class Index:
         return found[similarity[1] * shared >= similarity[0] * union]
 
 
-def _open_pairs(listed: DataFrame, near: DataFrame | None) -> DataFrame:
-    """Pairs of nodes (a, b) that share enough lists and aren't connected yet.
+def _may_link(similarity: tuple[int, int], shared: Column | int = 0) -> Column:
+    """Whether two sets with `n_a`, `n_b` elements can be similar.
+
+    At most `shared` elements that both hold come before the places `place_a` and `place_b`, and all others after them.
+    """
+    low, high = similarity
+    rest = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + shared
+    both = F.least(rest, F.col("n_a"), F.col("n_b")).cast("long")
+    return both * (low + high) >= (F.col("n_a") + F.col("n_b")) * F.lit(low).cast("long")
+
+
+def _least(similarity: tuple[int, int]) -> Column:
+    """`_shared` of the smaller of two sets."""
+    low, high = similarity
+    required = F.ceil(F.least("n_a", "n_b") * F.lit(low).cast("long") / F.lit(high))
+    return F.least(F.lit(MOST_SHARED), 1 + F.floor(required / PER_SHARED))
+
+
+def _open_pairs(listed: DataFrame, near: DataFrame | None, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of nodes (a, b) that share enough lists, early enough, and aren't connected yet.
 
     Lists whose sets are all connected are passed over. In the others, the sets outside
-    the list's largest component meet all sets of the list.
+    the list's largest component meet all sets of the list. Two sets have the same order,
+    so what they share lies behind the first place in both where they meet.
     """
     alone = F.hex("node").cast("binary")
+    held = ["shingle", "node", "n", "place"]
     if near is None:
-        placed = listed.select("shingle", "node", "least", alone.alias("component"))
+        placed = listed.select(*held, alone.alias("component"))
     else:
         of = near.select(_node(F.col("node")).alias("node"), "component")
-        placed = listed.join(of, "node", "left").select("shingle", "node", "least", F.coalesce("component", alone).alias("component"))
+        placed = listed.join(of, "node", "left").select(*held, F.coalesce("component", alone).alias("component"))
     placed, _ = materialise(placed)
     crowds = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("held"))
     mixed_ = crowds.groupBy("shingle").agg(F.max_by("component", F.struct("held", "component")).alias("main"),
                                            F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
     placed, _ = materialise(placed.join(mixed_, "shingle").distinct())
-    side = lambda x: placed.select("shingle", F.col("node").alias(x), F.col("least").alias(f"least_{x}"),
+    side = lambda x: placed.select("shingle", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"place_{x}"),
                                    F.col("component").alias(f"of_{x}"), (F.col("component") == F.col("main")).alias(f"main_{x}"))
-    met = side("a").where("NOT main_a").join(side("b"), "shingle").where("of_a <> of_b AND (main_b OR a < b)")
-    return (met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .agg(F.count(F.lit(1)).alias("lists"), F.min(F.least("least_a", "least_b")).alias("least"))
-            .where("lists >= least").select("a", "b"))
+    # Before this place both hold no more in common than the lesser of the two places.
+    met = side("a").where("NOT main_a").join(side("b"), "shingle").where(
+        F.expr("of_a <> of_b AND (main_b OR a < b)") & _may_link(similarity, F.least("place_a", "place_b")))
+    # Either set may lie in the largest component of one list and outside that of another.
+    one_way = lambda x, y: [F.when(F.col("a") < F.col("b"), F.col(f"{c}{x}")).otherwise(F.col(f"{c}{y}")).alias(f"{c}{x}")
+                            for c in ("", "n_", "place_")]
+    return _enough(met.select(*one_way("a", "b"), *one_way("b", "a")), similarity)
+
+
+def _enough(met: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of nodes that meet in enough lists, the first one early enough."""
+    return (met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), *[F.min(c).alias(c) for c in ("n_a", "n_b", "place_a", "place_b")])
+            .where((F.col("lists") >= _least(similarity)) & _may_link(similarity)).select("a", "b"))
 
 
 def _searched(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, int]:
@@ -305,17 +338,18 @@ def _labelled(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataF
               .where(F.col("texts") >= COMMON).orderBy(F.desc("texts"), "shingle").limit(MOST_COMMON).select("shingle").toArrow())
     common = np.sort(np.asarray(common["shingle"].combine_chunks()).view(np.uint64))
     each = Window.partitionBy("shingle")
+    # Sets that hold the same passage are most alike the smallest of them.
     postings = _postings(docs, words, similarity, common).withColumns(
-        {"lead": F.min("node").over(each), "last": F.max("node").over(each)})
-    listed, _ = materialise(postings.where("lead < last").select("shingle", "node", "least", "lead"))
-    stars, many = materialise(
-        listed.where("node <> lead").groupBy(F.col("lead").alias("a"), F.col("node").alias("b"))
-        .agg(F.count(F.lit(1)).alias("lists"), F.min("least").alias("least")).where("lists >= least(4, least)").select("a", "b"))
+        {"first": F.min("node").over(each), "last": F.max("node").over(each), "lead": F.min(F.struct("n", "node", "place")).over(each)})
+    listed, _ = materialise(postings.where("first < last").drop("first", "last"))
+    stars, many = materialise(_enough(listed.where("node <> lead.node").select(
+        F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"),
+        F.col("lead.place").alias("place_a"), F.col("place").alias("place_b")), similarity))
     linked = near = None
     if many:
         linked, _ = _searched(stars, rows, docs, words, similarity)
         near = components(linked)
-    pairs, more = materialise(_open_pairs(listed, near))
+    pairs, more = materialise(_open_pairs(listed, near, similarity))
     if more:
         further, found = _searched(pairs, rows, docs, words, similarity)
         linked = further if linked is None else linked.unionByName(further)
