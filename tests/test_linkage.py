@@ -284,6 +284,46 @@ def test_any_number_of_shared_categories(spark, width, threshold):
     close(as_tuples(link(spark, a, b, schema, threshold=threshold)), brute_force(a, b, ["categorical"] * width, threshold=threshold))
 
 
+def test_tuples_under_many_leaves_are_not_broadcast(spark, monkeypatch):
+    """The planner sees a side's size before it is listed under every leaf, and would send it to the driver."""
+    plans, write = [], rounds.materialise
+    monkeypatch.setattr(rounds, "BROADCAST_ROWS", 50, raising=False)
+    monkeypatch.setattr(rounds, "ROUND_COST", 1)
+    monkeypatch.setattr(rounds, "materialise", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or write(df))
+    rng = random.Random(4)
+    rows = [[str(rng.randrange(4)) for _ in range(12)] for _ in range(300)]
+    link(spark, rows, rows, ", ".join(f"c{i} string" for i in range(12)), kinds={f"c{i}": "categorical" for i in range(12)}).matches.count()
+    joins = [line for plan in plans for line in plan.splitlines() if "Join [x" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
+
+
+def test_rounds_of_many_categories_grow_in_small_steps():
+    """Twice the loss lists twenty categories under twenty times the leaves, for few tuples that need it."""
+    plan = linkage.Comparison([str(i) for i in range(20)], ["categorical"] * 20, [0.3] * 20, [1.0] * 20, 0.55, 3, "ratcliff")
+    stats = rounds.Statistics(15_000, 15_000, dict.fromkeys(range(20), 0.2), {})
+    losses = rounds.schedule(plan, stats)
+    costs = [rounds.cheapest(plan, stats, loss, stats.target)[1] for loss in losses]
+    assert all(after < 10 * before for before, after in zip(costs, costs[1:]))
+
+
+@pytest.mark.parametrize("columns", [9, 16])
+def test_values_packed_as_bytes_equal_all_pairs_with_nulls(spark, monkeypatch, columns):
+    """Several numbers of bytes, more values than a byte tells apart, missing values on both sides, repeated rows."""
+    monkeypatch.setattr(rounds, "ROUND_COST", 1)
+    monkeypatch.setattr(rounds, "PAIRS_PER_SALT", 500)
+    rng = random.Random(columns)
+
+    def rows(n):
+        made = [[None if rng.random() < 0.15 else str(rng.randrange(1200 if i < 2 else 3)) for i in range(columns)] for _ in range(n)]
+        return made + [list(r) for r in made[:10]]
+    a, b = rows(120), rows(150)
+    names = [f"c{i}" for i in range(columns)]
+    result = link(spark, a, b, ", ".join(f"{c} string" for c in names), kinds=dict.fromkeys(names, "categorical"), threshold=0.5)
+    found = as_tuples(result)
+    assert found
+    close(found, brute_force(a, b, ["categorical"] * columns, threshold=0.5))
+
+
 def test_explanations_and_matrix(spark):
     rows = [(30, "Male"), (60, "Female")]
     result = link(spark, rows, [(31, "Male")], "Age int, Gender string")

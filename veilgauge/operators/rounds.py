@@ -40,6 +40,8 @@ SHARES = [1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0]
 WORTH = 4.0
 #: Rows and pairs below which a round of its own costs more than it saves.
 ROUND_COST = 1_000_000
+#: Where all columns are compared exactly, cost grows evenly with the loss and finer rounds save the wide ones.
+EXACT_SHARES = [*SHARES[:5], 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0]
 #: With texts, rounds differ in how many exact ratios they need, which the join's cost does not tell.
 TEXT_SHARES = SHARES[:3] + SHARES[4:5] + SHARES[-1:]
 SLACK = 1e-9
@@ -47,6 +49,13 @@ SLACK = 1e-9
 HALF_STEP = 0.0005
 #: Pairs that one salt of a leaf is meant to hold.
 PAIRS_PER_SALT = 4_000_000
+#: Rows of a side under all its leaves beyond which it may not be broadcast. The planner can't tell:
+#: it knows the size of a side before its tuples are listed under every leaf.
+BROADCAST_ROWS = 100_000
+#: Rows under leaves that one task is meant to make: a few small files of tuples would be listed by as many tasks.
+LISTED_ROWS = 200_000
+#: Values that a packed number holds, a byte each; its highest byte stays free.
+PACKED = 7
 #: Leaves beyond which a way of branching is not followed any further; a coarser one always exists.
 MOST_LEAVES = 20_000
 #: Share of pairs assumed to share a key of their texts; only the choice among equal results depends on it.
@@ -172,6 +181,11 @@ def leaves_within(plan, stats: Statistics, loss: float, target: int, enough: flo
     return found
 
 
+def _copies(leaves: list[Leaf]) -> float:
+    """About how many rows the leaves make of a tuple."""
+    return sum(2.0 ** sum(m == "k" for m in x.marks) * x.salts for x in leaves)
+
+
 def cheapest(plan, stats: Statistics, loss: float, target: int) -> tuple[list[Leaf], float]:
     """The way of branching with the least rows to join and pairs to look at."""
     best, least = None, float("inf")
@@ -181,7 +195,7 @@ def cheapest(plan, stats: Statistics, loss: float, target: int) -> tuple[list[Le
         leaves = leaves_within(plan, stats, loss, target, enough)
         if leaves is None:
             break
-        copies = sum(2.0 ** sum(m == "k" for m in x.marks) * x.salts for x in leaves)
+        copies = _copies(leaves)
         cost = copies * rows + sum(x.pairs for x in leaves)
         if cost < least:
             best, least = leaves, cost
@@ -238,22 +252,97 @@ def _spread(df: DataFrame, plan, leaves: list[Leaf], loss: float, side: str, car
     return df.selectExpr("leaf", *_key(parts), *carry)
 
 
-def _round(a: DataFrame, b: DataFrame, plan, leaves: list[Leaf], loss: float, last: bool, trace: dict) -> tuple[DataFrame, dict]:
-    """``top`` best partners within the loss of every tuple that has any: (t1, t2, copies, partners, done), and counts of them."""
-    width = range(len(plan.kinds))
-    texts = _texts(plan)
-    values = [f"v{i}" for i in width] + [f"letters{i}" for i in texts]
+def _listed(df: DataFrame, rows: float) -> DataFrame:
+    """A side, dealt to as many tasks as its rows under all leaves need."""
+    return df.repartition(int(rows / LISTED_ROWS) + 1) if rows > BROADCAST_ROWS else df
+
+
+def _met(a: DataFrame, b: DataFrame, plan, leaves: list[Leaf], loss: float, sizes: tuple[int, int]) -> DataFrame:
+    """Pairs under the leaf each belongs to, with the values of both."""
+    values = [f"v{i}" for i in range(len(plan.kinds))] + [f"letters{i}" for i in _texts(plan)]
+    copies = _copies(leaves)
+    a, b = (_listed(df, n * copies) for df, n in zip((a, b), sizes))
     left = _spread(a, plan, leaves, loss, "", ["t1", "t2", "copies", *values])
     right = _spread(b, plan, leaves, loss, "b_", ["u1", "u2", "keys", *[f"b_{c}" for c in values]]).drop("leaf")
+    if min(sizes) * copies > BROADCAST_ROWS:
+        right = right.hint("merge")
     meets = [f"case {_mark(i)} when '1' then v{i} = b_v{i} when '0' then not coalesce(v{i} = b_v{i}, false) else true end"
              for i in sorted({*_marked(leaves, "1"), *_marked(leaves, "0")})]
+    return left.join(right, ["x1", "x2"]).where(" and ".join(meets) or "true")
+
+
+def _packable(plan) -> bool:
+    """Whether all columns are compared exactly and weigh the same, and a number can name those that agree."""
+    return not plan.graded and len(plan.exact) < 63 and len(set(plan.weights)) == 1 and plan.weights[0] > 0
+
+
+def _masks(leaves: list[Leaf]) -> dict[int, int]:
+    """Sets of columns that have to agree, as bits, with their salts; none that holds all of another."""
+    salts: dict[int, int] = {}
+    for leaf in leaves:
+        mask = sum(1 << i for i, m in enumerate(leaf.marks) if m == "1")
+        salts[mask] = max(leaf.salts, salts.get(mask, 1))
+    kept = np.zeros(0, dtype=np.int64)
+    for mask in sorted(salts, key=int.bit_count):
+        if not (kept & mask == kept).any():
+            kept = np.append(kept, mask)
+    return {int(m): salts[int(m)] for m in kept}
+
+
+def _met_packed(a: DataFrame, b: DataFrame, plan, leaves: list[Leaf], loss: float, sizes: tuple[int, int]) -> DataFrame:
+    """Pairs that differ in few enough columns, each once, with the values of both.
+
+    A pair of many equal values is met under many sets of columns, so only a byte per
+    value travels and columns that differ are counted on those: values with one byte
+    count as equal, so no pair is lost, and the scores are taken from the values.
+    """
+    masks, width = _masks(leaves), range(len(plan.kinds))
+    salted = any(n > 1 for n in masks.values())
+    listed = ", ".join(f"named_struct('m', {m}L, 's', {n}L)" for m, n in masks.items())
+    words = [width[k:k + PACKED] for k in range(0, len(width), PACKED)]
+
+    def spread(df: DataFrame, side: str, ids: list[str], rows: int) -> DataFrame:
+        v = lambda i: f"{side}v{i}"
+        missing = " | ".join(f"if({v(i)} is null, {1 << i}L, 0L)" for i in width)
+        # Missing values equal nothing: their bytes differ between the sides.
+        byte = lambda i: f"if({v(i)} is null, {254 if side else 0}L, 1 + pmod(xxhash64({v(i)}), 253L))"
+        coded = [" | ".join(f"shiftleft({byte(i)}, {8 * at})" for at, i in enumerate(word)) for word in words]
+        df = _listed(df.selectExpr(*ids, f"{missing} AS missing", *[f"xxhash64({i}, {v(i)}) AS h{i}" for i in width],
+                                   *[f"{c} AS {side}w{k}" for k, c in enumerate(coded)]), rows * sum(masks.values() if side else [len(masks)]))
+        df = df.withColumn("set", F.expr(f"explode(array({listed}))")).where("set.m & missing = 0")
+        first = "xxhash64(set.m)"
+        if salted:
+            df = df.withColumn("salt", F.expr("explode(sequence(0L, set.s - 1))" if side else f"pmod({ids[0]}, set.s)"))
+            first = "xxhash64(set.m, salt)"
+        key = " ^ ".join([first, *[f"if(set.m & {1 << i}L = 0, 0L, h{i})" for i in width if any(m >> i & 1 for m in masks)]])
+        return df.selectExpr(f"{key} AS x", *ids, *[f"{side}w{k}" for k in range(len(words))])
+
+    left, right = spread(a, "", ["t1", "t2"], sizes[0]), spread(b, "b_", ["u1", "u2"], sizes[1])
+    if min(sizes) * sum(masks.values()) > BROADCAST_ROWS:
+        right = right.hint("merge")
+    low = int("7f" * PACKED, 16)
+    high = int("80" * PACKED, 16)
+    differ = " + ".join(f"bit_count(((((w{k} ^ b_w{k}) & {low}L) + {low}L) | (w{k} ^ b_w{k})) & {high}L)" for k in range(len(words)))
+    pairs = left.join(right, "x").where(f"({differ}) <= {int((loss + 2 * SLACK) / plan.weights[0])}").select("t1", "t2", "u1", "u2").distinct()
+    return pairs.join(a, ["t1", "t2"]).join(b, ["u1", "u2"])
+
+
+def _round(a: DataFrame, b: DataFrame, plan, leaves: list[Leaf], loss: float, last: bool, sizes: tuple[int, int],
+           trace: dict) -> tuple[DataFrame, dict]:
+    """``top`` best partners within the loss of every tuple that has any: (t1, t2, copies, partners, done), and counts of them.
+
+    `sizes`: tuples of both sides.
+    """
+    width = range(len(plan.kinds))
+    texts = _texts(plan)
     sims = {i: F.expr(f"if(v{i} = b_v{i}, 1D, 0D)") for i in plan.exact}
     sims |= {i: plan.graded_similarity(i, F.col(f"v{i}"), F.col(f"b_v{i}")) for i in _ordered(plan)}
     sims |= {i: F.expr(textkeys.at_most(plan.text_method, f"v{i}", f"b_v{i}", f"letters{i}", f"b_letters{i}")) for i in texts}
     # One array: with a column per similarity, filters on their sum multiply in the optimizer.
     total = " + ".join(["0D", *[f"{plan.weights[i]!r}D * scores[{i}]" for i in width]])
     enough = f"{total} >= {plan.total_weight - loss - SLACK!r}D"
-    pairs = left.join(right, ["x1", "x2"]).where(" and ".join(meets) or "true").select(
+    met = _met_packed if _packable(plan) else _met
+    pairs = met(a, b, plan, leaves, loss, sizes).select(
         "t1", "t2", "copies", "u1", "u2", "keys", F.array(*[sims[i] for i in width]).alias("scores"), *[c for i in texts for c in (f"v{i}", f"b_v{i}")])
     pairs = pairs.where(enough)
     # A pair can be met under several character pairs of its texts.
@@ -288,7 +377,8 @@ def schedule(plan, stats: Statistics) -> list[float]:
     largest = max(0.0, (1 - plan.threshold) * plan.total_weight) + SLACK
     if _texts(plan) and ROUND_COST < float(stats.target) * stats.auxiliary:
         return [share * largest for share in TEXT_SHARES]
-    costs = [(share * largest, cheapest(plan, stats, share * largest, stats.target)[1]) for share in SHARES]
+    shares = SHARES if plan.graded else EXACT_SHARES
+    costs = [(share * largest, cheapest(plan, stats, share * largest, stats.target)[1]) for share in shares]
     kept, last = [costs[-1][0]], costs[-1][1]
     for loss, cost in reversed(costs[:-1]):
         if last >= ROUND_COST and cost * WORTH <= last:
@@ -320,7 +410,7 @@ def best_partners(a: DataFrame, b: DataFrame, plan, stats: Statistics) -> tuple[
         told["rounds"].append(step)
         if not leaves:
             continue
-        best, ended = _round(remaining, b, plan, leaves, loss, last, step)
+        best, ended = _round(remaining, b, plan, leaves, loss, last, (count, stats.auxiliary), step)
         finished.append(best.where("done"))
         tuples += ended["done"]
         told["pairs"] += step["pairs"]
