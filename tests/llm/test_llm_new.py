@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilgauge.llm import infill, personal, registry, whitening
+from veilgauge.llm import infill, merges, personal, registry, whitening
 
 # --- Fill in the middle ---------------------------------------------------------------
 
@@ -240,3 +240,16 @@ def test_spans_with_odd_rows_and_masking(spark, odd_documents, no_documents):
     spans = personal.personal_spans(said)
     assert [r.m for r in spans.select(personal.masked(F.col("text"), F.col("spans")).alias("m")).collect()] == [
         "é [EMAIL] or [IP], +[CARD] end", "none", None]
+
+
+@pytest.mark.parametrize("bits", [3, 6, 19])
+def test_merges_are_found_by_hash_whatever_collides(monkeypatch, bits):
+    monkeypatch.setattr(merges, "BITS", bits)
+    rng = np.random.default_rng(bits)
+    table = {(int(a), int(b)): (r, 100 + r) for r, (a, b) in enumerate({(int(a), int(b)) for a, b in rng.integers(0, 40, (300, 2))})}
+    known = merges.PairMerges(table, 40)
+    assert len(known.places) == 2 and (bits == 19) == (not len(known.left))
+    left, right = np.divmod(np.arange(1600), 40)
+    ranks, made = known._look_up(left, right)
+    for a, b, rank, symbol in zip(left.tolist(), right.tolist(), ranks.tolist(), made.tolist()):
+        assert (rank, symbol) == table[a, b] if (a, b) in table else rank == merges.NO_PAIR

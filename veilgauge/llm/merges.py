@@ -5,6 +5,15 @@ from __future__ import annotations
 import numpy as np
 
 NO_PAIR = np.iinfo(np.int64).max
+#: Hash values of pairs have so many bits; the multipliers are odd and otherwise free.
+BITS = 19
+STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+
+
+def _hashed(keys: np.ndarray, step: np.uint64) -> np.ndarray:
+    found = keys.view(np.uint64) * step
+    found >>= np.uint64(64 - BITS)
+    return found.view(np.int64)
 
 
 class PairMerges:
@@ -19,11 +28,28 @@ class PairMerges:
         self.stride = stride
         table = sorted((a * stride + b, r, m) for (a, b), (r, m) in pairs.items())
         self.keys, self.ranks, self.merged = (np.array(x, dtype=np.int64) for x in zip(*table, strict=True))
+        # A place per hash value; the pairs whose place is taken have one by the next hash, the few left after two are searched.
+        left = np.arange(len(self.keys))
+        self.places = []
+        for step in STEPS:
+            place = np.zeros(1 << BITS, dtype=np.int32)
+            place[_hashed(self.keys[left], step)] = left
+            self.places.append(place)
+            left = left[place[_hashed(self.keys[left], step)] != left]
+        self.left = left
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left * self.stride + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        at = self.places[0][_hashed(key, STEPS[0])]
         found = self.keys[at] == key
+        lost = np.flatnonzero(~found)
+        if len(lost):
+            again = self.places[1][_hashed(key[lost], STEPS[1])]
+            if len(self.left):
+                spare = self.left[np.minimum(np.searchsorted(self.keys[self.left], key[lost]), len(self.left) - 1)]
+                again = np.where(self.keys[spare] == key[lost], spare, again)
+            at[lost] = again
+            found[lost] = self.keys[again] == key[lost]
         return np.where(found, self.ranks[at], NO_PAIR), self.merged[at]
 
     def merge(self, sym: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
