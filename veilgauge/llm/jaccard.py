@@ -10,7 +10,9 @@ probed by binary search for the candidates that the short ones leave (DivideSkip
 Only connectivity is asked for. Sets are first searched against the first set of their
 posting lists, the smallest one; after that, pairs that are connected already need no
 test, and all other pairs with enough lists in common are searched in a second round.
-Postings carry the size of the set and the place of the element in it: two sets hold
+There, sets that meet in a long list are searched in blocks of whole lists, so no row
+stands for a pair, and a search returns only links that connect what it has not connected
+yet. Postings carry the size of the set and the place of the element in it: two sets hold
 nothing in common before the places where they first meet, which rules out most pairs
 that only share a passage.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgauge.llm.common import WordHashes, columns_or_raise, components, mixed, text_slices
+from veilgauge.llm.common import columns_or_raise, components, mixed, text_slices
 from veilgauge.session import materialise
 
 #: The library's own defaults; a query may ask for others.
@@ -42,6 +44,8 @@ COUNTED = 4_000_000
 MOST_COMMON = 1_000_000
 #: Sets in the index of a block, and queries that one task searches in it.
 INDEXED, QUERIES = 64, 192
+#: A list of more sets than this that aren't all connected is searched as a whole, in blocks of about so many sets.
+CROWD, LIST_BLOCK = 64, 512
 #: Documents to fetch are broadcast up to this size, taking so many bytes for each; beyond, texts are shuffled.
 BROADCAST_BYTES, OWNER_BYTES = 64 << 20, 128
 #: Prefixes hold one common element more for so many required ones, up to the bound; both only weigh prefixes against candidates.
@@ -50,6 +54,37 @@ PER_SHARED, MOST_SHARED = 100, 4
 MU = 1.0
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Words of up to so many bytes are hashed together, in slices of about so many characters.
+SHORT_WORD, HASHED_CHARACTERS = 32, 1 << 18
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _STEP)
+_OF_BYTE[65:91] = _OF_BYTE[97:123]
+_OF_PLACE = mixed(np.arange(1001, 1001 + SHORT_WORD, dtype=np.uint64) * _STEP) | np.uint64(1)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, lower-cased in A-Z, and the number of words of every text."""
+    hashes, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for a, b in text_slices(texts, HASHED_CHARACTERS):
+        raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts[a:b]]
+        joined = b" ".join(raw)
+        data = np.frombuffer(joined, dtype=np.uint8)
+        inside = ~_BLANK[data]
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        lengths = ends - starts
+        firsts = np.cumsum(lengths) - lengths
+        place = np.minimum(np.arange(int(lengths.sum())) - np.repeat(firsts, lengths), SHORT_WORD - 1)
+        found = np.zeros(0, dtype=np.uint64)
+        if len(starts):
+            found = mixed(np.add.reduceat(_OF_BYTE[data[inside]] * _OF_PLACE[place], firsts))
+        for k in np.flatnonzero(lengths > SHORT_WORD).tolist():
+            word = joined[starts[k]:ends[k]].lower()
+            found[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        hashes.append(found)
+        begins = np.cumsum([0, *[len(r) + 1 for r in raw]])
+        counts.append(np.diff(np.searchsorted(starts, begins)))
+    return np.concatenate(hashes), np.concatenate(counts)
 
 
 class Shingler:
@@ -57,12 +92,9 @@ class Shingler:
 
     def __init__(self, words: int) -> None:
         self.words = words
-        self.hashes = WordHashes()
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        tokens = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-        lengths = np.array([len(x) for x in tokens])
-        h = self.hashes.of([w for x in tokens for w in x])
+        h, lengths = word_hashes(texts)
         sums = h.copy()
         for k in range(1, self.words):
             sums[:-k or None] = sums[:-k or None] * _STEP + h[k:]
@@ -70,7 +102,8 @@ class Shingler:
         out, first = [], 0
         for n in lengths.tolist():
             if n >= self.words:
-                out.append(np.unique(sums[first:first + n - self.words + 1]))
+                values = np.sort(sums[first:first + n - self.words + 1])
+                out.append(values[np.append(True, values[1:] != values[:-1])])
             elif n:  # the whole sequence as one
                 value = np.array([n], dtype=np.uint64)
                 for k in range(first, first + n):
@@ -257,30 +290,43 @@ def _least(similarity: tuple[int, int]) -> Column:
     return F.least(F.lit(MOST_SHARED), 1 + F.floor(required / PER_SHARED))
 
 
-def _open_pairs(listed: DataFrame, near: DataFrame | None, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs of nodes (a, b) that share enough lists, early enough, and aren't connected yet.
+def _unconnected(listed: DataFrame, near: DataFrame | None, similarity: tuple[int, int]) -> DataFrame:
+    """(shingle, node, n, place, component, main, held): the lists whose sets aren't all connected yet.
 
-    Lists whose sets are all connected are passed over. In the others, the sets outside
-    the list's largest component meet all sets of the list. Two sets have the same order,
-    so what they share lies behind the first place in both where they meet.
+    `main`: whether the set is in the list's largest component; `held`: sets of the list.
+    Places behind those at which a set still meets any of the list's are left out: of the
+    first `_shared` elements that two similar sets share, each lies early enough in both.
     """
+    low, high = similarity
+    shared = F.least(F.lit(MOST_SHARED), 1 + F.floor(F.ceil(F.col("n") * F.lit(low).cast("long") / F.lit(high)) / PER_SHARED)) - 1
+    both = F.least(F.col("n") - F.col("place") + shared, F.col("n")).cast("long")
+    early = listed.where(both * (low + high) >= (F.col("n") + F.col("lead.n")) * F.lit(low).cast("long"))
     alone = F.hex("node").cast("binary")
     held = ["shingle", "node", "n", "place"]
     if near is None:
-        placed = listed.select(*held, alone.alias("component"))
+        placed = early.select(*held, alone.alias("component"))
     else:
         of = near.select(_node(F.col("node")).alias("node"), "component")
-        placed = listed.join(of, "node", "left").select(*held, F.coalesce("component", alone).alias("component"))
-    placed, _ = materialise(placed)
+        placed = early.join(of, "node", "left").select(*held, F.coalesce("component", alone).alias("component"))
+    placed, _ = materialise(placed.distinct())
     crowds = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("held"))
     mixed_ = crowds.groupBy("shingle").agg(F.max_by("component", F.struct("held", "component")).alias("main"),
-                                           F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
-    placed, _ = materialise(placed.join(mixed_, "shingle").distinct())
+                                           F.count(F.lit(1)).alias("of"), F.sum("held").alias("held")).where("of > 1").drop("of")
+    return materialise(placed.join(mixed_, "shingle").withColumn("main", F.col("component") == F.col("main")))[0]
+
+
+def _open_pairs(placed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of nodes (a, b) that share enough of these lists, early enough, and aren't connected yet.
+
+    The sets outside a list's largest component meet all sets of the list. Two sets have
+    the same order, so what they share lies behind the first place in both where they meet.
+    """
     side = lambda x: placed.select("shingle", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"place_{x}"),
-                                   F.col("component").alias(f"of_{x}"), (F.col("component") == F.col("main")).alias(f"main_{x}"))
-    # Before this place both hold no more in common than the lesser of the two places.
+                                   F.col("component").alias(f"of_{x}"), F.col("main").alias(f"main_{x}"))
+    # Only the first places where two sets meet are needed, as many as they have to share.
+    before = F.least("place_a", "place_b", _least(similarity) - 1)
     met = side("a").where("NOT main_a").join(side("b"), "shingle").where(
-        F.expr("of_a <> of_b AND (main_b OR a < b)") & _may_link(similarity, F.least("place_a", "place_b")))
+        F.expr("of_a <> of_b AND (main_b OR a < b)") & _may_link(similarity, before))
     # Either set may lie in the largest component of one list and outside that of another.
     one_way = lambda x, y: [F.when(F.col("a") < F.col("b"), F.col(f"{c}{x}")).otherwise(F.col(f"{c}{y}")).alias(f"{c}{x}")
                             for c in ("", "n_", "place_")]
@@ -293,13 +339,29 @@ def _enough(met: DataFrame, similarity: tuple[int, int]) -> DataFrame:
             .where((F.col("lists") >= _least(similarity)) & _may_link(similarity)).select("a", "b"))
 
 
-def _searched(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, int]:
-    """Links (a, b) between digests, for node pairs (a, b): b is searched in the block of sets that holds a."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+class Forest:
+    """Which of so many things are connected."""
+
+    def __init__(self, size: int) -> None:
+        self.above = list(range(size))
+
+    def top(self, x: int) -> int:
+        while self.above[x] != x:
+            self.above[x] = x = self.above[self.above[x]]
+        return x
+
+    def connects(self, a: int, b: int) -> bool:
+        """Connect two things; whether they weren't."""
+        a, b = self.top(a), self.top(b)
+        self.above[a] = b
+        return a != b
+
+
+def _sets(wanted: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> tuple[DataFrame, int]:
+    """(node, digest, values) of the wanted nodes, and their number."""
     owners, many = materialise(rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("owner"))
                                .withColumn("node", _node(F.col("digest"))).join(wanted, "node", "left_semi")
                                .select(F.col("owner.doc_id").alias("owner"), F.col("owner.text_key").alias("owner_key"), "digest"))
-    blocks = max(1, many // INDEXED)
     if many * OWNER_BYTES <= BROADCAST_BYTES:
         owners = F.broadcast(owners)  # counted; else both sides are shuffled
     # By text too: ids may be shared or null.
@@ -308,7 +370,23 @@ def _searched(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, si
     sets, held = materialise(_sets_of(texts, words))
     if held > many:  # repeated rows
         sets = sets.dropDuplicates(["digest"])
-    block = F.pmod(F.hash("a"), F.lit(blocks))
+    return sets, many
+
+
+_LINKS = _fields(("a", T.BinaryType()), ("b", T.BinaryType()))
+
+
+def _links(found: list[tuple[bytes, bytes]]) -> pd.DataFrame:
+    return pd.DataFrame(found, columns=["a", "b"], dtype=object)
+
+
+def _searched(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, int]:
+    """Links (a, b) between digests, for node pairs (a, b): b is searched in the block of sets that holds a.
+
+    Of the links that a search finds, those are returned that connect sets it has not connected yet.
+    """
+    sets, many = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), rows, docs, words)
+    block = F.pmod(F.hash("a"), F.lit(max(1, many // INDEXED)))
     asked = pairs.select(block.alias("block"), "b").distinct()
     load, _ = materialise(asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts")))
     queries = asked.join(load, "block").select(
@@ -323,10 +401,41 @@ def _searched(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, si
         digests = group["digest"].tolist()
         held = np.flatnonzero(~query)
         index = Index([values[i] for i in held])
-        found = [(digests[held[j]], digests[i]) for i in np.flatnonzero(query) for j in index.search(values[i], similarity)]
-        return pd.DataFrame([(a, b) for a, b in found if a != b], columns=["a", "b"], dtype=object)
+        known, forest = pd.factorize(group["digest"])[0].tolist(), Forest(len(group))
+        return _links([(digests[held[j]], digests[i]) for i in np.flatnonzero(query) for j in index.search(values[i], similarity)
+                       if forest.connects(known[held[j]], known[i])])
+
+    return materialise(meeting.groupBy("block", "salt").applyInPandas(search, _LINKS))
 
-    return materialise(meeting.groupBy("block", "salt").applyInPandas(search, _fields(("a", T.BinaryType()), ("b", T.BinaryType()))))
+
+def _searched_lists(placed: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, int]:
+    """Links (a, b) between digests of unlike components that meet in one of these lists, enough to connect them.
+
+    A list is cut into blocks; every two of its blocks meet in a task, in which the sets
+    outside the list's largest component are searched against all.
+    """
+    sets, _ = _sets(placed.select("node").distinct(), rows, docs, words)
+    blocks = F.ceil(F.col("held") / LIST_BLOCK).cast("int")
+    at = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = placed.select("shingle", "node", "component", "main", at.alias("at"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    meeting = dealt.select("shingle", F.least("at", "other").alias("first"), F.greatest("at", "other").alias("second"),
+                           "node", "component", "main", "at").join(sets, "node").drop("node")
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        values = [np.frombuffer(v, dtype=np.uint64) for v in group["values"]]
+        main, at, digests = group["main"].to_numpy(), group["at"].to_numpy(), group["digest"].tolist()
+        first, second = at == group["first"].iloc[0], at == group["second"].iloc[0]
+        of, forest, found = pd.factorize(group["component"])[0].tolist(), Forest(len(group)), []
+        turns = [(first, second & ~main)] + ([(first & ~main, second & main)] if (first != second).any() else [])
+        for holds, asks in turns:
+            held, queries = np.flatnonzero(holds), np.flatnonzero(asks)
+            if len(held) and len(queries):
+                index = Index([values[i] for i in held])
+                found += [(digests[held[j]], digests[i]) for i in queries for j in index.search(values[i], similarity)
+                          if forest.connects(of[held[j]], of[i])]
+        return _links(found)
+
+    return materialise(meeting.groupBy("shingle", "first", "second").applyInPandas(search, _LINKS))
 
 
 def _labelled(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
@@ -349,12 +458,19 @@ def _labelled(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataF
     if many:
         linked, _ = _searched(stars, rows, docs, words, similarity)
         near = components(linked)
-    pairs, more = materialise(_open_pairs(listed, near, similarity))
-    if more:
-        further, found = _searched(pairs, rows, docs, words, similarity)
-        linked = further if linked is None else linked.unionByName(further)
-        if found or near is None:
-            near = components(linked)
+    placed = _unconnected(listed, near, similarity)
+    further = []
+    crowded, many = materialise(placed.where(F.col("held") > CROWD))
+    if many:
+        further.append(_searched_lists(crowded, rows, docs, words, similarity))
+    pairs, many = materialise(_open_pairs(placed.where(F.col("held") <= CROWD), similarity))
+    if many:
+        further.append(_searched(pairs, rows, docs, words, similarity))
+    for links, found in further:
+        if found:
+            linked = links if linked is None else linked.unionByName(links)
+    if near is None or any(found for _, found in further):
+        near = components(linked) if linked is not None else None
     if near is None:
         near = rows.limit(0).select(F.col("digest").alias("node"), F.col("digest").alias("component"))
 
