@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilgauge.operators import evaluate, linkage, nearest, rounds, textkeys
 from veilgauge.operators.linkage import Linkage, explain_matches, match_attribute_matrix
@@ -83,7 +84,7 @@ def test_salted_leaves_change_nothing(spark, monkeypatch):
     schema = "g string, c string, age int, h int"
     a, b = [(*r[:3], i % 5) for i, r in enumerate(a)], [(*r[:3], i % 4) for i, r in enumerate(b)]
     plain = as_tuples(link(spark, a, b, schema))
-    monkeypatch.setattr(rounds, "PAIRS_PER_SALT", 100)
+    monkeypatch.setattr(rounds, "PAIRS_PER_SALT", 500)
     assert as_tuples(link(spark, a, b, schema)) == plain
 
 
@@ -255,6 +256,37 @@ def test_text_join_by_edit_distance_equals_all_pairs(spark, monkeypatch):
     close(got, sorted(want))
 
 
+@pytest.mark.parametrize("rows", [1_000_000, -1])
+def test_names_that_differ_in_digits_meet_by_what_they_have_in_common(spark, monkeypatch, rows):
+    """Nearly all share some character pair, so those are listed only for the few names without similar ones."""
+    looking, listed = [], textkeys.with_tokens
+    monkeypatch.setattr(textkeys, "with_tokens", lambda *given: looking.append(given[0].count()) or listed(*given))
+    monkeypatch.setattr(rounds, "ROUND_COST", 0)
+    monkeypatch.setattr(rounds, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(rounds, "BROADCAST_KEYS", rows, raising=False)
+    monkeypatch.setattr(rounds, "PAIRS_PER_SALT", 500)
+    a = [(f"Customer#{i:09}", "x") for i in range(250)]
+    b = [([n, n.replace("#", ""), f"{n.upper()}x"][i % 3], None if i == 7 else "x") for i, (n, _) in enumerate(a)] + [(None, "x"), ("", "x")]
+    result = link(spark, a, b, "name string, g string", kinds={"name": "text", "g": "categorical"})
+    close(as_tuples(result), brute_force(a, b, ["text", "categorical"]))
+    assert sum(looking) < 0.2 * len(a), (looking, result.scored_pairs)
+
+
+@pytest.mark.parametrize("method", ["ratcliff", "levenshtein"])
+def test_similar_texts_list_a_subsequence_in_common(spark, method):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abé😀") for _ in range(rng.randint(0, 9)))
+    pairs = [(word(), word()) for _ in range(3000)] + [(w, w[:k] + w[k + 1:]) for w in (word() for _ in range(500)) for k in (0, 3)]
+    lengths = list(range(10))
+    listed = lambda c: textkeys.subsequences(F.col(c), lengths, lengths, method, 0.8)
+    score = linkage.similarity.TEXT_METHODS[method]
+    found = spark.createDataFrame([*pairs, (None, "a")], "a string, b string").select(
+        "a", "b", F.round(score(F.col("a"), F.col("b")), 3).alias("s"), listed("a").alias("x"), listed("b").alias("y")).collect()
+    alike = [r for r in found if r.s >= 0.8]
+    assert len(alike) > 300 and all(set(r.x) & set(r.y) for r in alike)
+    assert all(len(set(r.x)) == len(r.x) for r in found) and not [r for r in found if r.a is None and r.x]
+
+
 @pytest.mark.parametrize("a,b,method,least", [("anna maria", "ana maria", "ratcliff", 0.9), ("abcd", "abce", "levenshtein", 0.75)])
 def test_similar_texts_share_as_many_pairs_as_stated(spark, a, b, method, least):
     marked = lambda t: [f"\2{t}\3"[k:k + 2] for k in range(len(t) + 1)]

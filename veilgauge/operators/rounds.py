@@ -14,8 +14,9 @@ one of them, and they are listed lazily: no set of columns is built that no bran
 How far branches go is chosen by cost, from how often values of a column agree.
 
 The loss a leaf leaves over bounds every graded column as well, which adds keys to the
-join: numbers and dates share a cell of a grid as wide as the bound, texts share one of
-their rarest character pairs (:mod:`veilgauge.operators.textkeys`). The exact text ratio is
+join: numbers and dates share a cell of a grid as wide as the bound, texts share a
+subsequence that lacks few of their characters or, where those are too many, one of their
+rarest character pairs (:mod:`veilgauge.operators.textkeys`). The exact text ratio is
 computed once per distinct pair of texts, and only if the pair could still score enough
 with as much similarity as their common characters allow.
 """
@@ -23,7 +24,7 @@ with as much similarity as their common characters allow.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Observation
@@ -43,7 +44,11 @@ ROUND_COST = 1_000_000
 #: Where all columns are compared exactly, cost grows evenly with the loss and finer rounds save the wide ones.
 EXACT_SHARES = [*SHARES[:5], 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0]
 #: With texts, rounds differ in how many exact ratios they need, which the join's cost does not tell.
-TEXT_SHARES = SHARES[:3] + SHARES[4:5] + SHARES[-1:]
+TEXT_SHARES = [1 / 64, 1 / 32, 1 / 20, 1 / 16, 1 / 4, 1.0]
+#: Subsequences per tuple of both sides up to which texts meet by them.
+SUBSEQUENCES = 128
+#: Keys of a few remaining targets up to which they are broadcast (three integers each).
+BROADCAST_KEYS = 1_000_000
 SLACK = 1e-9
 #: Similarities are rounded to thousandths.
 HALF_STEP = 0.0005
@@ -220,11 +225,12 @@ def _key(parts: list[str]) -> list[str]:
     return [f"xxhash64('a', {marked}) AS x1", f"xxhash64('b', {marked}) AS x2"]
 
 
-def _spread(df: DataFrame, plan, leaves: list[Leaf], loss: float, side: str, carry: list[str]) -> DataFrame:
+def _spread(df: DataFrame, plan, leaves: list[Leaf], loss: float, side: str, carry: list[str], listed_texts: bool = False) -> DataFrame:
     """Every tuple under its key of each leaf: ``leaf``, key ``x1, x2`` and `carry`.
 
     A tuple without a value in a column the leaf keys on can't be met there. `side` begins
     the names of its columns: nothing for the target, ``b_`` for the auxiliary side.
+    With `listed_texts` the keys of texts are listed in ``listed{i}``.
     """
     target = not side
     agreed, differing, keyed = (_marked(leaves, m) for m in "10k")
@@ -235,7 +241,9 @@ def _spread(df: DataFrame, plan, leaves: list[Leaf], loss: float, side: str, car
     parts = ["leaf", *[f"if({_mark(i)} = '1', {side}v{i}, null)" for i in agreed]]
     for i in keyed:
         share = f"greatest(({loss!r}D - ({lost})) / {plan.weights[i]!r}D, 0D)"
-        if plan.kinds[i] == "text":
+        if plan.kinds[i] == "text" and listed_texts:
+            made, none = f"listed{i}", "0L"
+        elif plan.kinds[i] == "text":
             made, none = textkeys.prefix(f"{side}tokens{i}", f"length({side}v{i})", f"(1D - {share})", plan.text_method), "''"
         else:
             # Cells twice as wide as the bound: a target's reach touches two of them at most.
@@ -271,6 +279,51 @@ def _met(a: DataFrame, b: DataFrame, plan, leaves: list[Leaf], loss: float, size
     return left.join(right, ["x1", "x2"]).where(" and ".join(meets) or "true")
 
 
+def _subsequence_keys(plan, leaves: list[Leaf], loss: float, lengths: dict, sizes: tuple[int, int], target: int) -> tuple[float, float] | None:
+    """Keys that both sides list if all texts meet by subsequences; None if those are no keys or too many.
+
+    `lengths` are those of all `target` tuples, of which `sizes` tells how many remain.
+    """
+    texts = _texts(plan)
+    if not texts or any(x.marks[i] != "k" for i in texts for x in leaves):
+        return None
+    least = {i: 1 - loss / plan.weights[i] for i in texts}
+    if not all(textkeys.usable(plan.text_method, s) for s in least.values()):
+        return None
+    copies = sum(2.0 ** sum(m == "k" and i not in texts for i, m in enumerate(x.marks)) for x in leaves)
+    rows = []
+    for side, counted in enumerate((target, sizes[1])):
+        listed = [textkeys.subsequence_count(plan.text_method, lengths[i][side], lengths[i][1 - side], least[i]) for i in texts]
+        rows.append(sizes[side] * copies * float(np.prod([n / max(counted, 1) for n in listed])))
+    return tuple(rows) if sum(rows) <= SUBSEQUENCES * sum(sizes) else None
+
+
+def _met_listed(a: DataFrame, b: DataFrame, plan, leaves: list[Leaf], loss: float, sizes: tuple[int, int], lengths: dict,
+                rows: tuple[float, float]) -> DataFrame:
+    """Pairs whose texts have a long enough subsequence in common, each once, with the values of both.
+
+    Only keys and tuple numbers travel; the scores are taken from the values.
+    """
+    # Such keys are selective by themselves.
+    leaves = [replace(x, salts=1) for x in leaves]
+
+    def spread(df: DataFrame, side: str, ids: list[str]) -> DataFrame:
+        at = int(bool(side))
+        df = _listed(df.select(*ids, *[f"{side}v{i}" for i in range(len(plan.kinds))]), rows[at])
+        for i in _texts(plan):
+            df = df.withColumn(f"listed{i}", textkeys.subsequences(
+                F.col(f"{side}v{i}"), list(lengths[i][at]), list(lengths[i][1 - at]), plan.text_method, 1 - loss / plan.weights[i]))
+        return _spread(df, plan, leaves, loss, side, ids, listed_texts=True).select("x1", *ids)
+
+    left, right = spread(a, "", ["t1", "t2"]), spread(b, "b_", ["u1", "u2"])
+    if rows[0] <= BROADCAST_KEYS:
+        left = F.broadcast(left)
+    elif min(rows) > BROADCAST_ROWS:
+        right = right.hint("merge")
+    pairs = left.join(right, "x1").select("t1", "t2", "u1", "u2").distinct()
+    return pairs.join(a, ["t1", "t2"]).join(b, ["u1", "u2"])
+
+
 def _packable(plan) -> bool:
     """Whether all columns are compared exactly and weigh the same, and a number can name those that agree."""
     return not plan.graded and len(plan.exact) < 63 and len(set(plan.weights)) == 1 and plan.weights[0] > 0
@@ -328,25 +381,27 @@ def _met_packed(a: DataFrame, b: DataFrame, plan, leaves: list[Leaf], loss: floa
 
 
 def _round(a: DataFrame, b: DataFrame, plan, leaves: list[Leaf], loss: float, last: bool, sizes: tuple[int, int],
-           trace: dict) -> tuple[DataFrame, dict]:
+           trace: dict, met) -> tuple[DataFrame, dict]:
     """``top`` best partners within the loss of every tuple that has any: (t1, t2, copies, partners, done), and counts of them.
 
-    `sizes`: tuples of both sides.
+    `sizes`: tuples of both sides. `met` gives the pairs to score.
     """
     width = range(len(plan.kinds))
     texts = _texts(plan)
     sims = {i: F.expr(f"if(v{i} = b_v{i}, 1D, 0D)") for i in plan.exact}
     sims |= {i: plan.graded_similarity(i, F.col(f"v{i}"), F.col(f"b_v{i}")) for i in _ordered(plan)}
-    sims |= {i: F.expr(textkeys.at_most(plan.text_method, f"v{i}", f"b_v{i}", f"letters{i}", f"b_letters{i}")) for i in texts}
+    if met is _met:
+        sims |= {i: F.expr(textkeys.at_most(plan.text_method, f"v{i}", f"b_v{i}", f"letters{i}", f"b_letters{i}")) for i in texts}
+    else:
+        sims |= {i: F.expr(f"if(v{i} is null or b_v{i} is null, 0D, 1D)") for i in texts}
     # One array: with a column per similarity, filters on their sum multiply in the optimizer.
     total = " + ".join(["0D", *[f"{plan.weights[i]!r}D * scores[{i}]" for i in width]])
     enough = f"{total} >= {plan.total_weight - loss - SLACK!r}D"
-    met = _met_packed if _packable(plan) else _met
     pairs = met(a, b, plan, leaves, loss, sizes).select(
         "t1", "t2", "copies", "u1", "u2", "keys", F.array(*[sims[i] for i in width]).alias("scores"), *[c for i in texts for c in (f"v{i}", f"b_v{i}")])
     pairs = pairs.where(enough)
     # A pair can be met under several character pairs of its texts.
-    if any(x.marks[i] == "k" for i in texts for x in leaves):
+    if met is _met and any(x.marks[i] == "k" for i in texts for x in leaves):
         pairs = pairs.dropDuplicates(["t1", "t2", "u1", "u2"])
     seen, ended = Observation(), Observation()
     pairs = pairs.observe(seen, F.count(F.lit(1)).alias("pairs"))
@@ -398,9 +453,9 @@ def best_partners(a: DataFrame, b: DataFrame, plan, stats: Statistics) -> tuple[
     ``found`` holds rank, kb, combined and scores. Told are all pairs scored, and per
     round the loss allowed, leaves, tuples, pairs and exact text ratios.
     """
-    for i in _texts(plan):
-        a, b = textkeys.with_tokens(a, b, i)
+    lengths = {i: textkeys.lengths_of(a, b, i) for i in _texts(plan)}
     finished, remaining, count, tuples = [], a, stats.target, 0
+    with_tokens = not lengths
     told = {"rounds": [], "pairs": 0}
     losses = schedule(plan, stats)
     for loss in losses:
@@ -410,7 +465,14 @@ def best_partners(a: DataFrame, b: DataFrame, plan, stats: Statistics) -> tuple[
         told["rounds"].append(step)
         if not leaves:
             continue
-        best, ended = _round(remaining, b, plan, leaves, loss, last, (count, stats.auxiliary), step)
+        sizes, met = (count, stats.auxiliary), _met_packed if _packable(plan) else _met
+        if listed := _subsequence_keys(plan, leaves, loss, lengths, sizes, stats.target):
+            met = partial(_met_listed, lengths=lengths, rows=listed)
+        elif not with_tokens:
+            for i in lengths:
+                remaining, b = textkeys.with_tokens(remaining, b, i)
+            with_tokens = True
+        best, ended = _round(remaining, b, plan, leaves, loss, last, sizes, step, met)
         finished.append(best.where("done"))
         tuples += ended["done"]
         told["pairs"] += step["pairs"]

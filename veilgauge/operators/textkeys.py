@@ -8,11 +8,22 @@ are shared (count filter). Texts list their pairs rarest first. Of two texts tha
 ``c`` pairs, the first ``all - c + 1`` of both lists have one in common (prefix filter),
 so only these are keys. Lengths bound ``c`` from below, and common characters bound the
 similarity from above.
+
+Where texts are short and almost all of their characters have to agree, a pair of
+characters says too little (codes that differ in a digit share most pairs with most
+others). What two similar texts have in common is then a subsequence of a length that both
+lengths give, so texts list all their subsequences of such lengths as keys (deletion
+neighbourhood): whoever meets is nearly always similar.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+from math import ceil, comb
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgauge.session import materialise
@@ -24,6 +35,12 @@ HALF_STEP = 0.0005
 SLACK = 1e-9
 #: Characters are counted in so many groups; groups only raise the bound.
 GROUPS = 32
+#: Texts longer than this are found by their character pairs.
+SHORT = 64
+#: Subsequences made at once.
+AT_ONCE = 1 << 19
+#: Odd, so that places in a text do not fade from the sum.
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def usable(method: str, least: float) -> bool:
@@ -58,6 +75,86 @@ def at_most(method: str, a: str, b: str, letters_a: str, letters_b: str) -> str:
     return f"coalesce(round({bound} + {SLACK!r}D, 3), 0D)"
 
 
+def common_at_least(method: str, a: int, b: int, least: float) -> int:
+    """Length of a subsequence that texts of these lengths surely have in common if they are at least so similar."""
+    reached = least - HALF_STEP - SLACK
+    # Every edit takes a character of the longer text at most; the ratio counts characters in common on both sides.
+    return max(0, ceil((reached * max(a, b) if method == "levenshtein" else reached * (a + b) / 2) - SLACK))
+
+
+def kept_lengths(method: str, length: int, others: list[int], least: float) -> list[int]:
+    """Lengths of the subsequences by which a text meets similar ones of the other side's lengths."""
+    found = [(common_at_least(method, length, other, least), other) for other in others]
+    return sorted({n for n, other in found if n <= min(length, other)})
+
+
+def lengths_of(a: DataFrame, b: DataFrame, i: int) -> tuple[dict[int, int], dict[int, int]]:
+    """How many texts of column `i` have which length, per side; what is longer than SHORT counts as one more."""
+    made = lambda df, side: df.where(f"{side}v{i} is not null").selectExpr(
+        f"{str(not side).lower()} AS mine", f"least(length({side}v{i}), {SHORT + 1}) AS n")
+    rows = made(a, "").unionByName(made(b, "b_")).groupBy("mine", "n").agg(F.count(F.lit(1)).alias("texts")).collect()
+    return tuple({r["n"]: r["texts"] for r in rows if r["mine"] == side} for side in (True, False))
+
+
+def subsequence_count(method: str, mine: dict[int, int], others: dict[int, int], least: float) -> float:
+    """How many subsequences texts of these lengths list at most; infinite if one is too long."""
+    if not mine or not others:
+        return 0.0
+    if max(mine) > SHORT or max(others) > SHORT:
+        return float("inf")
+    return float(sum(n * comb(length, k) for length, n in mine.items() for k in kept_lengths(method, length, list(others), least)))
+
+
+def _hashes(texts: list[str], kept: list[int]) -> np.ndarray:
+    """A number per subsequence of each of these equally long texts, a row per text.
+
+    Equal subsequences have equal numbers; unequal ones that do only meet for nothing.
+    """
+    length = len(texts[0])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(texts), length).astype(np.uint64)
+    codes = (codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    codes ^= codes >> np.uint64(29)
+    codes *= np.uint64(0x94D049BB133111EB)
+    codes ^= codes >> np.uint64(32)
+    found = []
+    for k in kept:
+        places = np.array(list(combinations(range(length), k)), dtype=np.int64).reshape(comb(length, k), k)
+        sums = np.full((len(texts), len(places)), k, dtype=np.uint64)
+        for at in range(k):
+            sums *= BASE
+            sums += codes[:, places[:, at]]
+        found.append(sums)
+    return np.concatenate(found, axis=1).view(np.int64)
+
+
+def subsequences(text: Column, lengths: list[int], others: list[int], method: str, least: float) -> Column:
+    """The distinct subsequences, as numbers, by which a text meets similar texts of the other side's lengths."""
+    kept = {n: kept_lengths(method, n, others, least) for n in lengths}
+
+    @F.arrow_udf("array<bigint>")
+    def made(values: pa.Array) -> pa.Array:
+        by_length: dict[int, list[tuple[int, str]]] = {}
+        for at, value in enumerate(values.to_pylist()):
+            if value is not None and kept.get(len(value)):
+                by_length.setdefault(len(value), []).append((at, value))
+        sizes, rows = np.zeros(len(values), dtype=np.int64), []
+        for length, members in by_length.items():
+            step = max(1, AT_ONCE // sum(comb(length, k) for k in kept[length]))
+            for start in range(0, len(members), step):
+                places, texts = zip(*members[start:start + step])
+                sums = np.sort(_hashes(list(texts), kept[length]), axis=1)
+                new = np.ones(sums.shape, dtype=bool)
+                new[:, 1:] = sums[:, 1:] != sums[:, :-1]
+                sizes[list(places)] = new.sum(axis=1)
+                rows.append((np.repeat(places, new.sum(axis=1)), sums[new]))
+        owners = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, dtype=np.int64)
+        numbers = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers[np.argsort(owners, kind="stable")], pa.int64()))
+
+    return made(text)
+
+
 def _facts(texts: DataFrame) -> DataFrame:
     """Distinct texts with their character pairs, rarest over all texts first, and their characters by group."""
     marked = "concat(char(2), text, char(3))"
