@@ -356,6 +356,83 @@ def test_values_packed_as_bytes_equal_all_pairs_with_nulls(spark, monkeypatch, c
     close(found, brute_force(a, b, ["categorical"] * columns, threshold=0.5))
 
 
+def categories(seed, n, columns, values=4, missing=0.0):
+    rng = random.Random(seed)
+    return [tuple(None if rng.random() < missing else str(rng.randrange(values)) for _ in range(columns)) for _ in range(n)]
+
+
+def schema_of(columns):
+    return ", ".join(f"c{i} string" for i in range(columns)), dict.fromkeys((f"c{i}" for i in range(columns)), "categorical")
+
+
+def test_many_categories_are_listed_under_few_sets_of_columns(spark, monkeypatch):
+    """Twenty categories of which every sixth value is lost: rows listed under every set have to be written, pairs looked at don't."""
+    asked, listed = [], rounds._listed
+    monkeypatch.setattr(rounds, "_listed", lambda df, rows: asked.append(rows) or listed(df, rows))
+    a = categories(3, 1000, 20)
+    b = [tuple("none" if (k + i) % 6 == 0 else v for i, v in enumerate(r)) for k, r in enumerate(a)]
+    schema, kinds = schema_of(20)
+    result = link(spark, a, b, schema, kinds=kinds)
+    assert result.matches.where("match_rank = 1 and key_a = key_b").count() > 900
+    assert sum(asked) < 30 * (len(a) + len(b)), asked
+
+
+@pytest.mark.parametrize("columns,threshold,missing", [(3, 0.0, 0.3), (3, 1.0, 0.1), (8, 0.55, 0.1), (24, 0.5, 0.05), (62, 0.35, 0.0)])
+def test_packed_categories_equal_all_pairs_and_meet_once(spark, monkeypatch, columns, threshold, missing):
+    """From all columns differing to none, hot keys dealt to tasks, long codes, repeated rows, one round and many."""
+    monkeypatch.setattr(rounds, "CODED", 3)
+    monkeypatch.setattr(rounds, "HOT_PAIRS", 20)
+    a, b = categories(columns, 40, columns, 3, missing), categories(columns + 1, 50, columns, 4, missing)
+    a, b = a + a[:9] + [("0",) * columns] * 3, b + b[:9] + b[:9] + [("0",) * columns, (None,) * columns]
+    schema, kinds = schema_of(columns)
+    want = brute_force(a, b, ["categorical"] * columns, threshold=threshold)
+    once = link(spark, a, b, schema, kinds=kinds, threshold=threshold)
+    close(as_tuples(once), want)
+    agree = lambda x, y: sum(v is not None and v == w for v, w in zip(x, y)) / columns
+    assert once.scored_pairs == sum(agree(x, y) > threshold - 1e-9 for x in set(a) for y in set(b))
+    if columns < 10:
+        monkeypatch.setattr(rounds, "ROUND_COST", 0)
+        monkeypatch.setattr(rounds, "WORTH", 1.0)
+        monkeypatch.setattr(rounds, "BROADCAST_ROWS", -1)
+        close(as_tuples(link(spark, a, b, schema, kinds=kinds, threshold=threshold)), want)
+
+
+def test_equal_scores_go_to_the_smallest_keys_of_packed_tuples(spark):
+    """Keys in no order of rows, texts, some on the same tuple, one missing."""
+    rng = random.Random(8)
+    keys = [f"k{n:03}" for n in rng.sample(range(1000), 200)]
+    a = spark.createDataFrame([(1, "x", "y", "z")], "ka int, c string, d string, e string")
+    rows = [(k, "x", "y" if rng.random() < 0.5 else None, str(i % 70)) for i, k in enumerate(keys)] + [(None, "x", "y", "none")]
+    b = spark.createDataFrame(rows, "kb string, c string, d string, e string").repartition(7)
+    result = linkage.linkage(a, b, "ka", "kb", kinds=dict.fromkeys("cde", "categorical"))
+    assert [r["key_b"] for r in result.matches.orderBy("match_rank").collect()] == sorted(r[0] for r in rows if r[0] and r[2])[:3]
+
+
+@pytest.mark.parametrize("few", [1024, 10])
+def test_codes_tell_all_values_of_a_column_apart(spark, monkeypatch, few):
+    monkeypatch.setattr(rounds, "CODED", few)
+    numbers = [1, 6, 300, 900, 0]
+    plan = linkage.Comparison(list("abcde"), ["categorical"] * 5, [0.3] * 5, [1.0] * 5, 0.55, 3, "ratcliff")
+    counted = spark.createDataFrame([(str(i), f"v{k}") for i, n in enumerate(numbers) for k in range(n)], "i string, v string")
+    codes = rounds._codes(counted, plan)
+    taken = [0] * len(rounds._words(codes))
+    for i, code in codes.items():
+        seen = [r["c"] for r in counted.where(f"i = '{i}'").selectExpr(f"{code.of('v', False)} AS c").collect()]
+        null = spark.range(1).selectExpr("string(null) AS v").selectExpr(code.of("v", False), code.of("v", True)).first()
+        assert len({*seen, *null}) == numbers[i] + 2 and all(c & ~code.mask == 0 for c in [*seen, *null])
+        assert taken[code.word] & code.mask == 0
+        taken[code.word] |= code.mask
+    assert max(taken) < 1 << rounds.BITS
+
+
+@pytest.mark.parametrize("a,b", [([], [("x", "y")]), ([("x", "y")], []), ([(None, "y")], [(None, "y"), (None, None)])])
+def test_categories_without_rows_or_values(spark, a, b):
+    schema, kinds = schema_of(2)
+    result = link(spark, a, b, schema, kinds=kinds, threshold=0.5)
+    close(as_tuples(result), brute_force(a, b, ["categorical"] * 2, threshold=0.5))
+    assert result.summary().first()["matches_found"] == len(brute_force(a, b, ["categorical"] * 2, threshold=0.5))
+
+
 def test_explanations_and_matrix(spark):
     rows = [(30, "Male"), (60, "Female")]
     result = link(spark, rows, [(31, "Male")], "Age int, Gender string")
